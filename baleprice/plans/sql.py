@@ -150,3 +150,110 @@ def with_base(body: str, extra_ctes: str = "") -> str:
     """Full oracle statement: shared CTEs + optional extra CTEs + the final SELECT."""
     extra = f",\n{extra_ctes}" if extra_ctes else ""
     return f"WITH {base_ctes()}{extra}\n{body}"
+
+
+# ---------------------------------------------------------------------------------------------------
+# Shared fragments for cleaning, tiers, rule predictions and post-processing
+# ---------------------------------------------------------------------------------------------------
+def clean_select(generation: str, src: str = "raw_listings") -> str:
+    cond = "lower(coalesce(condition, 'clean'))"
+    cp = "lower(coalesce(collection_point, 'commercial'))"
+    cty = "coalesce(county, 'Nairobi')"
+    if generation == "v2old":
+        county_sql, cp_sql = cty, "coalesce(collection_point, 'commercial')"
+    else:
+        allowed = D.TRAIN_COLLECTION_POINT_MULT if generation == "train" else D.V2_COLLECTION_POINT_MULT
+        county_sql = f"CASE WHEN {cty} IN {in_list(D.COUNTY_MULT)} THEN {cty} ELSE 'Nairobi' END"
+        cp_sql = f"CASE WHEN {cp} IN {in_list(allowed)} THEN {cp} ELSE 'commercial' END"
+    return f"""SELECT {KEY}, waste_type, sub_type,
+    {clip('weight_kg', *D.WEIGHT_BOUNDS)} AS weight_kg,
+    {clip('coalesce(distance_km, 5.0E0)', *D.DISTANCE_BOUNDS)} AS distance_km,
+    CASE WHEN {cond} IN {in_list(D.VALID_CONDITIONS)} THEN {cond} ELSE 'mixed' END AS condition,
+    {county_sql} AS county, {cp_sql} AS collection_point,
+    month, day_of_week, consistency_score, market_demand_index, listed_at
+  FROM {src}"""
+
+
+def informal(wt: str = "waste_type") -> str:
+    return case_map(wt, D.INFORMAL_DISCOUNTS, D.INFORMAL_DISCOUNT_DEFAULT)
+
+
+def tier_select(kind: str, src: str) -> str:
+    """E1 (live), E2 (old) or E3 (train) tier columns appended to ``src``."""
+    cs = case_map("condition", COND_SCORE, 0.5)
+    if kind == "live":
+        ws = clip("1.0E0 - weight_kg / 200.0E0", 0.0, 1.0)
+        score = clip(f"0.5E0 * {ws} + 0.5E0 * (((0.78E0 + {cs} * 0.22E0) - 0.78E0) / 0.22E0)", 0.0, 1.0)
+        label_on = "_s"
+    elif kind == "old":
+        ws = clip("(weight_kg - 5.0E0) / 95.0E0", 0.0, 1.0)
+        score = f"(0.55E0 * {ws} + 0.45E0 * {cs})"
+        label_on = "_s"
+    else:
+        score = clip(f"({case_map('condition', D.COND_FACTORS)} - 0.78E0) / 0.22E0", 0.0, 1.0)
+        label_on = r_even("_s", 4)
+    d = informal()
+    return f"""SELECT * EXCLUDE (_s), {r_even(f'{d} + _s * (1.0E0 - {d})', 4)} AS tier_multiplier,
+    {r_even('_s', 4)} AS tier_score, {tier_label(label_on)} AS market_tier
+  FROM (SELECT *, {score} AS _s FROM {src})"""
+
+
+def e3_multiplier() -> str:
+    score = clip(f"({case_map('condition', D.COND_FACTORS)} - 0.78E0) / 0.22E0", 0.0, 1.0)
+    d = informal()
+    return r_even(f"{d} + {score} * (1.0E0 - {d})", 4)
+
+
+def e7_raw(alias: str = "x", tier: str | None = None) -> str:
+    a = alias
+    tm = tier or e3_multiplier().replace("condition", f"{a}.condition").replace("waste_type", f"{a}.waste_type")
+    return (f"(_br.base_mean * {case_map(f'{a}.condition', D.COND_FACTORS)}"
+            f" * {steps(f'{a}.distance_km', D.DISTANCE_STEPS, D.DISTANCE_STEP_ELSE)}"
+            f" * {steps(f'{a}.weight_kg', D.VOLUME_STEPS, D.VOLUME_STEP_ELSE)}"
+            f" * {case_map(f'{a}.county', D.TRAIN_COUNTY_MULT)}"
+            f" * {case_map(f'{a}.collection_point', D.TRAIN_COLLECTION_POINT_MULT)}"
+            f" * {case_map(f'{a}.month', D.TRAIN_SEASONAL)}"
+            f" * {tm})")
+
+
+def rule_pred_select(src: str) -> str:
+    """pred_lower / pred_mid / pred_upper = (0.70, 1.0, 1.35) x noise-free E7 of the row."""
+    p = e7_raw("x")
+    return f"""SELECT x.*, {p} * 0.7E0 AS pred_lower, {p} * 1.0E0 AS pred_mid, {p} * 1.35E0 AS pred_upper
+  FROM {src} x LEFT JOIN subtypes _br ON _br.waste_type = x.waste_type AND _br.sub_type = x.sub_type"""
+
+
+def fmt0(x: str) -> str:
+    return f"printf('%.0f', {x})"
+
+
+def postprocess_select(generation: str, src: str, weight: str = "weight_kg") -> str:
+    floor = lambda c: f"(CASE WHEN {c} IS NULL THEN NULL ELSE greatest({num(D.PRICE_FLOOR_MODEL)}, {c}) END)"
+    if generation == "v2":
+        cpm = case_map("collection_point", D.V2_COLLECTION_POINT_MULT, 1.0)
+        cm = case_map("county", D.COUNTY_MULT, 1.0)
+        inner = f"""SELECT *, {cpm} AS collection_point_multiplier, {cm} AS county_multiplier,
+      {floor('pred_lower')} * {cpm} * {cm} AS _lo1, {floor('pred_mid')} * {cpm} * {cm} AS _mid,
+      {floor('pred_upper')} * {cpm} * {cm} AS _hi1 FROM {src}"""
+        mid_sel = f"SELECT * EXCLUDE (_lo1, _hi1), least(_lo1, _mid) AS _lo, greatest(_hi1, _mid) AS _hi FROM ({inner})"
+        tier_adv = case_map("market_tier", D.TIER_ADVICE, "")
+        cp_adv = case_map("collection_point", D.COLLECTION_POINT_ADVICE, "")
+        advice = (f"'Negotiate between KES ' || {fmt0('_lo')} || '–' || {fmt0('_hi')} || '/kg. Fair market rate is KES '"
+                  f" || {fmt0('_mid')} || '/kg. ' || trim({tier_adv} || ' ' || {cp_adv})")
+    else:
+        mid_sel = f"SELECT *, {floor('pred_lower')} AS _lo, {floor('pred_mid')} AS _mid, {floor('pred_upper')} AS _hi FROM {src}"
+        if generation == "v2old":
+            advice = (f"'Negotiate between KES ' || {fmt0('_lo')} || '–' || {fmt0('_hi')} || '/kg. Fair market rate is KES '"
+                      f" || {fmt0('_mid')} || '/kg. ' || {case_map('market_tier', D.TIER_ADVICE, '')}")
+        else:
+            advice = (f"'Negotiate between KES ' || {fmt0('_lo')} || '–' || {fmt0('_hi')} || '/kg. Fair rate is KES '"
+                      f" || {fmt0('_mid')} || '/kg.'")
+    a, b = D.SIGNAL_THRESHOLDS
+    signal = (f"(CASE WHEN (_hi - _lo) / _mid IS NULL THEN NULL WHEN (_hi - _lo) / _mid < {num(a)} THEN 'stable' "
+              f"WHEN (_hi - _lo) / _mid < {num(b)} THEN 'moderate' ELSE 'volatile' END)")
+    return f"""SELECT * EXCLUDE (_lo, _mid, _hi), (_hi - _lo) / _mid AS volatility,
+    {r_even('_lo', 2)} AS lower_bound, {r_even('_mid', 2)} AS recommended, {r_even('_hi', 2)} AS upper_bound,
+    {r_even(f'_lo * {weight}', 2)} AS payout_lower, {r_even(f'_mid * {weight}', 2)} AS payout_recommended,
+    {r_even(f'_hi * {weight}', 2)} AS payout_upper, {r_even('_hi - _lo', 2)} AS range_width,
+    {signal} AS market_signal, {lit(D.COVERAGE_LABEL[generation])} AS coverage, {advice} AS advice
+  FROM ({mid_sel})"""
