@@ -29,3 +29,308 @@ def fit_conditional_quantiles(df: DataFrame, y: str = "price_per_kg", keys: list
         c = F.col(k).isNotNull()
         cond = c if cond is None else cond & c
     return df.filter(cond).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+
+
+# ---------------------------------------------------------------------------------------------------
+# I1 split, I2 ordinal encoding, I3 standard scaling
+# ---------------------------------------------------------------------------------------------------
+import json  # noqa: E402
+import math  # noqa: E402
+import os  # noqa: E402
+from concurrent.futures import ThreadPoolExecutor  # noqa: E402
+from dataclasses import dataclass, field  # noqa: E402
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.feature import StringIndexer, VectorAssembler  # noqa: E402
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+from baleprice.functions.numeric import literal_map  # noqa: E402
+from baleprice.session import cut_lineage  # noqa: E402
+
+CAT = D.CATEGORICAL_FEATURES
+NUM = D.NUMERIC_FEATURES
+FEATURES = CAT + NUM
+
+
+def hash_bucket(key: list[str], seed: int, buckets: int):
+    """Deterministic pseudo-random bucket of a row from its key: stable under re-partitioning and
+    task retries (unlike ``rand``/``randomSplit`` which depend on partition layout)."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(buckets))
+
+
+def split_train_test(df: DataFrame, key: list[str], test_pct: int = 15, seed: int = 42) -> DataFrame:
+    """Adds ``is_test`` (about ``test_pct`` % of rows) from a seeded hash of the row key."""
+    return df.withColumn("is_test", hash_bucket(key, seed, 100) < F.lit(test_pct))
+
+
+def fit_ordinal(df: DataFrame, cols: list[str]) -> DataFrame:
+    """I2 fit: (feature, value, code) with codes 0..n-1 in sorted value order, per feature.
+    Work is distinct values only; the ranking window is per feature over its distinct values."""
+    parts = [df.select(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
+             .filter(F.col("value").isNotNull()).distinct() for c in cols]
+    vals = parts[0]
+    for p in parts[1:]:
+        vals = vals.unionByName(p)
+    w = Window.partitionBy("feature").orderBy("value")
+    return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
+
+
+def apply_ordinal(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
+    """I2 transform: unknown or NULL values get -1. The code table is joined without a hint, so
+    Catalyst/AQE broadcast it only when its measured size is under the broadcast threshold."""
+    out = df
+    for c in cols:
+        m = codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(c + suffix))
+        out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+               .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1))))
+    return out
+
+
+@dataclass
+class ScalerModel:
+    means: dict
+    stds: dict
+
+    def transform(self, df: DataFrame, suffix: str = "_scaled") -> DataFrame:
+        return df.withColumns({c + suffix: (F.col(c) - F.lit(self.means[c])) / F.lit(self.stds[c]) for c in self.means})
+
+
+def fit_scaler(df: DataFrame, cols: list[str]) -> ScalerModel:
+    """I3 fit: mean and population std per column in one aggregate (a zero std scales by 1, as the
+    reference's scaler does). Only 2 x len(cols) numbers reach the driver -- the model itself."""
+    aggs = []
+    for c in cols:
+        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+    row = df.agg(*aggs).first()
+    means = {c: float(row[f"m_{c}"]) for c in cols}
+    stds = {c: (float(row[f"s_{c}"]) if row[f"s_{c}"] else 1.0) or 1.0 for c in cols}
+    return ScalerModel(means, stds)
+
+
+# ---------------------------------------------------------------------------------------------------
+# I4 feature pipeline, I5 quantile boosting
+# ---------------------------------------------------------------------------------------------------
+def feature_pipeline(max_cat: int = 64) -> Pipeline:
+    """I4: categorical features -> ordinal index (sorted order; unseen -> extra index), numeric
+    features as they are, assembled into one vector. Trees are invariant to scaling, so the
+    reference's scaler is not part of the model input (``fit_scaler`` offers it separately)."""
+    idx = StringIndexer(inputCols=CAT, outputCols=[c + "_idx" for c in CAT], stringOrderType="alphabetAsc",
+                        handleInvalid="keep")
+    vec = VectorAssembler(inputCols=[c + "_idx" for c in CAT] + NUM, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[idx, vec])
+
+
+@dataclass
+class QuantileBoostModel:
+    """Gradient boosting on the pinball loss: f = f0 + lr * sum_t leaf_value_t(leaf_t(x)) + shift."""
+    quantile: float
+    f0: float
+    learning_rate: float
+    trees: list = field(default_factory=list)
+    leaf_values: list = field(default_factory=list)
+    shift: float = 0.0
+    history: list = field(default_factory=list)
+
+    def predict(self, df: DataFrame, out_col: str, features_col: str = "features") -> DataFrame:
+        total = F.lit(0.0)
+        work = df
+        tmp = []
+        for i, (tree, leaves) in enumerate(zip(self.trees, self.leaf_values)):
+            leaf = f"_leaf_{out_col}_{i}"
+            t = tree.copy()
+            t.setFeaturesCol(features_col).setPredictionCol(f"_tp_{out_col}_{i}").setLeafCol(leaf)
+            work = t.transform(work).drop(f"_tp_{out_col}_{i}")
+            total = total + F.coalesce(F.try_element_at(literal_map(leaves), F.col(leaf)), F.lit(0.0))
+            tmp.append(leaf)
+        pred = F.lit(self.f0) + F.lit(self.learning_rate) * total + F.lit(self.shift)
+        return work.withColumn(out_col, pred).drop(*tmp)
+
+    def feature_importances(self) -> list[float]:
+        """Per-tree normalised split-gain importances averaged over rounds, normalised to 1."""
+        if not self.trees:
+            return []
+        n = self.trees[0].numFeatures
+        acc = [0.0] * n
+        for t in self.trees:
+            v = t.featureImportances.toArray()
+            for i in range(n):
+                acc[i] += float(v[i])
+        s = sum(acc) or 1.0
+        return [a / s for a in acc]
+
+    # A3 / A4 -----------------------------------------------------------------------------------------
+    def save(self, path: str) -> None:
+        meta = {"quantile": self.quantile, "f0": self.f0, "learning_rate": self.learning_rate,
+                "shift": self.shift, "rounds": len(self.trees),
+                "leaf_values": [{str(k): v for k, v in lv.items()} for lv in self.leaf_values],
+                "history": self.history}
+        for i, t in enumerate(self.trees):
+            t.write().overwrite().save(os.path.join(path, f"tree_{i:04d}"))
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
+            os.path.join(path, "meta"))
+
+    @staticmethod
+    def load(path: str) -> "QuantileBoostModel":
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
+        trees = [DecisionTreeRegressionModel.load(os.path.join(path, f"tree_{i:04d}")) for i in range(meta["rounds"])]
+        leaves = [{float(k): v for k, v in lv.items()} for lv in meta["leaf_values"]]
+        return QuantileBoostModel(meta["quantile"], meta["f0"], meta["learning_rate"], trees, leaves,
+                                  meta["shift"], meta.get("history", []))
+
+
+def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "price_per_kg",
+                       features_col: str = "features", rounds: int = 10, learning_rate: float = 0.3,
+                       max_depth: int = 6, subsample: float = 0.85, min_instances: int = 2, max_bins: int = 64,
+                       seed: int = 42, accuracy: int = 10000, checkpoint_every: int = 4,
+                       calibrate: bool = True) -> QuantileBoostModel:
+    """Quantile regression by boosting Spark ML regression trees on the pinball-loss gradient.
+
+    Round t: gradient g = q if y >= f else q - 1 on a hashed ``subsample`` of rows; fit a
+    ``DecisionTreeRegressor`` (distributed histogram split search) on g; each leaf then gets the
+    q-quantile of the residuals y - f of its rows (``percentile_approx``: bounded sketch, partial
+    aggregation); f += lr x leaf value. A tree has at most 2^depth leaves, so the leaf table that
+    reaches the driver is bounded. The working frame is checkpointed to the shared checkpoint folder
+    every few rounds (reliable, survives executor loss) to keep the lineage short. A final calibration
+    shift adds the q-quantile of the remaining training residuals."""
+    base = data.select(*key, F.col(label).alias("_y"), F.col(features_col).alias("_x"))
+    f0 = float(base.select(F.percentile_approx("_y", q, accuracy)).first()[0])
+    work = cut_lineage(base.withColumn("_f", F.lit(f0)))
+    model = QuantileBoostModel(q, f0, learning_rate)
+    prev = None
+    for t in range(rounds):
+        grad = work.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), F.lit(q)).otherwise(F.lit(q - 1.0)))
+        sample = grad.filter(hash_bucket(key, seed + 1000 * t + int(q * 100), 1000) < F.lit(int(subsample * 1000)))
+        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=max_depth, maxBins=max_bins,
+                                     minInstancesPerNode=min_instances, seed=seed + t).fit(sample)
+        tree.setLeafCol("_leaf").setPredictionCol("_tp")
+        scored = tree.transform(work).drop("_tp")
+        leaf_tbl = scored.groupBy("_leaf").agg(
+            F.percentile_approx(F.col("_y") - F.col("_f"), q, accuracy).alias("v")).collect()
+        leaves = {float(r["_leaf"]): float(r["v"]) for r in leaf_tbl}
+        model.trees.append(tree)
+        model.leaf_values.append(leaves)
+        upd = F.col("_f") + F.lit(learning_rate) * F.coalesce(
+            F.try_element_at(literal_map(leaves), F.col("_leaf")), F.lit(0.0))
+        new_work = scored.withColumn("_f", upd).drop("_leaf")
+        if (t + 1) % checkpoint_every == 0 or t == rounds - 1:
+            new_work = cut_lineage(new_work)
+        else:
+            new_work = new_work.persist()
+        if prev is not None:
+            prev.unpersist()
+        prev = new_work if new_work.is_cached else None
+        work = new_work
+    if calibrate:
+        model.shift = float(work.select(F.percentile_approx(F.col("_y") - F.col("_f"), q, accuracy)).first()[0])
+    if prev is not None:
+        prev.unpersist()
+    return model
+
+
+def fit_range_models(train_feat: DataFrame, key: list[str], parallel: bool = True, **kw) -> dict:
+    """Fit the lower / mid / upper models. The three loops are independent Spark job streams, so they
+    run from three driver threads and share the cluster."""
+    items = list(D.QUANTILES.items())
+    if not parallel:
+        return {name: fit_quantile_boost(train_feat, q, key, **kw) for name, q in items}
+    with ThreadPoolExecutor(max_workers=len(items)) as pool:
+        futs = {name: pool.submit(fit_quantile_boost, train_feat, q, key, **kw) for name, q in items}
+        return {name: f.result() for name, f in futs.items()}
+
+
+def score_range_models(df_feat: DataFrame, models: dict, features_col: str = "features") -> DataFrame:
+    """the three models on the same rows in one plan: ``pred_lower``, ``pred_mid``, ``pred_upper``."""
+    out = df_feat
+    for name in ("lower", "mid", "upper"):
+        out = models[name].predict(out, f"pred_{name}", features_col)
+    return out
+
+
+@dataclass
+class RangeModelBundle:
+    """A3/A4: feature pipeline + three quantile models + metadata, saved as directories."""
+    pipeline: PipelineModel
+    models: dict
+    meta: dict = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(os.path.join(path, "pipeline"))
+        for name, m in self.models.items():
+            m.save(os.path.join(path, name))
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(self.meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
+            os.path.join(path, "bundle_meta"))
+
+    @staticmethod
+    def load(path: str) -> "RangeModelBundle":
+        """Raises if the bundle is missing (callers fall back to the rule price, F11)."""
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        pipe = PipelineModel.load(os.path.join(path, "pipeline"))
+        models = {n: QuantileBoostModel.load(os.path.join(path, n)) for n in ("lower", "mid", "upper")}
+        meta = json.loads(spark.read.text(os.path.join(path, "bundle_meta")).first()[0])
+        return RangeModelBundle(pipe, models, meta)
+
+    def score(self, df_features: DataFrame) -> DataFrame:
+        return score_range_models(self.pipeline.transform(df_features), self.models).drop(
+            "features", *[c + "_idx" for c in CAT])
+
+
+def train_range_bundle(features: DataFrame, key: list[str], **kw) -> RangeModelBundle:
+    """Entry 2 of the reference as one Spark job stream: fit the feature pipeline on the rows given,
+    cache the assembled vectors, fit the three quantile models."""
+    pipe = feature_pipeline().fit(features)
+    feat = pipe.transform(features).select(*key, "price_per_kg", "features").persist()
+    models = fit_range_models(feat, key, **kw)
+    feat.unpersist()
+    meta = {"version": "2.2-spark", "features": FEATURES, "categorical": CAT, "numerical": NUM,
+            "quantiles": D.QUANTILES, "rounds": len(models["mid"].trees),
+            "learning_rate": models["mid"].learning_rate}
+    return RangeModelBundle(pipe, models, meta)
+
+
+# ---------------------------------------------------------------------------------------------------
+# I15 permutation importance
+# ---------------------------------------------------------------------------------------------------
+def r2_expr(y: str, p: str):
+    e = F.col(y) - F.col(p)
+    return F.lit(1.0) - F.sum(e * e) / (F.count(F.col(y)) * F.var_pop(y))
+
+
+def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[str], n_repeats: int = 5,
+                           seed: int = 42, block_rows: int = 100_000, y: str = "price_per_kg") -> DataFrame:
+    """Drop in R2 of the mid model when one feature's values are permuted across rows.
+
+    The permutation is drawn inside random hash blocks of about ``block_rows`` rows (rows sorted by
+    key receive the values of the rows sorted by a second seeded hash of the same block), so no window
+    ever holds more than one block and a hot key cannot skew it. One pairing per repeat serves all
+    features; every (feature, repeat) variant is scored in a single pass and its R2 aggregated by group."""
+    n = test.count()
+    blocks = max(1, math.ceil(n / block_rows))
+    base_pred = bundle.score(test.select(*key, y, *FEATURES))
+    baseline = base_pred.agg(r2_expr(y, "pred_mid").alias("r2")).first()["r2"]
+    variants = None
+    for r in range(n_repeats):
+        s = seed + r
+        t = test.select(*key, y, *FEATURES).withColumn("_blk", hash_bucket(key, s, blocks))
+        dst = t.withColumn("_pos", F.row_number().over(Window.partitionBy("_blk").orderBy(*key)))
+        src = t.select("_blk", F.xxhash64(*[F.col(k) for k in key], F.lit(s + 7919)).alias("_h"),
+                       *[F.col(c).alias(f"_perm_{c}") for c in FEATURES])
+        src = src.withColumn("_pos", F.row_number().over(Window.partitionBy("_blk").orderBy("_h"))).drop("_h")
+        paired = dst.join(src, ["_blk", "_pos"]).drop("_blk", "_pos")
+        exploded = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in FEATURES])))
+        swapped = exploded.select(
+            *key, y, "feature", F.lit(r).alias("repeat"),
+            *[F.when(F.col("feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)).alias(c) for c in FEATURES])
+        variants = swapped if variants is None else variants.unionByName(swapped)
+    scored = bundle.score(variants)
+    per = scored.groupBy("feature", "repeat").agg(r2_expr(y, "pred_mid").alias("r2"))
+    return (per.groupBy("feature").agg(F.avg(F.lit(baseline) - F.col("r2")).alias("importance_mean"),
+                                       F.stddev_pop(F.lit(baseline) - F.col("r2")).alias("importance_std"))
+            .orderBy(F.desc("importance_mean")))

@@ -841,3 +841,202 @@ def conditional_quantiles(spark, sf_dir):
     """Conditional 5/50/95 % price quantiles per (waste type, sub-type, condition): the simple range model."""
     from baleprice.operators import train as T
     return round_doubles(T.fit_conditional_quantiles(_training(spark, sf_dir)), DIGITS)
+
+
+# ------------------------------------------------------------------------------------------------------
+# 2.8 / 2.9 evaluation of predictions (rule predictor: SQL-checkable)
+# ------------------------------------------------------------------------------------------------------
+def _metrics_sql(src: str) -> str:
+    e = "(price_per_kg - pred_mid)"
+    return f"""SELECT count(*) AS n_rows, {rd(f'avg(abs({e}))')} AS mae, {rd(f'sqrt(avg({e} * {e}))')} AS rmse,
+  {rd(f'1.0E0 - sum({e} * {e}) / (count(price_per_kg) * var_pop(price_per_kg))')} AS r2,
+  {rd(f'100.0E0 * avg(abs({e}) / (CASE WHEN abs(price_per_kg) = 0 THEN NULL ELSE abs(price_per_kg) END))')} AS mape_pct,
+  {rd(f'avg({e})')} AS mean_error
+FROM {src} WHERE price_per_kg IS NOT NULL AND pred_mid IS NOT NULL"""
+
+
+@register("eval_metrics", lambda: S.with_base(_metrics_sql("tp"), _train_pred_cte()))
+def eval_metrics(spark, sf_dir):
+    """MAE, RMSE, R2, MAPE and mean error of the mid prediction over every labelled row."""
+    return round_doubles(E.regression_metrics(_training_predicted(spark, sf_dir)), DIGITS)
+
+
+def _pin(y: str, p: str, q: float) -> str:
+    return f"(CASE WHEN {y} - {p} >= 0 THEN {S.num(q)} * ({y} - {p}) ELSE {S.num(q - 1.0)} * ({y} - {p}) END)"
+
+
+@register("interval_metrics", lambda: S.with_base(f"""
+SELECT count(*) AS n_rows,
+  {rd('avg(CASE WHEN price_per_kg >= pred_lower AND price_per_kg <= pred_upper THEN 1.0E0 ELSE 0.0E0 END)')} AS coverage,
+  {rd('avg(pred_upper - pred_lower)')} AS mean_width,
+  {rd(f"avg({_pin('price_per_kg', 'pred_lower', D.QUANTILES['lower'])})")} AS pinball_lower,
+  {rd(f"avg({_pin('price_per_kg', 'pred_mid', D.QUANTILES['mid'])})")} AS pinball_mid,
+  {rd(f"avg({_pin('price_per_kg', 'pred_upper', D.QUANTILES['upper'])})")} AS pinball_upper,
+  {rd('avg(CASE WHEN price_per_kg < pred_lower THEN 1.0E0 ELSE 0.0E0 END)')} AS share_below_lower,
+  {rd('avg(CASE WHEN price_per_kg > pred_upper THEN 1.0E0 ELSE 0.0E0 END)')} AS share_above_upper
+FROM tp WHERE price_per_kg IS NOT NULL""", _train_pred_cte()))
+def interval_metrics(spark, sf_dir):
+    """Interval coverage (inclusive), mean width and pinball loss of each bound."""
+    return round_doubles(E.interval_metrics(_training_predicted(spark, sf_dir)), DIGITS)
+
+
+@register("error_histogram", lambda: S.with_base(
+    "SELECT * FROM hist", _train_pred_cte() + ",\n" + _hist_sql("tp", "(price_per_kg - pred_mid)")))
+def error_histogram(spark, sf_dir):
+    """50-bin histogram of the signed error actual - mid prediction."""
+    return round_doubles(E.error_histogram(_training_predicted(spark, sf_dir)), DIGITS)
+
+
+@register("error_by_price_bin", lambda: S.with_base(f"""
+SELECT CAST(b.bin_index AS INTEGER) AS price_bin_index, b.label AS price_bin_label, count(t.price_per_kg) AS n_rows,
+  {rd('avg(abs(t.price_per_kg - t.pred_mid))')} AS mae
+FROM {_bins_sql(D.PRICE_ERROR_BINS, 'b')} LEFT JOIN tp t ON t.price_per_kg > b.lo AND t.price_per_kg <= b.hi
+GROUP BY b.bin_index, b.label""", _train_pred_cte()))
+def error_by_price_bin(spark, sf_dir):
+    """MAE by actual-price bin; prices above 500 are left out."""
+    return round_doubles(E.error_by_price_bin(_training_predicted(spark, sf_dir)), DIGITS)
+
+
+LOW_COLS = ["price_per_kg", "pred_lower", "pred_mid", "pred_upper"]
+
+
+@register("lowest_200", lambda: S.with_base(f"""
+SELECT {S.KEY}, price_per_kg, {rd('pred_lower')} AS pred_lower, {rd('pred_mid')} AS pred_mid, {rd('pred_upper')} AS pred_upper
+FROM tp ORDER BY price_per_kg, {S.KEY} LIMIT 200""", _train_pred_cte()))
+def lowest_200(spark, sf_dir):
+    """H5: the 200 lowest actual prices with their predicted range (ties broken by the row key)."""
+    t = _training_predicted(spark, sf_dir).select(*KEY, *LOW_COLS)
+    return round_doubles(R.top_k(t, 200, [F.asc("price_per_kg")] + [F.asc(k) for k in KEY]), DIGITS)
+
+
+def _ordinal_sql() -> str:
+    joins, cols = [], []
+    for i, c in enumerate(D.CATEGORICAL_FEATURES):
+        joins.append(f"""LEFT JOIN (SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM training WHERE {c} IS NOT NULL)) o{i} ON o{i}.value = t.{c}""")
+        cols.append(f"coalesce(o{i}.code, -1) AS {c}_code")
+    keys = ", ".join(f"t.{k}" for k in KEY)
+    return S.with_base(f"SELECT {keys}, {', '.join(cols)} FROM training t " + "\n".join(joins))
+
+
+@register("ordinal_encode", _ordinal_sql)
+def ordinal_encode(spark, sf_dir):
+    """Ordinal codes of the six categorical features (sorted categories, unknown -> -1)."""
+    from baleprice.operators import train as T
+    t = training_table(spark, sf_dir)
+    codes = T.fit_ordinal(t, D.CATEGORICAL_FEATURES)
+    out = T.apply_ordinal(t, codes, D.CATEGORICAL_FEATURES)
+    return out.select(*KEY, *[f"{c}_code" for c in D.CATEGORICAL_FEATURES])
+
+
+def _scale_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in D.NUMERIC_FEATURES)
+    cols = ", ".join(
+        f"{rd(f'(f.{c} - s.m_{c}) / (CASE WHEN s.s_{c} IS NULL OR s.s_{c} = 0 THEN 1.0E0 ELSE s.s_{c} END)')} AS {c}_scaled"
+        for c in D.NUMERIC_FEATURES)
+    keys = ", ".join(f"f.{k}" for k in KEY)
+    return S.with_base(f"SELECT {keys}, {cols} FROM feat f CROSS JOIN (SELECT {stats} FROM feat) s",
+                       f"feat AS ({_v2_feature_sql()})")
+
+
+@register("standard_scale", _scale_sql)
+def standard_scale(spark, sf_dir):
+    """Standard scaling (population std) of the nine numeric v2 features, fitted on the table."""
+    from baleprice.operators import train as T
+    feat = FE.v2_features(training_table(spark, sf_dir))
+    model = T.fit_scaler(feat, D.NUMERIC_FEATURES)
+    return round_doubles(model.transform(feat).select(*KEY, *[f"{c}_scaled" for c in D.NUMERIC_FEATURES]), DIGITS)
+
+
+# ------------------------------------------------------------------------------------------------------
+# 2.9 trained models (random split, boosted trees): rows-only checks
+# ------------------------------------------------------------------------------------------------------
+_BUNDLES: dict = {}
+MODEL_ROUNDS = 10
+
+
+def _split_features(spark, sf_dir):
+    from baleprice.operators import train as T
+    t = T.split_train_test(training_table(spark, sf_dir), KEY)
+    return FE.v2_features(t, drop_inputs=False)
+
+
+def _bundle(spark, sf_dir):
+    from baleprice.operators import train as T
+    ck = (spark.sparkContext.applicationId, sf_dir)
+    if ck not in _BUNDLES:
+        feats = _split_features(spark, sf_dir)
+        _BUNDLES[ck] = T.train_range_bundle(feats.filter(~F.col("is_test")), KEY, rounds=MODEL_ROUNDS)
+    return _BUNDLES[ck]
+
+
+def _scored_test(spark, sf_dir):
+    bundle = _bundle(spark, sf_dir)
+    test = _split_features(spark, sf_dir).filter(F.col("is_test"))
+    return bundle.score(test)
+
+
+@register("train_test_counts")
+def train_test_counts(spark, sf_dir):
+    """Rows per side of the seeded 85/15 hash split."""
+    from baleprice.operators import train as T
+    t = T.split_train_test(training_table(spark, sf_dir), KEY)
+    return t.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("score_range")
+def score_range(spark, sf_dir):
+    """Three boosted quantile models (q = .05/.50/.95) trained on the 85 % split,
+    scored on the hold-out rows and post-processed into price ranges (v2 rules)."""
+    scored = _scored_test(spark, sf_dir)
+    post = SC.postprocess_range(scored, "v2")
+    return post.select(*KEY, "price_per_kg", "pred_lower", "pred_mid", "pred_upper", "lower_bound", "recommended",
+                       "upper_bound", "range_width", "market_signal")
+
+
+@register("model_metrics")
+def model_metrics(spark, sf_dir):
+    """I6-I11 on the trained models: hold-out MAE, RMSE, R2, MAPE, coverage, width, pinball losses."""
+    scored = _scored_test(spark, sf_dir).filter(F.col("price_per_kg").isNotNull())
+    wide = scored.agg(F.count(F.lit(1)).alias("n_rows"), *E.regression_aggs(), *E.interval_aggs())
+    cols = [c for c in wide.columns if c != "n_rows"]
+    stack = "stack({}, {})".format(len(cols), ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in cols))
+    return wide.select("n_rows", F.expr(stack).alias("metric", "value"))
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    """Split-gain importances of the mid model averaged over boosting rounds, ranked."""
+    from baleprice.operators import train as T
+    imp = _bundle(spark, sf_dir).models["mid"].feature_importances()
+    df = spark.createDataFrame(list(zip(T.FEATURES, imp)), "feature string, importance double")
+    from pyspark.sql import Window
+    # 15 rows (one per feature): a global window is fine here
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
+
+
+@register("importance_by_family")
+def importance_by_family(spark, sf_dir):
+    """I16: importances summed by feature family; features in no family (market_tier) go to 'other'."""
+    imp = feature_importance(spark, sf_dir)
+    fam = D.feature_family_dim(spark)
+    return (imp.join(F.broadcast(fam), "feature", "left")
+            .withColumn("family", F.coalesce("family", F.lit("other")))
+            .groupBy("family").agg(F.sum("importance").alias("importance"))
+            .orderBy(F.desc("importance")))
+
+
+@register("permutation_importance")
+def permutation_importance(spark, sf_dir):
+    """Permutation importance of the mid model on the hold-out rows (5 repeats, seed 42, R2 drop)."""
+    from baleprice.operators import train as T
+    test = _split_features(spark, sf_dir).filter(F.col("is_test"))
+    return T.permutation_importance(_bundle(spark, sf_dir), test, KEY, n_repeats=5, seed=42)
+
+
+@register("stratified_sample")
+def stratified_sample(spark, sf_dir):
+    """H6: min(500, n) rows per condition drawn by a seeded hash (two-phase, skew-safe)."""
+    t = training_table(spark, sf_dir)
+    return R.sample_per_group(t, "condition", 500, KEY, seed=42).select(
+        *KEY, "condition", "weight_kg", "price_per_kg", "sample_rank")
