@@ -3,7 +3,10 @@
 Rounding contract (three rules in the reference, never ``F.round``):
 
 * ``round_even``  -- numpy/pandas style, ``rint(x * 10^d) / 10^d`` (ties to even on the scaled value).
-  Python's ``round`` is also mapped here; it differs only at exact binary ties.
+* ``round_py``    -- Python's ``round(x, d)`` on a float: decided on the exact binary value of ``x``.
+  The scaled product ``x * 10^d`` can round onto an exact .5 that is not a tie of ``x`` itself; the
+  rounding error of that product is recovered exactly (Veltkamp split / Dekker two-product, plain
+  double arithmetic) and breaks such false ties. True ties go to even, as Python does.
 * ``round_js``    -- JavaScript ``Math.round(x * 10^d) / 10^d`` = ``floor(x * 10^d + 0.5) / 10^d``.
 """
 
@@ -24,6 +27,36 @@ def round_even(c, digits: int) -> Column:
     return F.rint(col_of(c) * F.lit(scale)) / F.lit(scale)
 
 
+_SPLIT = 134217729.0  # 2^27 + 1
+
+
+def split_const(v: float) -> tuple[float, float]:
+    """Veltkamp split of a constant into high and low halves (exact: hi + lo == v)."""
+    c = v * _SPLIT
+    hi = c - (c - v)
+    return hi, v - hi
+
+
+def round_py(c, digits: int) -> Column:
+    """Python ``round(x, digits)`` for doubles (see module docstring).
+
+    p = x * 10^d; its exact rounding error is err = (x_hi * s - p) + x_lo * s (Veltkamp split of x;
+    s = 10^d has few significant bits, so both products are exact for d <= 8). Only when p lands
+    exactly on k + 0.5 does err matter: p is nudged by +-0.25 towards the true value before ``rint``;
+    a true tie (err = 0) stays and goes to even. The argument is referenced ~11 times, so keep it a
+    column reference or a small expression."""
+    assert 0 <= digits <= 8
+    x = col_of(c)
+    scale = float(10 ** digits)
+    s = F.lit(scale)
+    p = x * s
+    cx = x * F.lit(_SPLIT)
+    x_hi = cx - (cx - x)
+    err = (x_hi * s - p) + (x - x_hi) * s
+    nudge = F.when(p - F.floor(p) == F.lit(0.5), F.signum(err) * F.lit(0.25)).otherwise(F.lit(0.0))
+    return F.rint(p + nudge) / s
+
+
 def round_js(c, digits: int) -> Column:
     scale = float(10 ** digits)
     return F.floor(col_of(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)

@@ -11,20 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
-from baleprice.functions.numeric import clip01, col_of, map_get, round_even, round_js, step_value
+from baleprice.functions.numeric import clip01, col_of, map_get, round_even, round_js, round_py, step_value
 from baleprice.operators import lookups as L
 
 _COND_SCORE = {"clean": 1.0, "mixed": 0.5, "contaminated": 0.0}
 
 
 def tier_label(score) -> Column:
-    """Formal >= .70, semi_formal >= .35, else informal."""
+    """Formal >= .70, semi_formal >= .35, else informal (NULL score -> NULL). Written as an index
+    into the three labels so the score is referenced twice only."""
     s = col_of(score)
     hi, lo = D.TIER_THRESHOLDS
-    return (F.when(s.isNull(), F.lit(None).cast("string"))
-            .when(s >= F.lit(hi), F.lit("formal"))
-            .when(s >= F.lit(lo), F.lit("semi_formal"))
-            .otherwise(F.lit("informal")))
+    idx = F.lit(1) + (s >= F.lit(lo)).cast("int") + (s >= F.lit(hi)).cast("int")
+    return F.element_at(F.array(F.lit("informal"), F.lit("semi_formal"), F.lit("formal")), idx)
 
 
 def _tier_mult(discount: Column, score: Column) -> Column:
@@ -39,8 +38,8 @@ def tier_live(df: DataFrame, weight="weight_kg", condition="condition", waste_ty
     score = clip01(F.lit(0.5) * ws + F.lit(0.5) * ((cs - F.lit(0.78)) / F.lit(0.22)))
     d = L.informal_discount(waste_type)
     return (df.withColumn("_tier_score", score)
-            .withColumns({"tier_multiplier": round_even(_tier_mult(d, F.col("_tier_score")), 4),
-                          "tier_score": round_even("_tier_score", 4),
+            .withColumns({"tier_multiplier": round_py(_tier_mult(d, F.col("_tier_score")), 4),
+                          "tier_score": round_py("_tier_score", 4),
                           "market_tier": tier_label("_tier_score")})
             .drop("_tier_score"))
 
@@ -51,8 +50,8 @@ def tier_old(df: DataFrame, weight="weight_kg", condition="condition", waste_typ
     score = F.lit(0.55) * ws + F.lit(0.45) * map_get(_COND_SCORE, condition, 0.5)
     d = L.informal_discount(waste_type)
     return (df.withColumn("_tier_score", score)
-            .withColumns({"tier_multiplier": round_even(_tier_mult(d, F.col("_tier_score")), 4),
-                          "tier_score": round_even("_tier_score", 4),
+            .withColumns({"tier_multiplier": round_py(_tier_mult(d, F.col("_tier_score")), 4),
+                          "tier_score": round_py("_tier_score", 4),
                           "market_tier": tier_label("_tier_score")})
             .drop("_tier_score"))
 
@@ -63,8 +62,8 @@ def tier_train(df: DataFrame, condition="condition", waste_type="waste_type") ->
     score = clip01((L.condition_factor(condition) - F.lit(0.78)) / F.lit(0.22))
     d = L.informal_discount(waste_type)
     return (df.withColumn("_tier_score", score)
-            .withColumns({"tier_multiplier": round_even(_tier_mult(d, F.col("_tier_score")), 4),
-                          "tier_score": round_even("_tier_score", 4)})
+            .withColumns({"tier_multiplier": round_py(_tier_mult(d, F.col("_tier_score")), 4),
+                          "tier_score": round_py("_tier_score", 4)})
             .withColumn("market_tier", tier_label("tier_score"))
             .drop("_tier_score"))
 
@@ -86,7 +85,7 @@ def with_step_multipliers(df: DataFrame) -> DataFrame:
 def train_tier_multiplier(condition="condition", waste_type="waste_type") -> Column:
     """E3 multiplier as a column (rounded to 4 decimals, as the training labels use it)."""
     score = clip01((L.condition_factor(condition) - F.lit(0.78)) / F.lit(0.22))
-    return round_even(_tier_mult(L.informal_discount(waste_type), score), 4)
+    return round_py(_tier_mult(L.informal_discount(waste_type), score), 4)
 
 
 def expected_price_v2(df: DataFrame, tier_multiplier: str | None = None, raw_col: str = "expected_price_raw",
@@ -131,13 +130,13 @@ def expected_price_v1(df: DataFrame, out_col: str = "expected_price_v1", rounded
 
 
 def _factors(base: Column, weight: Column, distance: Column, consistency: Column, month: Column,
-             demand: Column, rnd, per_km: float, cap: float, seasonal_rounded: bool) -> Column:
+             demand: Column, rnd, per_km: float, cap: float, seasonal_rounded: bool, rnd_weight=None) -> Column:
     seasonal = L.seasonal_demand(month)
     dem = F.coalesce(demand, seasonal)
     penalty = F.least(distance * F.lit(per_km), base * F.lit(cap))
     return F.struct(
         (rnd(base, 2) if seasonal_rounded else base).alias("base_price_kes"),
-        rnd(F.lit(1.0) + F.log1p(weight) * F.lit(0.02), 3).alias("weight_multiplier"),
+        (rnd_weight or rnd)(F.lit(1.0) + F.log1p(weight) * F.lit(0.02), 3).alias("weight_multiplier"),
         rnd((consistency - F.lit(0.5)) * base * F.lit(0.4), 2).alias("quality_adjustment"),
         (-F.abs(rnd(penalty, 2))).alias("distance_penalty"),
         (rnd(seasonal, 3) if seasonal_rounded else seasonal).alias("seasonality_factor"),
@@ -146,9 +145,11 @@ def _factors(base: Column, weight: Column, distance: Column, consistency: Column
 
 
 def price_factors_v1(df: DataFrame, out_col: str = "price_factors") -> DataFrame:
-    """E11 (v1): factor breakdown with base from C1 and penalty min(.15 km, .30 base); Python rounding."""
+    """E11 (v1): factor breakdown with base from C1 and penalty min(.15 km, .30 base); Python rounding
+    (the weight multiplier is a numpy value, so it takes numpy's rule)."""
     f = _factors(L.base_price_v1(), F.col("weight_kg"), F.col("distance_km"), F.col("consistency_score"),
-                 F.col("month"), F.col("market_demand_index"), round_even, *D.PENALTY_V1, seasonal_rounded=True)
+                 F.col("month"), F.col("market_demand_index"), round_py, *D.PENALTY_V1, seasonal_rounded=True,
+                 rnd_weight=round_even)
     return df.withColumn(out_col, f)
 
 

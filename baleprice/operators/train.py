@@ -334,3 +334,62 @@ def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[
     return (per.groupBy("feature").agg(F.avg(F.lit(baseline) - F.col("r2")).alias("importance_mean"),
                                        F.stddev_pop(F.lit(baseline) - F.col("r2")).alias("importance_std"))
             .orderBy(F.desc("importance_mean")))
+
+
+# ---------------------------------------------------------------------------------------------------
+# I17 k-fold cross-validation, I18 model comparison
+# ---------------------------------------------------------------------------------------------------
+def cross_validate_mid(features: DataFrame, key: list[str], folds: int = 3, seed: int = 7, **kw) -> DataFrame:
+    """K-fold CV of the mid (q = .5) model. Fold = seeded hash of the row key, so each fold is
+    a fixed subset independent of partitioning. Returns one row per fold (MAE, R2 on the held-out
+    fold); ``cv_summary`` turns it into mean +- std."""
+    from baleprice.operators.evaluate import regression_aggs
+    pipe = feature_pipeline().fit(features)
+    feat = (pipe.transform(features).withColumn("_fold", hash_bucket(key, seed, folds))
+            .select(*key, "price_per_kg", "features", "_fold").persist())
+    out = None
+    for k in range(folds):
+        model = fit_quantile_boost(feat.filter(F.col("_fold") != k), 0.5, key, calibrate=False, **kw)
+        scored = model.predict(feat.filter(F.col("_fold") == k), "pred_mid")
+        res = scored.agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
+        res = cut_lineage(res)
+        out = res if out is None else out.unionByName(res)
+    feat.unpersist()
+    return out
+
+
+def cv_summary(per_fold: DataFrame) -> DataFrame:
+    return per_fold.agg(F.avg("mae").alias("cv_mae"), F.stddev_samp("mae").alias("cv_mae_std"),
+                        F.avg("r2").alias("cv_r2"), F.count(F.lit(1)).alias("folds"))
+
+
+def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed: int = 42,
+                   boost_rounds: int = 10) -> DataFrame:
+    """Ridge regression, random forest and gradient-boosted trees (Spark ML) against the mid
+    quantile booster on the same hash split and feature vector; hold-out MAE, RMSE, R2, MAPE."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+    from baleprice.operators.evaluate import regression_aggs
+    pipe = feature_pipeline().fit(features)
+    feat = (pipe.transform(split_train_test(features, key, test_pct, seed))
+            .select(*key, "price_per_kg", "features", "is_test").persist())
+    train, test = feat.filter(~F.col("is_test")), feat.filter(F.col("is_test"))
+    learners = {
+        "Ridge Regression": LinearRegression(featuresCol="features", labelCol="price_per_kg", regParam=1.0,
+                                             elasticNetParam=0.0, predictionCol="pred_mid"),
+        "Random Forest": RandomForestRegressor(featuresCol="features", labelCol="price_per_kg", numTrees=30,
+                                               maxDepth=10, maxBins=64, seed=seed, predictionCol="pred_mid"),
+        "Gradient Boosting": GBTRegressor(featuresCol="features", labelCol="price_per_kg", maxIter=30, maxDepth=5,
+                                          maxBins=64, stepSize=0.1, seed=seed, predictionCol="pred_mid"),
+    }
+    out = None
+    for name, est in learners.items():
+        scored = est.fit(train).transform(test)
+        res = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
+        res = cut_lineage(res)
+        out = res if out is None else out.unionByName(res)
+    boost = fit_quantile_boost(train, 0.5, key, rounds=boost_rounds, calibrate=False)
+    res = boost.predict(test, "pred_mid").agg(F.lit("Quantile Boosting (q=0.5)").alias("model"),
+                                              F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
+    out = out.unionByName(cut_lineage(res))
+    feat.unpersist()
+    return out

@@ -251,13 +251,13 @@ FACTOR_FIELDS = ["base_price_kes", "weight_multiplier", "quality_adjustment", "d
                  "seasonality_factor", "demand_boost"]
 
 
-def _factor_sql(base: str, rnd, per_km: float, cap: float, v1: bool) -> list[str]:
+def _factor_sql(base: str, rnd, per_km: float, cap: float, v1: bool, rnd_weight=None) -> list[str]:
     seas = S.case_map("month", D.SEASONAL_DEMAND, D.SEASONAL_DEMAND_DEFAULT)
     dem = f"coalesce(market_demand_index, {seas})"
     pen = f"least(distance_km * {S.num(per_km)}, {base} * {S.num(cap)})"
     return [
         f"{rnd(base, 2) if v1 else base} AS base_price_kes",
-        f"{rnd('1.0E0 + ln(1 + weight_kg) * 0.02E0', 3)} AS weight_multiplier",
+        f"{(rnd_weight or rnd)('1.0E0 + ln(1 + weight_kg) * 0.02E0', 3)} AS weight_multiplier",
         f"{rnd(f'(consistency_score - 0.5E0) * {base} * 0.4E0', 2)} AS quality_adjustment",
         f"(-abs({rnd(pen, 2)})) AS distance_penalty",
         f"{rnd(seas, 3) if v1 else seas} AS seasonality_factor",
@@ -303,7 +303,7 @@ def price_factors_js(spark, sf_dir):
 
 
 @register("price_factors_v1", lambda: S.with_base(
-    f"SELECT {S.KEY}, {', '.join(_factor_sql(_base_price_sql(), S.r_even, *D.PENALTY_V1, v1=True))} FROM raw_listings"))
+    f"SELECT {S.KEY}, {', '.join(_factor_sql(_base_price_sql(), S.r_py, *D.PENALTY_V1, v1=True, rnd_weight=S.r_even))} FROM raw_listings"))
 def price_factors_v1(spark, sf_dir):
     """v1 factor breakdown, base from C1, distance penalty min(.15 km, .30 base)."""
     pf = RU.price_factors_v1(raw_listings(spark, sf_dir))
@@ -1040,3 +1040,19 @@ def stratified_sample(spark, sf_dir):
     t = training_table(spark, sf_dir)
     return R.sample_per_group(t, "condition", 500, KEY, seed=42).select(
         *KEY, "condition", "weight_kg", "price_per_kg", "sample_rank")
+
+
+@register("cv_metrics")
+def cv_metrics(spark, sf_dir):
+    """3-fold cross-validation of the mid model: per-fold MAE and R2 (hash folds)."""
+    from baleprice.operators import train as T
+    feats = FE.v2_features(training_table(spark, sf_dir), drop_inputs=False)
+    return T.cross_validate_mid(feats, KEY, folds=3, rounds=6)
+
+
+@register("model_comparison")
+def model_comparison(spark, sf_dir):
+    """Ridge, random forest, gradient boosting and the quantile booster on the same split."""
+    from baleprice.operators import train as T
+    feats = FE.v2_features(training_table(spark, sf_dir), drop_inputs=False)
+    return T.compare_models(feats, KEY)

@@ -40,6 +40,18 @@ def r_even(x: str, d: int) -> str:
     return f"(round_even(({x}) * {s}, 0) / {s})"
 
 
+def r_py(x: str, d: int) -> str:
+    """Python ``round(x, d)`` (same arithmetic as ``numeric.round_py``)."""
+    from baleprice.functions.numeric import _SPLIT
+    s = num(float(10 ** d))
+    p = f"(({x}) * {s})"
+    cx = f"(({x}) * {num(_SPLIT)})"
+    xh = f"({cx} - ({cx} - ({x})))"
+    err = f"(({xh} * {s} - {p}) + (({x}) - {xh}) * {s})"
+    nudge = f"(CASE WHEN {p} - floor({p}) = 0.5E0 THEN sign({err}) * 0.25E0 ELSE 0.0E0 END)"
+    return f"(round_even({p} + {nudge}, 0) / {s})"
+
+
 def r_js(x: str, d: int) -> str:
     s = num(10 ** d)
     return f"(floor(({x}) * {s} + 0.5E0) / {s})"
@@ -56,8 +68,8 @@ def steps(x: str, table, otherwise) -> str:
 
 def tier_label(score: str) -> str:
     hi, lo = D.TIER_THRESHOLDS
-    return (f"(CASE WHEN {score} IS NULL THEN NULL WHEN {score} >= {num(hi)} THEN 'formal' "
-            f"WHEN {score} >= {num(lo)} THEN 'semi_formal' ELSE 'informal' END)")
+    return (f"(['informal', 'semi_formal', 'formal'][1 + CAST({score} >= {num(lo)} AS INTEGER) "
+            f"+ CAST({score} >= {num(hi)} AS INTEGER)])")
 
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -133,8 +145,8 @@ train_clean AS (
   FROM raw_listings
 ),
 train_tier AS (
-  SELECT *, {r_even(f'{disc} + score * (1.0E0 - {disc})', 4)} AS tier_multiplier,
-    {r_even('score', 4)} AS tier_score
+  SELECT *, {r_py(f'{disc} + score * (1.0E0 - {disc})', 4)} AS tier_multiplier,
+    {r_py('score', 4)} AS tier_score
   FROM (SELECT *, {score} AS score FROM train_clean)
 ),
 training AS (
@@ -191,17 +203,17 @@ def tier_select(kind: str, src: str) -> str:
         label_on = "_s"
     else:
         score = clip(f"({case_map('condition', D.COND_FACTORS)} - 0.78E0) / 0.22E0", 0.0, 1.0)
-        label_on = r_even("_s", 4)
+        label_on = r_py("_s", 4)
     d = informal()
-    return f"""SELECT * EXCLUDE (_s), {r_even(f'{d} + _s * (1.0E0 - {d})', 4)} AS tier_multiplier,
-    {r_even('_s', 4)} AS tier_score, {tier_label(label_on)} AS market_tier
+    return f"""SELECT * EXCLUDE (_s), {r_py(f'{d} + _s * (1.0E0 - {d})', 4)} AS tier_multiplier,
+    {r_py('_s', 4)} AS tier_score, {tier_label(label_on)} AS market_tier
   FROM (SELECT *, {score} AS _s FROM {src})"""
 
 
 def e3_multiplier() -> str:
     score = clip(f"({case_map('condition', D.COND_FACTORS)} - 0.78E0) / 0.22E0", 0.0, 1.0)
     d = informal()
-    return r_even(f"{d} + {score} * (1.0E0 - {d})", 4)
+    return r_py(f"{d} + {score} * (1.0E0 - {d})", 4)
 
 
 def e7_raw(alias: str = "x", tier: str | None = None) -> str:
@@ -252,8 +264,8 @@ def postprocess_select(generation: str, src: str, weight: str = "weight_kg") ->
     signal = (f"(CASE WHEN (_hi - _lo) / _mid IS NULL THEN NULL WHEN (_hi - _lo) / _mid < {num(a)} THEN 'stable' "
               f"WHEN (_hi - _lo) / _mid < {num(b)} THEN 'moderate' ELSE 'volatile' END)")
     return f"""SELECT * EXCLUDE (_lo, _mid, _hi), (_hi - _lo) / _mid AS volatility,
-    {r_even('_lo', 2)} AS lower_bound, {r_even('_mid', 2)} AS recommended, {r_even('_hi', 2)} AS upper_bound,
-    {r_even(f'_lo * {weight}', 2)} AS payout_lower, {r_even(f'_mid * {weight}', 2)} AS payout_recommended,
-    {r_even(f'_hi * {weight}', 2)} AS payout_upper, {r_even('_hi - _lo', 2)} AS range_width,
+    {r_py('_lo', 2)} AS lower_bound, {r_py('_mid', 2)} AS recommended, {r_py('_hi', 2)} AS upper_bound,
+    {r_py(f'_lo * {weight}', 2)} AS payout_lower, {r_py(f'_mid * {weight}', 2)} AS payout_recommended,
+    {r_py(f'_hi * {weight}', 2)} AS payout_upper, {r_py('_hi - _lo', 2)} AS range_width,
     {signal} AS market_signal, {lit(D.COVERAGE_LABEL[generation])} AS coverage, {advice} AS advice
   FROM ({mid_sel})"""
