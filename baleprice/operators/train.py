@@ -303,6 +303,19 @@ def r2_expr(y: str, p: str):
     return F.lit(1.0) - F.sum(e * e) / (F.count(F.col(y)) * F.var_pop(y))
 
 
+def block_permutation(df: DataFrame, key: list[str], cols: list[str], seed: int, blocks: int) -> DataFrame:
+    """Adds ``_perm_<c>`` = the value of ``c`` from another row of the same random hash block: rows of
+    a block sorted by key receive the values of the block's rows sorted by a second seeded hash. A
+    bijection within each block; each window holds one block."""
+    t = df.withColumn("_blk", hash_bucket(key, seed, blocks))
+    dst = t.withColumn("_pos", F.row_number().over(Window.partitionBy("_blk").orderBy(*key)))
+    src = t.select("_blk", F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 7919)).alias("_h"),
+                   *[F.col(k).alias(f"_src_{k}") for k in key], *[F.col(c).alias(f"_perm_{c}") for c in cols])
+    w = Window.partitionBy("_blk").orderBy("_h", *[f"_src_{k}" for k in key])
+    src = src.withColumn("_pos", F.row_number().over(w)).drop("_h", *[f"_src_{k}" for k in key])
+    return dst.join(src, ["_blk", "_pos"]).drop("_blk", "_pos")
+
+
 def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[str], n_repeats: int = 5,
                            seed: int = 42, block_rows: int = 100_000, y: str = "price_per_kg") -> DataFrame:
     """Drop in R2 of the mid model when one feature's values are permuted across rows.
@@ -317,13 +330,7 @@ def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[
     baseline = base_pred.agg(r2_expr(y, "pred_mid").alias("r2")).first()["r2"]
     variants = None
     for r in range(n_repeats):
-        s = seed + r
-        t = test.select(*key, y, *FEATURES).withColumn("_blk", hash_bucket(key, s, blocks))
-        dst = t.withColumn("_pos", F.row_number().over(Window.partitionBy("_blk").orderBy(*key)))
-        src = t.select("_blk", F.xxhash64(*[F.col(k) for k in key], F.lit(s + 7919)).alias("_h"),
-                       *[F.col(c).alias(f"_perm_{c}") for c in FEATURES])
-        src = src.withColumn("_pos", F.row_number().over(Window.partitionBy("_blk").orderBy("_h"))).drop("_h")
-        paired = dst.join(src, ["_blk", "_pos"]).drop("_blk", "_pos")
+        paired = block_permutation(test.select(*key, y, *FEATURES), key, FEATURES, seed + r, blocks)
         exploded = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in FEATURES])))
         swapped = exploded.select(
             *key, y, "feature", F.lit(r).alias("repeat"),
