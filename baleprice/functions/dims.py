@@ -211,8 +211,32 @@ def subtypes_in_training_order() -> list[tuple[str, int, str]]:
 # ---------------------------------------------------------------------------------------------------
 # Dimension DataFrames (all bounded by the fixed tables above: broadcast-safe)
 # ---------------------------------------------------------------------------------------------------
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"CAST('{v!r}' AS DOUBLE)"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(x) for x in v) + ")"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def local_frame(spark: SparkSession, rows, ddl: str) -> DataFrame:
+    """A small fixed table as an inline SQL table: a JVM ``LocalRelation`` (no Python worker, no RDD),
+    cast to the declared schema."""
+    schema = T.StructType.fromDDL(ddl)
+    names = [f.name for f in schema.fields]
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return df.select(*[df[n].cast(f.dataType).alias(n) for n, f in zip(names, schema.fields)])
+
+
 def _frame(spark: SparkSession, rows, ddl: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema=ddl)
+    return local_frame(spark, rows, ddl)
 
 
 def base_rates_dim(spark: SparkSession) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Every aggregate is a ``groupBy`` with partial (map-side) aggregation, so a hot key costs one combined
 row per task before the shuffle. Global windows are only used over already aggregated rows (a few
-dozen groups). Scalars needed by a second pass (min/max, totals) are scalar subqueries
-(``DataFrame.scalar()``), which Spark evaluates once and inlines -- no cross join, nothing collected.
+dozen groups). A total needed once by a second pass is a scalar subquery (``DataFrame.scalar()``);
+where several numbers are needed (histogram bounds, line coefficients) they come from one small
+aggregate job -- a handful of numbers, never rows. No cross joins.
 
 Null group keys are dropped first, as pandas ``groupby`` does. ``std`` is the sample deviation.
 """
@@ -120,7 +121,7 @@ def pivot_mean(df: DataFrame, row: str, col: str, values: list[str], value: str
 def pivot_type_condition(df: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Waste type x condition means for the listed types in that order, gaps 0."""
     types = types or D.PIVOT_WASTE_TYPES
-    order = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(types)], "waste_type string, row_order int")
+    order = D.local_frame(df.sparkSession, [(t, i) for i, t in enumerate(types)], "waste_type string, row_order int")
     piv = pivot_mean(df.filter(F.col("waste_type").isin(*types)), "waste_type", "condition",
                      sorted(D.VALID_CONDITIONS))
     return (F.broadcast(order).join(piv, "waste_type", "left").fillna(0.0, subset=sorted(D.VALID_CONDITIONS))
@@ -162,8 +163,13 @@ def histogram(df: DataFrame, x: str, bins: int = D.HISTOGRAM_BINS, value_expr: C
     Min and max are scalar subqueries; empty bins are kept."""
     v = value_expr if value_expr is not None else F.col(x)
     base = df.select(v.alias("_x")).filter(F.col("_x").isNotNull())
-    lo = base.select(F.min("_x")).scalar()
-    hi = base.select(F.max("_x")).scalar()
+    # the two bounds (two numbers) in one aggregate job; under AQE each reference to a scalar
+    # subquery would be planned and run as its own subquery
+    b = base.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    if b["lo"] is None:
+        lo = hi = F.lit(None).cast("double")
+    else:
+        lo, hi = F.lit(float(b["lo"])), F.lit(float(b["hi"]))
     width = (hi - lo) / F.lit(float(bins))
     idx = F.least(F.floor((F.col("_x") - lo) / (hi - lo) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
     counts = base.select(F.when(hi == lo, F.lit(0)).otherwise(idx).alias("bin_index")) \
@@ -186,9 +192,9 @@ def trend_line(df: DataFrame, y: str = PRICE, x: Column | None = None) -> DataFr
 
 def trend_points(df: DataFrame, y: str = PRICE, n: int = D.TREND_POINTS) -> DataFrame:
     """The fitted line evaluated at ``n`` log-spaced weights 10^0 .. 10^3."""
-    line = trend_line(df, y)
-    slope = line.select("slope").scalar()
-    intercept = line.select("intercept").scalar()
+    c = trend_line(df, y).first()  # two fitted numbers
+    slope = F.lit(c["slope"]).cast("double")
+    intercept = F.lit(c["intercept"]).cast("double")
     pts = df.sparkSession.range(n).select(F.col("id").cast("int").alias("point"))
     x = F.pow(F.lit(10.0), F.col("point") * F.lit(3.0 / (n - 1)))
     return pts.select("point", x.alias("weight_kg"), (slope * F.log1p(x) + intercept).alias("price_per_kg"))

@@ -30,42 +30,38 @@ def _tier_mult(discount: Column, score: Column) -> Column:
     return discount + score * (F.lit(1.0) - discount)
 
 
+def _finish_tier(df: DataFrame, waste_type, label_on_rounded: bool) -> DataFrame:
+    """Multiplier d + score (1 - d) and both values rounded to 4 decimals (Python rule). The unrounded
+    values are separate columns first, so the exact rounding references a column, not a re-inlined
+    expression."""
+    d = L.informal_discount(waste_type)
+    work = df.withColumn("_tier_mult", _tier_mult(d, F.col("_tier_score")))
+    work = work.withColumns({"tier_multiplier": round_py("_tier_mult", 4), "tier_score": round_py("_tier_score", 4)})
+    work = work.withColumn("market_tier", tier_label("tier_score" if label_on_rounded else "_tier_score"))
+    return work.drop("_tier_score", "_tier_mult")
+
+
 def tier_live(df: DataFrame, weight="weight_kg", condition="condition", waste_type="waste_type") -> DataFrame:
     """E1 (v2): weight score 1 at 0 kg falling to 0 at 200 kg, condition score via .78 + .22 cs;
     label tested on the unrounded score; multiplier and score rounded to 4 decimals."""
     ws = clip01(F.lit(1.0) - col_of(weight) / F.lit(200.0))
     cs = F.lit(0.78) + map_get(_COND_SCORE, condition, 0.5) * F.lit(0.22)
     score = clip01(F.lit(0.5) * ws + F.lit(0.5) * ((cs - F.lit(0.78)) / F.lit(0.22)))
-    d = L.informal_discount(waste_type)
-    return (df.withColumn("_tier_score", score)
-            .withColumns({"tier_multiplier": round_py(_tier_mult(d, F.col("_tier_score")), 4),
-                          "tier_score": round_py("_tier_score", 4),
-                          "market_tier": tier_label("_tier_score")})
-            .drop("_tier_score"))
+    return _finish_tier(df.withColumn("_tier_score", score), waste_type, label_on_rounded=False)
 
 
 def tier_old(df: DataFrame, weight="weight_kg", condition="condition", waste_type="waste_type") -> DataFrame:
     """E2 (v2old): weight score rises from 5 kg to 100 kg; score = .55 ws + .45 cs (no clip)."""
     ws = clip01((col_of(weight) - F.lit(5.0)) / F.lit(95.0))
     score = F.lit(0.55) * ws + F.lit(0.45) * map_get(_COND_SCORE, condition, 0.5)
-    d = L.informal_discount(waste_type)
-    return (df.withColumn("_tier_score", score)
-            .withColumns({"tier_multiplier": round_py(_tier_mult(d, F.col("_tier_score")), 4),
-                          "tier_score": round_py("_tier_score", 4),
-                          "market_tier": tier_label("_tier_score")})
-            .drop("_tier_score"))
+    return _finish_tier(df.withColumn("_tier_score", score), waste_type, label_on_rounded=False)
 
 
 def tier_train(df: DataFrame, condition="condition", waste_type="waste_type") -> DataFrame:
     """E3 (train): score from the condition factor only; weight is ignored. The label is taken on the
     rounded score, as the training script does."""
     score = clip01((L.condition_factor(condition) - F.lit(0.78)) / F.lit(0.22))
-    d = L.informal_discount(waste_type)
-    return (df.withColumn("_tier_score", score)
-            .withColumns({"tier_multiplier": round_py(_tier_mult(d, F.col("_tier_score")), 4),
-                          "tier_score": round_py("_tier_score", 4)})
-            .withColumn("market_tier", tier_label("tier_score"))
-            .drop("_tier_score"))
+    return _finish_tier(df.withColumn("_tier_score", score), waste_type, label_on_rounded=True)
 
 
 def volume_multiplier(weight="weight_kg") -> Column:
@@ -82,10 +78,13 @@ def with_step_multipliers(df: DataFrame) -> DataFrame:
     return df.withColumns({"volume_multiplier": volume_multiplier(), "distance_multiplier": distance_multiplier()})
 
 
-def train_tier_multiplier(condition="condition", waste_type="waste_type") -> Column:
-    """E3 multiplier as a column (rounded to 4 decimals, as the training labels use it)."""
+def with_train_tier_multiplier(df: DataFrame, out_col: str, condition="condition",
+                               waste_type="waste_type") -> DataFrame:
+    """E3 multiplier (rounded to 4 decimals, as the training labels use it) as a new column."""
     score = clip01((L.condition_factor(condition) - F.lit(0.78)) / F.lit(0.22))
-    return round_py(_tier_mult(L.informal_discount(waste_type), score), 4)
+    raw = f"{out_col}_raw"
+    return (df.withColumn(raw, _tier_mult(L.informal_discount(waste_type), score))
+            .withColumn(out_col, round_py(raw, 4)).drop(raw))
 
 
 def expected_price_v2(df: DataFrame, tier_multiplier: str | None = None, raw_col: str = "expected_price_raw",
@@ -96,17 +95,22 @@ def expected_price_v2(df: DataFrame, tier_multiplier: str | None = None, raw_col
     reference's generator is not applied: ``raw_col`` is the noise-free price, ``out_col`` the same
     floored at 0.5 and rounded to 2 decimals. ``tier_multiplier`` names an existing E3 column; when
     absent the E3 multiplier is derived from condition and waste type."""
-    tm = F.col(tier_multiplier) if tier_multiplier else train_tier_multiplier()
+    work = df
+    if tier_multiplier:
+        tm = F.col(tier_multiplier)
+    else:
+        work = with_train_tier_multiplier(work, "_e7_tm")
+        tm = F.col("_e7_tm")
     dim = D.base_rates_dim(df.sparkSession).select(
         "waste_type", "sub_type", F.col("base_mean").alias("_e7_base"))
-    work = df.join(F.broadcast(dim), on=["waste_type", "sub_type"], how="left")
+    work = work.join(F.broadcast(dim), on=["waste_type", "sub_type"], how="left")
     price = (F.col("_e7_base") * L.condition_factor() * distance_multiplier() * volume_multiplier()
              * L.training_county_multiplier() * L.collection_point_multiplier(generation="train")
              * L.training_seasonal() * tm)
     work = work.withColumn(raw_col, price)
     if out_col:
         work = work.withColumn(out_col, round_even(F.greatest(F.lit(0.5), F.col(raw_col)), 2))
-    return work.drop("_e7_base")
+    return work.drop("_e7_base", "_e7_tm")
 
 
 def expected_price_v1(df: DataFrame, out_col: str = "expected_price_v1", rounded: bool = True) -> DataFrame:
@@ -147,10 +151,11 @@ def _factors(base: Column, weight: Column, distance: Column, consistency: Column
 def price_factors_v1(df: DataFrame, out_col: str = "price_factors") -> DataFrame:
     """E11 (v1): factor breakdown with base from C1 and penalty min(.15 km, .30 base); Python rounding
     (the weight multiplier is a numpy value, so it takes numpy's rule)."""
-    f = _factors(L.base_price_v1(), F.col("weight_kg"), F.col("distance_km"), F.col("consistency_score"),
+    work = df.withColumn("_pf_base", L.base_price_v1())
+    f = _factors(F.col("_pf_base"), F.col("weight_kg"), F.col("distance_km"), F.col("consistency_score"),
                  F.col("month"), F.col("market_demand_index"), round_py, *D.PENALTY_V1, seasonal_rounded=True,
                  rnd_weight=round_even)
-    return df.withColumn(out_col, f)
+    return work.withColumn(out_col, f).drop("_pf_base")
 
 
 def fallback_price(df: DataFrame, reason: str | None = None) -> DataFrame:

@@ -582,7 +582,7 @@ def report_stats(spark, sf_dir):
                       .alias("metric", "value")).select(F.lit("price").alias("section"), "metric", "value")
     total = st.select(F.lit("data").alias("section"), F.lit("total samples").alias("metric"),
                       F.col("n_rows").cast("double").alias("value"))
-    fixed = spark.createDataFrame(
+    fixed = D.local_frame(spark, 
         [("data", "features", float(len(D.CATEGORICAL_FEATURES) + len(D.NUMERIC_FEATURES))),
          ("data", "categorical features", float(len(D.CATEGORICAL_FEATURES))),
          ("data", "numerical features", float(len(D.NUMERIC_FEATURES)))], "section string, metric string, value double")
@@ -1009,7 +1009,7 @@ def feature_importance(spark, sf_dir):
     """Split-gain importances of the mid model averaged over boosting rounds, ranked."""
     from baleprice.operators import train as T
     imp = _bundle(spark, sf_dir).models["mid"].feature_importances()
-    df = spark.createDataFrame(list(zip(T.FEATURES, imp)), "feature string, importance double")
+    df = D.local_frame(spark, list(zip(T.FEATURES, imp)), "feature string, importance double")
     from pyspark.sql import Window
     # 15 rows (one per feature): a global window is fine here
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
