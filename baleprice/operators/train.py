@@ -285,10 +285,12 @@ class RangeModelBundle:
 def train_range_bundle(features: DataFrame, key: list[str], **kw) -> RangeModelBundle:
     """Entry 2 of the reference as one Spark job stream: fit the feature pipeline on the rows given,
     cache the assembled vectors, fit the three quantile models."""
-    pipe = feature_pipeline().fit(features)
-    feat = pipe.transform(features).select(*key, "price_per_kg", "features").persist()
+    rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
+    pipe = feature_pipeline().fit(rows)
+    feat = pipe.transform(rows).select(*key, "price_per_kg", "features").persist()
     models = fit_range_models(feat, key, **kw)
     feat.unpersist()
+    rows.unpersist()
     meta = {"version": "2.2-spark", "features": FEATURES, "categorical": CAT, "numerical": NUM,
             "quantiles": D.QUANTILES, "rounds": len(models["mid"].trees),
             "learning_rate": models["mid"].learning_rate}
