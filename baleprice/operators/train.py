@@ -184,7 +184,7 @@ class QuantileBoostModel:
 
 
 def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "price_per_kg",
-                       features_col: str = "features", rounds: int = 10, learning_rate: float = 0.3,
+                       features_col: str = "features", rounds: int = 10, learning_rate: float = 0.6,
                        max_depth: int = 6, subsample: float = 0.85, min_instances: int = 2, max_bins: int = 64,
                        seed: int = 42, accuracy: int = 10000, checkpoint_every: int = 4,
                        calibrate: bool = True) -> QuantileBoostModel:
