@@ -209,9 +209,14 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
                                      minInstancesPerNode=min_instances, seed=seed + t).fit(sample)
         tree.setLeafCol("_leaf").setPredictionCol("_tp")
         scored = tree.transform(work).drop("_tp")
+        e = F.col("_y") - F.col("_f")
         leaf_tbl = scored.groupBy("_leaf").agg(
-            F.percentile_approx(F.col("_y") - F.col("_f"), q, accuracy).alias("v")).collect()
+            F.percentile_approx(e, q, accuracy).alias("v"),
+            F.sum(F.when(e >= 0, F.lit(q) * e).otherwise(F.lit(q - 1.0) * e)).alias("loss"),
+            F.count(F.lit(1)).alias("n")).collect()
         leaves = {float(r["_leaf"]): float(r["v"]) for r in leaf_tbl}
+        # training pinball loss of the model before this round (same job, summed over <= 2^depth leaves)
+        model.history.append(sum(r["loss"] for r in leaf_tbl) / max(1, sum(r["n"] for r in leaf_tbl)))
         model.trees.append(tree)
         model.leaf_values.append(leaves)
         upd = F.col("_f") + F.lit(learning_rate) * F.coalesce(

@@ -107,3 +107,10 @@ def test_conditional_quantiles_match_pandas(spark):
     want = pdf.groupby(["waste_type", "sub_type", "condition"])["price_per_kg"].quantile(0.5).to_dict()
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_training_loss_falls(trained):
+    _, bundle = trained
+    for name, m in bundle.models.items():
+        h = m.history
+        assert len(h) == len(m.trees) and h[-1] < h[0], (name, h)
