@@ -94,7 +94,8 @@ def binned_stats(df: DataFrame, x: str, bins, value: str | None = PRICE, prefix:
            .groupBy(f"{prefix}_index")
            .agg(F.count("_v").alias("n_rows"), F.avg("_v").alias("mean_value"), F.stddev_samp("_v").alias("std_value")))
     dim = D.bins_dim(df.sparkSession, bins, prefix)
-    return (F.broadcast(dim).join(agg, f"{prefix}_index", "left")
+    # agg has at most len(bins) rows: broadcast it (the fixed bin table is the preserved side)
+    return (dim.join(F.broadcast(agg), f"{prefix}_index", "left")
             .select(f"{prefix}_index", f"{prefix}_label", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
                     "mean_value", "std_value")
             .orderBy(f"{prefix}_index"))
@@ -124,7 +125,8 @@ def pivot_type_condition(df: DataFrame, types: list[str] | None = None) -> DataF
     order = D.local_frame(df.sparkSession, [(t, i) for i, t in enumerate(types)], "waste_type string, row_order int")
     piv = pivot_mean(df.filter(F.col("waste_type").isin(*types)), "waste_type", "condition",
                      sorted(D.VALID_CONDITIONS))
-    return (F.broadcast(order).join(piv, "waste_type", "left").fillna(0.0, subset=sorted(D.VALID_CONDITIONS))
+    # piv has at most len(types) rows
+    return (order.join(F.broadcast(piv), "waste_type", "left").fillna(0.0, subset=sorted(D.VALID_CONDITIONS))
             .orderBy("row_order"))
 
 
@@ -175,7 +177,8 @@ def histogram(df: DataFrame, x: str, bins: int = D.HISTOGRAM_BINS, value_expr: C
     counts = base.select(F.when(hi == lo, F.lit(0)).otherwise(idx).alias("bin_index")) \
         .groupBy("bin_index").agg(F.count(F.lit(1)).alias("n_rows"))
     edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin_index"))
-    return (F.broadcast(edges).join(counts, "bin_index", "left")
+    # counts has at most ``bins`` rows
+    return (edges.join(F.broadcast(counts), "bin_index", "left")
             .select("bin_index", (lo + F.col("bin_index") * width).alias("bin_lo"),
                     (lo + (F.col("bin_index") + 1) * width).alias("bin_hi"),
                     F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))

@@ -64,8 +64,8 @@ def split_train_test(df: DataFrame, key: list[str], test_pct: int = 15, seed: in
     return df.withColumn("is_test", hash_bucket(key, seed, 100) < F.lit(test_pct))
 
 
-def fit_ordinal(df: DataFrame, cols: list[str]) -> DataFrame:
-    """I2 fit: (feature, value, code) with codes 0..n-1 in sorted value order, per feature.
+def ordinal_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """I2 fit as a table: (feature, value, code) with codes 0..n-1 in sorted value order, per feature.
     Work is distinct values only; the ranking window is per feature over its distinct values."""
     parts = [df.select(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
              .filter(F.col("value").isNotNull()).distinct() for c in cols]
@@ -76,15 +76,47 @@ def fit_ordinal(df: DataFrame, cols: list[str]) -> DataFrame:
     return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def apply_ordinal(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:
-    """I2 transform: unknown or NULL values get -1. The code table is joined without a hint, so
-    Catalyst/AQE broadcast it only when its measured size is under the broadcast threshold."""
-    out = df
-    for c in cols:
-        m = codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(c + suffix))
-        out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
-               .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1))))
-    return out
+@dataclass
+class OrdinalModel:
+    """Fitted ordinal encoder. ``vocab`` holds the categories on the driver (like a fitted
+    ``StringIndexerModel``) when the vocabulary passed the size check; otherwise ``codes`` is the code
+    table and ``transform`` joins it (a plain join: Catalyst/AQE pick the strategy from its size)."""
+    cols: list
+    vocab: dict | None = None
+    codes: DataFrame | None = None
+
+    def transform(self, df: DataFrame, suffix: str = "_code") -> DataFrame:
+        out = df
+        if self.vocab is not None:
+            return out.withColumns({c + suffix: F.coalesce(
+                F.try_element_at(literal_map(self.vocab[c]), F.col(c).cast("string")).cast("int"), F.lit(-1))
+                for c in self.cols})
+        for c in self.cols:
+            m = self.codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
+                                                                F.col("code").alias(c + suffix))
+            out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+                   .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1))))
+        return out
+
+
+def fit_ordinal(df: DataFrame, cols: list[str], max_vocab: int = 10_000) -> OrdinalModel:
+    """I2 fit (sorted categories, unknown -> -1). The vocabulary size is counted first (one small
+    aggregate); only a vocabulary of at most ``max_vocab`` entries is brought to the driver and applied
+    as literal maps (no join, no shuffle). A larger one stays a table and is joined."""
+    codes = ordinal_codes(df, cols).persist()
+    n = codes.count()
+    if n <= max_vocab:
+        vocab: dict = {c: {} for c in cols}
+        for r in codes.collect():
+            vocab[r["feature"]][r["value"]] = r["code"]
+        codes.unpersist()
+        return OrdinalModel(cols, vocab=vocab)
+    return OrdinalModel(cols, codes=codes)
+
+
+def apply_ordinal(df: DataFrame, model: OrdinalModel, suffix: str = "_code") -> DataFrame:
+    """I2 transform: unknown or NULL values get -1."""
+    return model.transform(df, suffix)
 
 
 @dataclass

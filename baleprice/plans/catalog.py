@@ -924,8 +924,8 @@ def ordinal_encode(spark, sf_dir):
     """Ordinal codes of the six categorical features (sorted categories, unknown -> -1)."""
     from baleprice.operators import train as T
     t = training_table(spark, sf_dir)
-    codes = T.fit_ordinal(t, D.CATEGORICAL_FEATURES)
-    out = T.apply_ordinal(t, codes, D.CATEGORICAL_FEATURES)
+    model = T.fit_ordinal(t, D.CATEGORICAL_FEATURES)
+    out = T.apply_ordinal(t, model)
     return out.select(*KEY, *[f"{c}_code" for c in D.CATEGORICAL_FEATURES])
 
 
