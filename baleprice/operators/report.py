@@ -59,11 +59,13 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
-    """Count and percentage of all rows per value. The total is a scalar subquery over the
-    same input (NULL keys count in the total, as ``len(df)`` does)."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return (_nonnull(df, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("share_pct", F.col("n_rows") / total * F.lit(100.0)))
+    """Count and percentage of all rows per value in one pass: the NULL-key group is kept until
+    the total is summed over the (few) aggregated rows, since NULL keys count in the total as
+    ``len(df)`` does, then dropped."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    total = F.sum("n_rows").over(Window.partitionBy())  # over aggregated rows only
+    return (counts.withColumn("share_pct", F.col("n_rows") / total * F.lit(100.0))
+            .filter(F.col(key).isNotNull()))
 
 
 def summary_by(df: DataFrame, key: str, value: str = PRICE, digits: int = 1) -> DataFrame:

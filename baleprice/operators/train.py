@@ -439,3 +439,16 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
     out = out.unionByName(cut_lineage(res))
     feat.unpersist()
     return out
+
+
+def train_from_csv(spark, path: str, rounds: int = 10, **kw) -> RangeModelBundle:
+    """Retrain the three range models from a CSV with the documented training columns (header row,
+    declared schema). The file carries no row id, so the row key for the hash split / subsampling is
+    the full row: identical rows always fall on the same side."""
+    from baleprice.operators.features import v2_features
+    from baleprice.sources.io import TRAINING_SCHEMA, read_csv
+    df = read_csv(spark, path, TRAINING_SCHEMA).filter(F.col("price_per_kg").isNotNull())
+    key = [f.name for f in TRAINING_SCHEMA.fields]
+    feats = v2_features(df.select(*key, *[F.col(c).alias(f"_k_{c}") for c in key]), drop_inputs=False)
+    kcols = [f"_k_{c}" for c in key]
+    return train_range_bundle(feats, kcols, rounds=rounds, **kw)

@@ -528,11 +528,10 @@ UNION ALL SELECT 'v1r' AS generation, {S.KEY}, {cols_v1r} FROM r1p""", ctes)
 def postprocess_range_old(spark, sf_dir):
     """older generations -- v2old (floor, no multipliers, no guard, coverage '62%', old tier) and
     v1r (floor, signal, short advice, unclipped weight) -- over every listing."""
-    raw = raw_listings(spark, sf_dir)
+    raw = raw_listings(spark, sf_dir).withColumn("raw_weight_kg", F.col("weight_kg"))  # v1r does not clip
     pred = SC.rule_predictions(C.clean_listings(raw, "train"))
     old = SC.postprocess_range(RU.tier_old(pred), "v2old")
-    v1r_in = pred.drop("weight_kg").join(raw.select(*KEY, "weight_kg"), KEY)
-    v1r = (SC.postprocess_range(v1r_in, "v1r")
+    v1r = (SC.postprocess_range(pred, "v1r", weight="raw_weight_kg")
            .withColumns({"market_tier": F.lit(None).cast("string"), "tier_score": F.lit(None).cast("double")}))
     both = (old.select(F.lit("v2old").alias("generation"), *KEY, *OLD_COLS)
             .unionByName(v1r.select(F.lit("v1r").alias("generation"), *KEY, *OLD_COLS)))
@@ -577,27 +576,23 @@ def report_stats(spark, sf_dir):
     """The text report's data section as (section, metric, value) rows: sample and feature
     counts, price mean / median / std / min / max, tier counts and shares."""
     t = _training(spark, sf_dir).select("price_per_kg", "market_tier")
-    st = R.global_stats(t)
-    price = st.select(F.expr("stack(5, 'mean', mean, 'median', median, 'std', std, 'min', min, 'max', max)")
-                      .alias("metric", "value")).select(F.lit("price").alias("section"), "metric", "value")
-    total = st.select(F.lit("data").alias("section"), F.lit("total samples").alias("metric"),
-                      F.col("n_rows").cast("double").alias("value"))
-    fixed = D.local_frame(spark, 
-        [("data", "features", float(len(D.CATEGORICAL_FEATURES) + len(D.NUMERIC_FEATURES))),
-         ("data", "categorical features", float(len(D.CATEGORICAL_FEATURES))),
-         ("data", "numerical features", float(len(D.NUMERIC_FEATURES)))], "section string, metric string, value double")
     labels = {"formal": "Formal", "semi_formal": "Semi-formal", "informal": "Informal"}
-    n_all = t.select(F.count(F.lit(1))).scalar()
-    counts = t.agg(*[F.count(F.when(F.col("market_tier") == k, 1)).alias(k) for k in labels])
-    tiers = None
+    # one pass: every statistic of the section in a single aggregate, then rows via stack
+    one = t.agg(F.count(F.lit(1)).alias("n"), F.avg("price_per_kg").alias("mean"),
+                F.percentile("price_per_kg", 0.5).alias("median"), F.stddev_samp("price_per_kg").alias("std"),
+                F.min("price_per_kg").alias("min"), F.max("price_per_kg").alias("max"),
+                *[F.count(F.when(F.col("market_tier") == k, 1)).alias(f"c_{k}") for k in labels])
+    n_feat = len(D.CATEGORICAL_FEATURES) + len(D.NUMERIC_FEATURES)
+    rows = [("data", "total samples", "CAST(n AS DOUBLE)"), ("data", "features", f"{float(n_feat)}D"),
+            ("data", "categorical features", f"{float(len(D.CATEGORICAL_FEATURES))}D"),
+            ("data", "numerical features", f"{float(len(D.NUMERIC_FEATURES))}D"),
+            ("price", "mean", "mean"), ("price", "median", "median"), ("price", "std", "std"),
+            ("price", "min", "min"), ("price", "max", "max")]
     for k, label in labels.items():
-        part = counts.select(F.lit("market_tier").alias("section"), F.lit(f"{label} count").alias("metric"),
-                             F.col(k).cast("double").alias("value")).unionByName(
-            counts.select(F.lit("market_tier").alias("section"), F.lit(f"{label} pct").alias("metric"),
-                          (F.col(k) / n_all * F.lit(100.0)).alias("value")))
-        tiers = part if tiers is None else tiers.unionByName(part)
-    out = total.unionByName(fixed).unionByName(price).unionByName(tiers)
-    return round_doubles(out, DIGITS)
+        rows += [("market_tier", f"{label} count", f"CAST(c_{k} AS DOUBLE)"),
+                 ("market_tier", f"{label} pct", f"c_{k} / n * 100.0D")]
+    stack = "stack({}, {})".format(len(rows), ", ".join(f"'{a}', '{b}', {e}" for a, b, e in rows))
+    return round_doubles(one.select(F.expr(stack).alias("section", "metric", "value")), DIGITS)
 
 
 @register("tier_counts", lambda: S.with_base(

@@ -93,3 +93,25 @@ def test_entry_smoke(spark):
     from __spark_entry__ import entry
     df = entry(spark)
     assert df.count() > 0
+
+
+def test_train_from_csv(spark):
+    from baleprice.operators import train as T
+    from baleprice.sources import io
+    from baleprice.sources.listings import TRAINING_COLUMNS, training_table
+    path = os.path.join(_tmp(), "train_csv_for_fit")
+    io.write_csv(training_table(spark, SF_SMALL).select(*TRAINING_COLUMNS), path)
+    bundle = T.train_from_csv(spark, path, rounds=2)
+    assert set(bundle.models) == {"lower", "mid", "upper"}
+    assert all(len(m.trees) == 2 for m in bundle.models.values())
+
+
+def test_reject_counts_has_dump_site_warning(rows):
+    from baleprice.operators.clean import reject_counts
+    df = rows([("plastic", "PET", 10.0, "clean", "Nairobi", 5.0, "dump_site"),
+               ("stone", "PET", 10.0, "clean", "Nairobi", 5.0, "household")],
+              "waste_type string, sub_type string, weight_kg double, condition string, county string, "
+              "distance_km double, collection_point string")
+    got = {(r.severity, r.reason): r.n_rows for r in reject_counts(df).collect()}
+    assert got == {("warning", "collection_point dump_site priced as commercial"): 1,
+                   ("error", "waste_type not allowed"): 1}
