@@ -153,6 +153,13 @@ def feature_pipeline(max_cat: int = 64) -> Pipeline:
     return Pipeline(stages=[idx, vec])
 
 
+def tree_bins(pipe: PipelineModel, floor: int = 32) -> int:
+    """Histogram bins for the trees: 32, or more when a categorical feature has more values (every
+    category needs its own bin; the indexers add one slot for unseen values)."""
+    labels = pipe.stages[0].labelsArray
+    return max(floor, max(len(lbls) + 1 for lbls in labels))
+
+
 @dataclass
 class QuantileBoostModel:
     """Gradient boosting on the pinball loss: f = f0 + lr * sum_t leaf_value_t(leaf_t(x)) + shift."""
@@ -217,7 +224,7 @@ class QuantileBoostModel:
 
 def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "price_per_kg",
                        features_col: str = "features", rounds: int = 10, learning_rate: float = 0.6,
-                       max_depth: int = 6, subsample: float = 0.85, min_instances: int = 2, max_bins: int = 64,
+                       max_depth: int = 6, subsample: float = 0.85, min_instances: int = 2, max_bins: int = 32,
                        seed: int = 42, accuracy: int = 10000, checkpoint_every: int = 4,
                        calibrate: bool = True) -> QuantileBoostModel:
     """Quantile regression by boosting Spark ML regression trees on the pinball-loss gradient.
@@ -226,14 +233,15 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
     ``DecisionTreeRegressor`` (distributed histogram split search) on g; each leaf then gets the
     q-quantile of the residuals y - f of its rows (``percentile_approx``: bounded sketch, partial
     aggregation); f += lr x leaf value. A tree has at most 2^depth leaves, so the leaf table that
-    reaches the driver is bounded. The working frame is checkpointed to the shared checkpoint folder
-    every few rounds (reliable, survives executor loss) to keep the lineage short. A final calibration
+    reaches the driver is bounded. The working frame is persisted each round and checkpointed to the
+    shared checkpoint folder every ``checkpoint_every`` rounds (reliable, survives executor loss), so
+    a lost executor never replays more than that many rounds. A final calibration
     shift adds the q-quantile of the remaining training residuals."""
     base = data.select(*key, F.col(label).alias("_y"), F.col(features_col).alias("_x"))
     f0 = float(base.select(F.percentile_approx("_y", q, accuracy)).first()[0])
-    work = cut_lineage(base.withColumn("_f", F.lit(f0)))
+    work = base.withColumn("_f", F.lit(f0)).persist()  # lineage is short here: the input is persisted
     model = QuantileBoostModel(q, f0, learning_rate)
-    prev = None
+    prev = work
     for t in range(rounds):
         grad = work.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), F.lit(q)).otherwise(F.lit(q - 1.0)))
         sample = grad.filter(hash_bucket(key, seed + 1000 * t + int(q * 100), 1000) < F.lit(int(subsample * 1000)))
@@ -254,7 +262,7 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
         upd = F.col("_f") + F.lit(learning_rate) * F.coalesce(
             F.try_element_at(literal_map(leaves), F.col("_leaf")), F.lit(0.0))
         new_work = scored.withColumn("_f", upd).drop("_leaf")
-        if (t + 1) % checkpoint_every == 0 or t == rounds - 1:
+        if (t + 1) % checkpoint_every == 0 and t < rounds - 1:
             new_work = cut_lineage(new_work)
         else:
             new_work = new_work.persist()
@@ -324,6 +332,7 @@ def train_range_bundle(features: DataFrame, key: list[str], **kw) -> RangeModelB
     cache the assembled vectors, fit the three quantile models."""
     rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
     pipe = feature_pipeline().fit(rows)
+    kw.setdefault("max_bins", tree_bins(pipe))
     feat = pipe.transform(rows).select(*key, "price_per_kg", "features").persist()
     models = fit_range_models(feat, key, **kw)
     feat.unpersist()
@@ -339,7 +348,8 @@ def train_range_bundle(features: DataFrame, key: list[str], **kw) -> RangeModelB
 # ---------------------------------------------------------------------------------------------------
 def r2_expr(y: str, p: str):
     e = F.col(y) - F.col(p)
-    return F.lit(1.0) - F.sum(e * e) / (F.count(F.col(y)) * F.var_pop(y))
+    sst = F.count(F.col(y)) * F.var_pop(y)
+    return F.lit(1.0) - F.sum(e * e) / F.when(sst == 0, F.lit(None)).otherwise(sst)  # ANSI-safe
 
 
 def block_permutation(df: DataFrame, key: list[str], cols: list[str], seed: int, blocks: int) -> DataFrame:
@@ -391,6 +401,7 @@ def cross_validate_mid(features: DataFrame, key: list[str], folds: int = 3, seed
     fold); ``cv_summary`` turns it into mean +- std."""
     from baleprice.operators.evaluate import regression_aggs
     pipe = feature_pipeline().fit(features)
+    kw.setdefault("max_bins", tree_bins(pipe))
     feat = (pipe.transform(features).withColumn("_fold", hash_bucket(key, seed, folds))
             .select(*key, "price_per_kg", "features", "_fold").persist())
     out = None
@@ -416,6 +427,7 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
     from baleprice.operators.evaluate import regression_aggs
     pipe = feature_pipeline().fit(features)
+    bins = tree_bins(pipe, 64)
     feat = (pipe.transform(split_train_test(features, key, test_pct, seed))
             .select(*key, "price_per_kg", "features", "is_test").persist())
     train, test = feat.filter(~F.col("is_test")), feat.filter(F.col("is_test"))
@@ -423,9 +435,9 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
         "Ridge Regression": LinearRegression(featuresCol="features", labelCol="price_per_kg", regParam=1.0,
                                              elasticNetParam=0.0, predictionCol="pred_mid"),
         "Random Forest": RandomForestRegressor(featuresCol="features", labelCol="price_per_kg", numTrees=30,
-                                               maxDepth=10, maxBins=64, seed=seed, predictionCol="pred_mid"),
+                                               maxDepth=10, maxBins=bins, seed=seed, predictionCol="pred_mid"),
         "Gradient Boosting": GBTRegressor(featuresCol="features", labelCol="price_per_kg", maxIter=30, maxDepth=5,
-                                          maxBins=64, stepSize=0.1, seed=seed, predictionCol="pred_mid"),
+                                          maxBins=bins, stepSize=0.1, seed=seed, predictionCol="pred_mid"),
     }
     out = None
     for name, est in learners.items():
@@ -433,7 +445,7 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
         res = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
         res = cut_lineage(res)
         out = res if out is None else out.unionByName(res)
-    boost = fit_quantile_boost(train, 0.5, key, rounds=boost_rounds, calibrate=False)
+    boost = fit_quantile_boost(train, 0.5, key, rounds=boost_rounds, calibrate=False, max_bins=bins)
     res = boost.predict(test, "pred_mid").agg(F.lit("Quantile Boosting (q=0.5)").alias("model"),
                                               F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
     out = out.unionByName(cut_lineage(res))
