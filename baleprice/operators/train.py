@@ -66,12 +66,10 @@ def split_train_test(df: DataFrame, key: list[str], test_pct: int = 15, seed: in
 
 def ordinal_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """I2 fit as a table: (feature, value, code) with codes 0..n-1 in sorted value order, per feature.
-    Work is distinct values only; the ranking window is per feature over its distinct values."""
-    parts = [df.select(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-             .filter(F.col("value").isNotNull()).distinct() for c in cols]
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionByName(p)
+    One pass over the input: every row emits its (feature, value) pairs, ``distinct`` dedupes them
+    map-side first; the ranking window is per feature over its distinct values only."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])
+    vals = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct())
     w = Window.partitionBy("feature").orderBy("value")
     return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
