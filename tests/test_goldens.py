@@ -151,3 +151,41 @@ def test_has_subtype_and_v1_vector(rows):
     assert out[0].has_subtype == 0.0 and out[1].has_subtype == 1.0
     assert len(out[0].features_v1) == 48 == len(v1_feature_names())
     assert out[0].market_demand_index == pytest.approx(.9)
+
+
+PRED = LISTING + ", pred_lower double, pred_mid double, pred_upper double, market_tier string"
+
+
+def test_crossing_guard_v2_only(rows):
+    data = [("plastic", "PET", 10.0, 5.0, "clean", "Nairobi", "commercial", 6, 1, 12.0, 10.0, 8.0, "formal")]
+    v2 = SC.postprocess_range(rows(data, PRED), "v2").first()
+    assert (v2.lower_bound, v2.recommended, v2.upper_bound) == (10.0, 10.0, 10.0)
+    old = SC.postprocess_range(rows(data, PRED), "v2old").first()
+    # no guard in the old generation: crossed bounds, negative volatility reads 'stable'
+    assert (old.lower_bound, old.upper_bound) == (12.0, 8.0) and old.volatility < 0 and old.market_signal == "stable"
+    assert old.coverage == "62%" and v2.coverage == "70%"
+
+
+def test_v1r_advice_and_no_multipliers(rows):
+    data = [("plastic", "PET", 10.0, 5.0, "clean", "Eldoret", "household", 6, 1, 2.5, 3.5, 4.5, "formal")]
+    r = SC.postprocess_range(rows(data, PRED), "v1r").first()
+    assert (r.lower_bound, r.recommended, r.upper_bound) == (2.5, 3.5, 4.5)
+    assert r.advice == "Negotiate between KES 2–4/kg. Fair rate is KES 4/kg."
+
+
+def test_nested_response_shape(rows):
+    data = [("plastic", "PET", 50.0, 5.0, "clean", "Mombasa", "household", 6, 1, 9.0, 14.0, 20.0, "formal")]
+    post = SC.postprocess_range(rows(data, PRED).withColumn("tier_score", F.lit(0.875)), "v2")
+    api = SC.nest_response(post, "v2", api_shape=True).select("response.market_info.*").columns
+    full = SC.nest_response(post, "v2", api_shape=False).select("response.market_info.*").columns
+    assert "county_multiplier" not in api and "county_multiplier" in full
+    assert api == ["market_tier", "tier_score", "range_width", "market_signal", "coverage", "advice"]
+
+
+def test_date_defaults_conventions(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("2024-01-07 10:00:00",)], "ts string").select(
+        F.to_timestamp_ntz(F.col("ts")).alias("listed_at"))   # a Sunday
+    py = C.resolve_dates(df, "listed_at", "python").first()
+    js = C.resolve_dates(df, "listed_at", "js").first()
+    assert (py.month, py.day_of_week) == (1, 6) and js.day_of_week == 0

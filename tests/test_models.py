@@ -114,3 +114,17 @@ def test_training_loss_falls(trained):
     for name, m in bundle.models.items():
         h = m.history
         assert len(h) == len(m.trees) and h[-1] < h[0], (name, h)
+
+
+def test_price_listings_with_bundle(spark, trained):
+    from baleprice.plans.serve import price_listings
+    from baleprice.sources.listings import KEY, raw_listings
+    _, bundle = trained
+    req = raw_listings(spark, SF_SMALL).limit(300)
+    out = price_listings(req, bundle=bundle, keep=KEY)
+    valid = out.filter("is_valid")
+    assert valid.filter(F.col("response").isNull()).count() == 0
+    pr = valid.select("response.price_range.*")
+    assert pr.filter(~((F.col("lower_bound") <= F.col("recommended")) &
+                       (F.col("recommended") <= F.col("upper_bound")))).count() == 0
+    assert out.filter("NOT is_valid AND response IS NOT NULL").count() == 0
