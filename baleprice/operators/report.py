@@ -243,3 +243,9 @@ def sample_per_group(df: DataFrame, group: str, n: int, key: list[str], seed: in
     w2 = Window.partitionBy(group).orderBy("_h", *key)
     return (cand.withColumn("sample_rank", F.row_number().over(w2)).filter(F.col("sample_rank") <= n)
             .drop("_h", "_salt"))
+
+
+def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42, salt_buckets: int = 64) -> DataFrame:
+    """H6: ``min(n, len(df))`` rows drawn by a seeded hash of the row key (the whole input is one
+    group; the two-phase plan of ``sample_per_group`` keeps every task's share bounded)."""
+    return sample_per_group(df.withColumn("_all", F.lit(0)), "_all", n, key, seed, salt_buckets).drop("_all")

@@ -1051,3 +1051,11 @@ def model_comparison(spark, sf_dir):
     from baleprice.operators import train as T
     feats = FE.v2_features(training_table(spark, sf_dir), drop_inputs=False)
     return T.compare_models(feats, KEY)
+
+
+@register("sample_trend")
+def sample_trend(spark, sf_dir):
+    """G17 (training variant), H6: least-squares line price ~ log1p(weight) on a 1000-row hash sample
+    of the plastic / clean rows."""
+    t = training_table(spark, sf_dir).filter((F.col("waste_type") == "plastic") & (F.col("condition") == "clean"))
+    return R.trend_line(R.sample_n(t, 1000, KEY, seed=42))

@@ -128,3 +128,13 @@ def test_price_listings_with_bundle(spark, trained):
     assert pr.filter(~((F.col("lower_bound") <= F.col("recommended")) &
                        (F.col("recommended") <= F.col("upper_bound")))).count() == 0
     assert out.filter("NOT is_valid AND response IS NOT NULL").count() == 0
+
+
+def test_sample_n_matches_brute_force(spark):
+    from baleprice.operators.report import sample_n
+    from baleprice.sources.listings import KEY, training_table
+    t = training_table(spark, SF_SMALL)
+    got = {tuple(r) for r in sample_n(t, 100, KEY, seed=7, salt_buckets=4).select(*KEY).collect()}
+    pdf = t.select(*KEY, F.xxhash64(*[F.col(k) for k in KEY], F.lit(7)).alias("h")).toPandas()
+    want = set(map(tuple, pdf.sort_values(["h"] + KEY).head(100)[KEY].itertuples(index=False)))
+    assert got == want
