@@ -168,6 +168,7 @@ class QuantileBoostModel:
     leaf_values: list = field(default_factory=list)
     shift: float = 0.0
     history: list = field(default_factory=list)
+    valid_history: list = field(default_factory=list)
 
     def predict(self, df: DataFrame, out_col: str, features_col: str = "features") -> DataFrame:
         total = F.lit(0.0)
@@ -224,7 +225,8 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
                        features_col: str = "features", rounds: int = 10, learning_rate: float = 0.6,
                        max_depth: int = 6, subsample: float = 0.85, min_instances: int = 2, max_bins: int = 32,
                        seed: int = 42, accuracy: int = 10000, checkpoint_every: int = 4,
-                       calibrate: bool = True) -> QuantileBoostModel:
+                       calibrate: bool = True, valid: DataFrame | None = None,
+                       patience: int = 2) -> QuantileBoostModel:
     """Quantile regression by boosting Spark ML regression trees on the pinball-loss gradient.
 
     Round t: gradient g = q if y >= f else q - 1 on a hashed ``subsample`` of rows; fit a
@@ -234,12 +236,21 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
     reaches the driver is bounded. The working frame is persisted each round and checkpointed to the
     shared checkpoint folder every ``checkpoint_every`` rounds (reliable, survives executor loss), so
     a lost executor never replays more than that many rounds. A final calibration
-    shift adds the q-quantile of the remaining training residuals."""
+    shift adds the q-quantile of the remaining training residuals.
+
+    With ``valid`` (same columns), its predictions are carried along and its pinball loss is recorded
+    per round (``valid_history``); training stops after ``patience`` rounds without improvement and the
+    model is cut back to its best round."""
     base = data.select(*key, F.col(label).alias("_y"), F.col(features_col).alias("_x"))
     f0 = float(base.select(F.percentile_approx("_y", q, accuracy)).first()[0])
     work = base.withColumn("_f", F.lit(f0)).persist()  # lineage is short here: the input is persisted
     model = QuantileBoostModel(q, f0, learning_rate)
     prev = work
+    vwork = None
+    best, best_round = float("inf"), 0
+    if valid is not None:
+        vwork = valid.select(F.col(label).alias("_y"), F.col(features_col).alias("_x")) \
+            .withColumn("_f", F.lit(f0)).persist()
     for t in range(rounds):
         grad = work.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), F.lit(q)).otherwise(F.lit(q - 1.0)))
         sample = grad.filter(hash_bucket(key, seed + 1000 * t + int(q * 100), 1000) < F.lit(int(subsample * 1000)))
@@ -268,6 +279,27 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
             prev.unpersist()
         prev = new_work if new_work.is_cached else None
         work = new_work
+        if vwork is not None:
+            vt = tree.copy()
+            vt.setFeaturesCol("_x").setLeafCol("_leaf").setPredictionCol("_tp")
+            vnext = vt.transform(vwork).withColumn("_f", F.col("_f") + F.lit(learning_rate) * F.coalesce(
+                F.try_element_at(literal_map(leaves), F.col("_leaf")), F.lit(0.0))).drop("_leaf", "_tp").persist()
+            ve = F.col("_y") - F.col("_f")
+            vloss = vnext.agg(F.avg(F.when(ve >= 0, F.lit(q) * ve).otherwise(F.lit(q - 1.0) * ve))).first()[0]
+            vwork.unpersist()
+            vwork = vnext
+            model.valid_history.append(float(vloss))
+            if vloss < best:
+                best, best_round = vloss, t + 1
+            elif t + 1 - best_round >= patience:
+                break
+    if vwork is not None:
+        vwork.unpersist()
+        if best_round and best_round < len(model.trees):
+            # keep the best prefix; the calibration shift below is then taken on that prefix
+            model.trees, model.leaf_values = model.trees[:best_round], model.leaf_values[:best_round]
+            work = model.predict(data.select(*key, F.col(label).alias("_y"), F.col(features_col).alias("_x0"))
+                                 .withColumnRenamed("_x0", "_xf"), "_f", "_xf")
     if calibrate:
         model.shift = float(work.select(F.percentile_approx(F.col("_y") - F.col("_f"), q, accuracy)).first()[0])
     if prev is not None:

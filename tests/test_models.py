@@ -138,3 +138,15 @@ def test_sample_n_matches_brute_force(spark):
     pdf = t.select(*KEY, F.xxhash64(*[F.col(k) for k in KEY], F.lit(7)).alias("h")).toPandas()
     want = set(map(tuple, pdf.sort_values(["h"] + KEY).head(100)[KEY].itertuples(index=False)))
     assert got == want
+
+
+def test_early_stopping_keeps_best_prefix(spark, trained):
+    from baleprice.operators import train as T
+    from baleprice.sources.listings import KEY
+    feats, bundle = trained
+    feat = bundle.pipeline.transform(feats).select(*KEY, "price_per_kg", "features", "is_test")
+    train, valid = feat.filter("NOT is_test"), feat.filter("is_test")
+    m = T.fit_quantile_boost(train, 0.5, KEY, rounds=6, learning_rate=0.6, valid=valid, patience=1)
+    assert 1 <= len(m.trees) <= 6 and len(m.valid_history) >= len(m.trees)
+    best = min(range(len(m.valid_history)), key=lambda i: m.valid_history[i]) + 1
+    assert len(m.trees) == best
