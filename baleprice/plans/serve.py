@@ -39,3 +39,17 @@ def price_listings(requests: DataFrame, bundle=None, as_of="listed_at", api_shap
     nested = SC.nest_response(post, "v2", api_shape=api_shape)
     out_cols = (keep or []) + ["is_valid", "errors", "response"]
     return nested.withColumn("response", F.when(F.col("is_valid"), F.col("response"))).select(*out_cols)
+
+
+def predict_or_fallback(requests: DataFrame, bundle_path: str, keep: list[str] | None = None) -> DataFrame:
+    """price with the saved model bundle; when it cannot be loaded, every row gets the rule-based
+    fallback price (E9/E10/E12) with ``is_fallback = true`` and the load error as ``fallback_reason``.
+    The fallback needs the v1 request fields (consistency_score, month, market_demand_index)."""
+    from baleprice.operators.rules import fallback_price
+    from baleprice.operators.train import RangeModelBundle
+    try:
+        bundle = RangeModelBundle.load(bundle_path)
+    except Exception as exc:  # noqa: BLE001 -- any load failure means "no model"
+        reason = f"model bundle unavailable: {type(exc).__name__}"
+        return fallback_price(requests, reason=reason)
+    return price_listings(requests, bundle=bundle, keep=keep).withColumn("is_fallback", F.lit(False))

@@ -115,3 +115,13 @@ def test_reject_counts_has_dump_site_warning(rows):
     got = {(r.severity, r.reason): r.n_rows for r in reject_counts(df).collect()}
     assert got == {("warning", "collection_point dump_site priced as commercial"): 1,
                    ("error", "waste_type not allowed"): 1}
+
+
+def test_predict_or_fallback_without_bundle(spark):
+    from baleprice.plans.serve import predict_or_fallback
+    from baleprice.sources.listings import raw_listings
+    req = raw_listings(spark, SF_SMALL)
+    out = predict_or_fallback(req, os.path.join(_tmp(), "no_bundle_here"))
+    assert out.filter(~F.col("is_fallback")).count() == 0
+    r = out.first()
+    assert r.fallback_reason.startswith("model bundle unavailable") and r.predicted_price_per_kg >= 1.0
