@@ -2,8 +2,9 @@
 
 The pricing plan is stateless (one row in, one row out), so the streaming job is ``readStream`` ->
 ``price_listings`` -> ``writeStream`` with no watermark or state store. Output is written per
-micro-batch with ``foreachBatch`` into parquet (idempotent per batch id through the checkpoint), or to
-any sink the caller names. The checkpoint must live on shared storage on a cluster.
+micro-batch with ``foreachBatch`` into its own ``batch_id=<n>`` parquet directory (a replayed batch
+overwrites its own output, so the sink is idempotent). The checkpoint must live on shared storage on
+a cluster.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ def priced_stream(stream: DataFrame, bundle=None, keep: list[str] | None = None)
 def start_pricing_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                          bundle=None, fmt: str = "json", keep: list[str] | None = None,
                          trigger_once: bool = False) -> StreamingQuery:
-    """Start the job: each micro-batch of priced rows is appended to ``sink_dir`` as parquet."""
+    """Start the job: each micro-batch of priced rows lands in ``sink_dir/batch_id=<n>`` as parquet."""
     priced = priced_stream(request_stream(spark, source_dir, fmt), bundle, keep)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        # one directory per micro-batch, overwritten on re-execution: a batch replayed after a failure
+        # replaces its own output instead of appending duplicates (idempotent by batch id)
+        batch.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
 
     writer = priced.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     if trigger_once:
