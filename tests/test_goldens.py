@@ -189,3 +189,45 @@ def test_date_defaults_conventions(spark):
     py = C.resolve_dates(df, "listed_at", "python").first()
     js = C.resolve_dates(df, "listed_at", "js").first()
     assert (py.month, py.day_of_week) == (1, 6) and js.day_of_week == 0
+
+
+def test_unmatched_keys_and_split(rows):
+    from baleprice.operators.lookups import unmatched_keys, with_base_rates
+    df = rows([("plastic", "PET"), ("plastic", "copper"), ("metal", "copper"), ("plastic", "copper")],
+              "waste_type string, sub_type string")
+    assert {tuple(r) for r in unmatched_keys(df, ["waste_type", "sub_type"]).collect()} == {("plastic", "copper")}
+    strict = with_base_rates(df, how="inner")
+    assert strict.count() == 2
+    kept = with_base_rates(df)
+    assert kept.count() == 4 and kept.filter("base_mean IS NULL").count() == 2
+
+
+def test_split_valid_and_issues(rows):
+    data = [("plastic", "PET", 10.0, 5.0, "clean", "Nairobi", "dump_site", 6, 1),
+            ("plastic", "PET", 2000.0, 500.0, "dirty", "Kiambu", "household", 6, 1)]
+    df = rows(data, LISTING)
+    valid, rejected = C.split_valid(df)
+    assert valid.count() == 1 and rejected.count() == 1
+    assert sorted(rejected.first().errors) == sorted(["weight_kg not in 0.5-1000", "distance_km not in 0.1-200",
+                                                      "condition not allowed", "county not allowed"])
+    issues = C.listing_issues(df).select("issue.severity", "issue.reason").collect()
+    assert ("warning", "collection_point dump_site priced as commercial") in [tuple(r) for r in issues]
+    assert len(issues) == 5
+
+
+def test_scaler_population_std_and_constant_column(rows):
+    from baleprice.operators.train import fit_scaler
+    df = rows([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
+    m = fit_scaler(df, ["a", "b"])
+    assert m.means == {"a": 2.0, "b": 5.0} and m.stds == {"a": 1.0, "b": 1.0}
+    out = m.transform(df).select("a_scaled", "b_scaled").collect()
+    assert [tuple(r) for r in out] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_report_lines(spark, tmp_path):
+    from baleprice.sources import io
+    stats = spark.createDataFrame([("price", "mean", 28.5432)], "section string, metric string, value double")
+    lines = io.report_lines(stats)
+    assert lines.first()[0] == "price | mean | 28.54"
+    io.write_text(lines, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == 1
