@@ -65,7 +65,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing requests (uncleaned) with the v1 columns, the listing date and the row key.
 
     Joins are plain equi-joins; Catalyst/AQE choose broadcast for the small sides from runtime sizes
-    and sort-merge for lineitem x orders at scale. Only the needed columns are read (pruned scans)."""
+    and sort-merge at scale. Only the needed columns are read (pruned scans)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                  "l_extendedprice", "l_quantity", "l_discount", "l_tax",
                                                  "l_returnflag", "l_shipdate"])
@@ -73,9 +73,11 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
-    j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-         .join(cust, orders.o_custkey == cust.c_custkey)
-         .join(part, li.l_partkey == part.p_partkey))
+    # Join order for scale: orders x customer is orders-sized; lineitem meets part and then the
+    # (orders x customer) result, so at most two lineitem-sized shuffles happen when no side is small
+    # enough to broadcast (the written order would shuffle lineitem-sized data three times).
+    oc = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    j = li.join(part, li.l_partkey == part.p_partkey).join(oc, li.l_orderkey == oc.o_orderkey)
     seg = F.col("c_mktsegment")
     point = None
     for k, v in _POINT_BY_SEGMENT.items():
