@@ -538,7 +538,21 @@ def postprocess_range_old(spark, sf_dir):
     return round_doubles(both, DIGITS, exclude=tuple(c for c in OLD_COLS if c != "volatility"))
 
 
-@register("score_nested_json")
+def _nested_json_sql() -> str:
+    # DuckDB's to_json writes the same text as Spark's for these records (field order, UTF-8 dashes,
+    # doubles between 1e-3 and 1e7; outside that range the two engines' number formats differ).
+    body = f"""SELECT {S.KEY}, to_json(struct_pack(waste_type := waste_type, sub_type := sub_type, weight_kg := weight_kg,
+  price_range := struct_pack(lower_bound := lower_bound, recommended := recommended, upper_bound := upper_bound,
+    currency := '{D.CURRENCY}', unit := '{D.UNIT}'),
+  total_payout_range := struct_pack(lower := payout_lower, recommended := payout_recommended, upper := payout_upper,
+    weight_kg := weight_kg, currency := '{D.CURRENCY}'),
+  market_info := struct_pack(market_tier := market_tier, tier_score := tier_score, range_width := range_width,
+    market_signal := market_signal, coverage := coverage, advice := advice)))::VARCHAR AS response_json
+FROM v2"""
+    return S.with_base(body, _v2_ctes())
+
+
+@register("score_nested_json", _nested_json_sql)
 def score_nested_json(spark, sf_dir):
     """Nested API-shaped price record per listing, serialised as JSON text."""
     resp = SC.nest_response(_v2_priced(spark, sf_dir), "v2", api_shape=True)
