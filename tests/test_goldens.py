@@ -231,3 +231,10 @@ def test_report_lines(spark, tmp_path):
     assert lines.first()[0] == "price | mean | 28.54"
     io.write_text(lines, str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == 1
+
+
+def test_postprocess_without_multipliers(rows):
+    data = [("plastic", "PET", 50.0, 5.0, "clean", "Mombasa", "household", 6, 1, 9.0, 14.0, 20.0, "formal")]
+    r = SC.postprocess_range(rows(data, PRED), "v2", apply_multipliers=False).first()
+    assert (r.lower_bound, r.recommended, r.upper_bound) == (9.0, 14.0, 20.0)
+    assert (r.collection_point_multiplier, r.county_multiplier) == (1.0, 1.0)
