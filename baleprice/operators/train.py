@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import math
+import os
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
+from baleprice.functions.numeric import literal_map
+from baleprice.session import cut_lineage
 
 GROUP = ["waste_type", "sub_type", "condition"]
 
@@ -34,19 +45,7 @@ def fit_conditional_quantiles(df: DataFrame, y: str = "price_per_kg", keys: list
 # ---------------------------------------------------------------------------------------------------
 # I1 split, I2 ordinal encoding, I3 standard scaling
 # ---------------------------------------------------------------------------------------------------
-import json  # noqa: E402
-import math  # noqa: E402
-import os  # noqa: E402
-from concurrent.futures import ThreadPoolExecutor  # noqa: E402
-from dataclasses import dataclass, field  # noqa: E402
-
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.feature import StringIndexer, VectorAssembler  # noqa: E402
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
-
-from baleprice.functions.numeric import literal_map  # noqa: E402
-from baleprice.session import cut_lineage  # noqa: E402
+
 
 CAT = D.CATEGORICAL_FEATURES
 NUM = D.NUMERIC_FEATURES

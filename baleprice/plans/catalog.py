@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
-from baleprice.functions.numeric import round_doubles
+from baleprice.functions.numeric import round_doubles, round_even
+from baleprice.operators import clean as C
+from baleprice.operators import evaluate as E
+from baleprice.operators import features as FE
+from baleprice.operators import lookups as L
 from baleprice.operators import report as R
+from baleprice.operators import rules as RU
+from baleprice.operators import scoring as SC
 from baleprice.plans import sql as S
 from baleprice.sources.listings import KEY, raw_listings, training_table
 
@@ -66,13 +72,6 @@ def price_by_waste_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------
 # shared builders
 # ------------------------------------------------------------------------------------------------------
-from baleprice.functions.numeric import round_even  # noqa: E402
-from baleprice.operators import clean as C  # noqa: E402
-from baleprice.operators import evaluate as E  # noqa: E402
-from baleprice.operators import features as FE  # noqa: E402
-from baleprice.operators import lookups as L  # noqa: E402
-from baleprice.operators import rules as RU  # noqa: E402
-from baleprice.operators import scoring as SC  # noqa: E402
 
 
 def _v2_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
