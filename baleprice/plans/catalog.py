@@ -1072,3 +1072,21 @@ def sample_trend(spark, sf_dir):
     of the plastic / clean rows."""
     t = training_table(spark, sf_dir).filter((F.col("waste_type") == "plastic") & (F.col("condition") == "clean"))
     return R.trend_line(R.sample_n(t, 1000, KEY, seed=42))
+
+
+@register("model_report")
+def model_report(spark, sf_dir):
+    """The full text report as (section, metric, value) rows -- data statistics and tier mix
+    (``report_stats``), hold-out model performance (``model_metrics``), the five most important
+    features and the importance by feature family of the mid model. Render with
+    ``io.report_lines`` + ``io.write_text``."""
+    data = report_stats(spark, sf_dir)
+    perf = model_metrics(spark, sf_dir).select(F.lit("model performance").alias("section"), "metric", "value")
+    top5 = (feature_importance(spark, sf_dir).filter(F.col("rank") <= 5)
+            .select(F.lit("top features").alias("section"),
+                    F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("feature")).alias("metric"),
+                    (F.col("importance") * F.lit(100.0)).alias("value")))
+    fam = importance_by_family(spark, sf_dir).select(
+        F.lit("feature families").alias("section"), F.col("family").alias("metric"),
+        (F.col("importance") * F.lit(100.0)).alias("value"))
+    return round_doubles(data.unionByName(perf).unionByName(top5).unionByName(fam), DIGITS)
