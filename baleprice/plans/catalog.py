@@ -1052,10 +1052,15 @@ def stratified_sample(spark, sf_dir):
 
 @register("cv_metrics")
 def cv_metrics(spark, sf_dir):
-    """3-fold cross-validation of the mid model: per-fold MAE and R2 (hash folds)."""
+    """3-fold cross-validation of the mid model: per-fold MAE and R2 (hash folds), with the
+    summary the reference reports (CV MAE mean +- std, CV R2) on every row."""
+    from pyspark.sql import Window
     from baleprice.operators import train as T
     feats = FE.v2_features(training_table(spark, sf_dir), drop_inputs=False)
-    return T.cross_validate_mid(feats, KEY, folds=3, rounds=6)
+    folds = T.cross_validate_mid(feats, KEY, folds=3, rounds=6)
+    w = Window.partitionBy()  # over the k fold rows only
+    return folds.withColumns({"cv_mae": F.avg("mae").over(w), "cv_mae_std": F.stddev_samp("mae").over(w),
+                              "cv_r2": F.avg("r2").over(w)})
 
 
 @register("model_comparison")
