@@ -46,7 +46,10 @@ def spread_if_narrow(df: DataFrame, key: list[str], path: str | None = None) ->
     ck = (sc.applicationId, path) if path else None
     n = _SCAN_PARTITIONS.get(ck) if ck else None
     if n is None:
-        n = df.rdd.getNumPartitions()
+        try:
+            n = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Connect session): leave the scan alone
+            return df
         if ck:
             _SCAN_PARTITIONS[ck] = n
     if n < target:
