@@ -150,3 +150,14 @@ def test_early_stopping_keeps_best_prefix(spark, trained):
     assert 1 <= len(m.trees) <= 6 and len(m.valid_history) >= len(m.trees)
     best = min(range(len(m.valid_history)), key=lambda i: m.valid_history[i]) + 1
     assert len(m.trees) == best
+
+
+def test_predict_or_fallback_with_bundle(spark, trained, tmp_path):
+    from baleprice.plans.serve import predict_or_fallback
+    from baleprice.sources.listings import KEY, raw_listings
+    _, bundle = trained
+    path = str(tmp_path / "bundle_for_serving")
+    bundle.save(path)
+    out = predict_or_fallback(raw_listings(spark, SF_SMALL), path, keep=KEY)
+    assert out.filter("is_fallback").count() == 0
+    assert out.filter("is_valid AND response IS NULL").count() == 0
