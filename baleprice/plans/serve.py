@@ -44,12 +44,17 @@ def price_listings(requests: DataFrame, bundle=None, as_of="listed_at", api_shap
 def predict_or_fallback(requests: DataFrame, bundle_path: str, keep: list[str] | None = None) -> DataFrame:
     """price with the saved model bundle; when it cannot be loaded, every row gets the rule-based
     fallback price (E9/E10/E12) with ``is_fallback = true`` and the load error as ``fallback_reason``.
-    The fallback needs the v1 request fields (consistency_score, month, market_demand_index)."""
+    The fallback needs the v1 client fields (consistency_score, month, market_demand_index); requests
+    without them raise instead (the live service answers 503 when no model is loaded)."""
     from baleprice.operators.rules import fallback_price
     from baleprice.operators.train import RangeModelBundle
     try:
         bundle = RangeModelBundle.load(bundle_path)
     except Exception as exc:  # noqa: BLE001 -- any load failure means "no model"
+        missing = {"consistency_score", "month", "market_demand_index"} - set(requests.columns)
+        if missing:
+            # v2 requests carry no fallback inputs: like the live service (503), refuse to price
+            raise RuntimeError(f"model not loaded and requests lack fallback fields {sorted(missing)}") from exc
         reason = f"model bundle unavailable: {type(exc).__name__}"
         return fallback_price(requests, reason=reason)
     return price_listings(requests, bundle=bundle, keep=keep).withColumn("is_fallback", F.lit(False))

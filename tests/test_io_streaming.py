@@ -125,3 +125,13 @@ def test_predict_or_fallback_without_bundle(spark):
     assert out.filter(~F.col("is_fallback")).count() == 0
     r = out.first()
     assert r.fallback_reason.startswith("model bundle unavailable") and r.predicted_price_per_kg >= 1.0
+
+
+def test_v2_requests_without_model_raise(spark):
+    import pytest
+    from baleprice.plans.serve import predict_or_fallback
+    from baleprice.sources import io
+    from baleprice.sources.listings import raw_listings
+    req = raw_listings(spark, SF_SMALL).select(*[f.name for f in io.REQUEST_SCHEMA.fields])
+    with pytest.raises(RuntimeError, match="model not loaded"):
+        predict_or_fallback(req, os.path.join(_tmp(), "absent_bundle"))
