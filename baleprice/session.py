@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_CONF = {
@@ -41,18 +39,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset (local tests) pick a
-    fresh scratch folder of our own."""
+    """The cluster's shared ``spark.checkpoint.dir``. Where it is unset (local runs and tests) a folder inside the
+    warehouse, which driver and executors share; never a machine-local temporary folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by the cluster "
-                               "(a machine-local folder does not survive executor loss)")
-        configured = tempfile.mkdtemp(prefix="baleprice-ckpt-")  # local runs and tests only
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
