@@ -47,6 +47,16 @@ def estimate(codes: np.ndarray, factors: np.ndarray, queries: np.ndarray) -> tup
     return (queries.astype(np.float32) @ signs.T) / factors.astype(np.float32), error
 
 
+def apart(pivots: np.ndarray, most: float = 0.7) -> np.ndarray:
+    """Pivots without those near an earlier one, so that a large group of near copies has few cells."""
+    near = np.triu(pivots @ pivots.T >= most, 1)
+    kept = np.ones(len(pivots), bool)
+    for i in range(len(pivots)):
+        if kept[i]:
+            kept &= ~near[i]
+    return pivots[kept]
+
+
 def _matrix(column) -> np.ndarray:
     raw = column.to_pylist()
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
@@ -194,7 +204,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim in sorted(r[0] for r in classes.select("dim").distinct().collect()):
         same = classes.filter(F.col("dim") == dim).select("class_id", "unit", "weight")
         chosen = same.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(max_pivots).collect()
-        pivots = np.frombuffer(b"".join(r[0] for r in chosen), np.float64).reshape(len(chosen), dim)
+        pivots = apart(np.frombuffer(b"".join(r[0] for r in chosen), np.float64).reshape(len(chosen), dim))
         sizes = same.mapInArrow(_nearest(pivots), "cell long").groupBy("cell").count().collect()
         blocks = {r[0]: -(-r[1] // BLOCK_ROWS) for r in sizes}
         found = written(same.mapInArrow(_deal(pivots, blocks, probes), _CELL_DDL).repartition("cell", "block")

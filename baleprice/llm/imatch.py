@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 TERM_IDS = 1 << 18
 #: Terms are runs of letters, digits and non-ASCII characters, lower-cased.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The lexicon itself, then subsets with a share of 1/2, 1/4 ... of it, three independent ones of each share.
-LEVELS, REPLICAS = 6, 3
-SUBSETS = tuple([(0, 0)] + [(level, r) for level in range(1, LEVELS + 1) for r in range(REPLICAS)])
+#: The lexicon itself, then subsets that hold one in 2**level of it, three independent ones a level. A subset of which a
+#: document has few terms is often kept by an edit; documents of any length have such subsets.
+LEVELS, REPLICAS = (2, 4, 5, 6, 7, 8, 9, 10), 3
+SUBSETS = tuple([(0, 0)] + [(level, r) for level in LEVELS for r in range(REPLICAS)])
 
 
 def term_ids(text: Column) -> Column:
@@ -27,7 +28,7 @@ def term_ids(text: Column) -> Column:
     return F.array_distinct(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(TERM_IDS)).cast("int")))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", idf_band: tuple[float, float] = (1.5, 8.5)) -> bytes:
+def lexicon(docs: DataFrame, text_col: str = "text", idf_band: tuple[float, float] = (3.0, 6.0)) -> bytes:
     """One byte per term id, 1 where ln(documents / document frequency) lies within the band (both ends included).
 
     Counts cover every document. At most ``TERM_IDS`` numbers come to the driver and go to the executors, 256 kB."""
@@ -71,7 +72,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           idf_band: tuple[float, float] = (1.5, 8.5), flags: bytes | None = None) -> DataFrame:
+           idf_band: tuple[float, float] = (3.0, 6.0), flags: bytes | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (string), prints (array<bigint>).
 
     Equal texts have equal fingerprints. A null text counts as empty; texts without a term of the lexicon have all

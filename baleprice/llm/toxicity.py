@@ -31,8 +31,8 @@ def features(text) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(out) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 3, alpha: float = 0.1, beta: float = 1.0,
-         l1: float = 1.0, l2: float = 1.0) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0,
+         l1: float = 10.0, l2: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias after ``epochs`` passes in the given order. Each coordinate has its own rate, alpha / (beta +
     root of its summed squared gradients); weights within the L1 threshold are exactly 0. The bias isn't shrunk."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
