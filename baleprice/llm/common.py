@@ -29,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> int:
     """Buckets of a packed shuffle, in proportion to the text of the whole input (one scan, one number)."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

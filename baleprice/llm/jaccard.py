@@ -18,15 +18,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baleprice.llm import words as W
-from baleprice.llm.common import bucket_count, by_bucket, components, planes, text_batches, unplanes, written
+from baleprice.llm.common import bucket_count, by_bucket, components, fresh, planes, text_batches, unplanes, written
 
 SHINGLE = 5
 _SEED = 0xE7037ED1A0B428DB
-_BATCH = 16 << 20
+_BATCH, BUCKET_BYTES = 8 << 20, 16 << 20
 _NOBODY = np.iinfo(np.int64).min
 #: Leaders that a document is compared with in the grouping; links that this misses are found by level 3.
 LEADERS = 8
@@ -84,10 +84,14 @@ _SHIPPED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("owners",
 _SHIPPED_DDL = "bucket long, docs binary, owners binary, counts binary, tokens binary"
 
 
-def _ship(ids: np.ndarray, owners: np.ndarray, sets: list[np.ndarray], percent: int, n_buckets: int):
-    """The prefixes of some sets by bucket. Tokens that two owners in this batch share count at once; one nameless
+def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    n = len(tokens)
+    return tokens[:n - _needed(n, percent) + _extra(n)]
+
+
+def _ship(ids: np.ndarray, owners: np.ndarray, cut: list[np.ndarray], n_buckets: int):
+    """Some sets, or prefixes of sets, by bucket. Tokens that two owners in this batch share count at once; one nameless
     copy of each goes on for the others, so a token that everybody has costs one entry a batch."""
-    cut = [s[:len(s) - _needed(len(s), percent) + _extra(len(s))] for s in sets]
     lengths = np.array([len(c) for c in cut])
     if not lengths.sum():
         return
@@ -130,15 +134,17 @@ def _ship_texts(percent: int, n_buckets: int):
     def run(batches):
         for table in text_batches(batches, _BATCH):
             ids = table["doc_id"].to_numpy()
-            yield from _ship(ids, ids, token_sets(table), percent, n_buckets)
+            yield from _ship(ids, ids, [prefix(s, percent) for s in token_sets(table)], n_buckets)
     return run
 
 
-def _ship_sets(percent: int, n_buckets: int):
+def _ship_sets(n_buckets: int):
     def run(batches):
         for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch["tokens"].to_pylist()]
-            yield from _ship(batch["doc_id"].to_numpy(), batch["owner"].to_numpy(), sets, percent, n_buckets)
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                sets = [np.frombuffer(x, np.uint64) for x in part["tokens"].to_pylist()]
+                yield from _ship(part["doc_id"].to_numpy(), part["owner"].to_numpy(), sets, n_buckets)
     return run
 
 
@@ -169,11 +175,10 @@ def _count(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "hits": hits.astype(np.int64)})
 
 
-def _may_link(shipped: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``sizes`` (doc_id, n) whose bound reaches what a link needs."""
+def _may_link(shipped: DataFrame, sizes: DataFrame, least: Column) -> DataFrame:
+    """The rows of ``sizes`` (doc_id, n) with at least ``least`` tokens that another owner has too."""
     hits = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _count, "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
-    least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
     return sizes.join(hits, "doc_id").filter(F.col("hits") >= least).drop("hits")
 
 
@@ -270,12 +275,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id are left out, as no link could name them; other columns are ignored; an empty table gives no rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id IS NOT NULL")
-    n_buckets = bucket_count(texts, "text", _BATCH)
+    n_buckets = bucket_count(texts, "text", BUCKET_BYTES)
     sizes = written(texts.mapInArrow(_sizes, "doc_id long, n long, key binary").groupBy("doc_id").agg(
         F.max(F.struct("n", "key")).alias("s")).select("doc_id", "s.n", "s.key"), "sizes")
     classes = sizes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.max("n").alias("n"))
+    needed = F.ceil(F.col("n") * percent / 100)
     passed = _may_link(texts.mapInArrow(_ship_texts(percent, n_buckets), _SHIPPED_DDL),
-                       classes.select(F.col("class").alias("doc_id"), "n"), percent)
+                       classes.select(F.col("class").alias("doc_id"), "n"), F.ceil(needed / 10))
     sets = written(texts.join(passed.select("doc_id"), "doc_id").mapInArrow(
         _sets, "doc_id long, n long, tokens binary, low0 long, low1 long, low2 long").join(
         passed, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]), "sets")
@@ -284,8 +290,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     owned = sets.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "owner", F.coalesce("component", "doc_id")).drop("component")
     owned = written(owned, "owned")
-    again = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(percent, n_buckets), _SHIPPED_DDL),
-                      owned.select("doc_id", "n"), percent)
+    again = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(n_buckets), _SHIPPED_DDL),
+                      owned.select("doc_id", "n"), needed)
     more = written(_matrix_links(written(owned.join(again.select("doc_id"), "doc_id"), "open"), percent), "more")
     final = components(links.unionByName(more))
     label = sizes.join(classes.drop("n"), "key", "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("node"))
@@ -296,9 +302,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the least id; a repeated row stays once. Rows
     with a null id stay as they are."""
+    least, = fresh(docs, "least")
     kept = jaccard_components(docs, id_col, text_col, percent).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_id"))
-    named = docs.join(kept, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+        F.col("doc_id").alias(least))
+    named = docs.join(kept, F.col(id_col) == F.col(least), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -84,9 +84,9 @@ RULES = (
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4.0",), None),
     ("All-rights-reserved", ("all-rights",), None),
 )
-#: What ends a sentence: a line end or not, by reading; and stops before a space or the end of the text.
+#: What ends a sentence: any line end or only a blank line, by reading; and stops before a space or the end of the text.
 _STOP = r"[.;:!?]+(?:[\x20\x09-\x0D]|$)"
-_ENDS = {"lines": r"[\x0A-\x0D]+|" + _STOP, "wrapped": _STOP}
+_ENDS = {"lines": r"[\x0A-\x0D]+|" + _STOP, "wrapped": r"\n[\x20\x09\x0D]*\n|" + _STOP}
 
 
 def normalised(sentence: str) -> str:

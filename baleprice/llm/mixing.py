@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from baleprice.llm.common import WORD, written
+from baleprice.llm.common import WORD, fresh, written
 
 #: Two to the power of 52: the hash-random key has 52 bits, exact in a double.
 _KEYS = 1 << 52
@@ -89,15 +89,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself, with the columns of ``docs``: a row for each epoch that takes the document, the last one cut
     to its first words where the budget ends inside it; documents of which nothing is taken are left out, but those
     without words, which cost nothing, stay once. Ids must be unique and not null here."""
-    taken = mix(docs, id_col, text_col, source_col, **options).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    joined = docs.join(taken, F.col(id_col) == F.col("_id"))
-    passes = F.when(F.col("_size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(
-        F.transform(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int")),
-                    lambda i: F.least(F.col("_size"), F.col("_taken") - i * F.col("_size"))), lambda n: n > 0))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), 1, F.col("_n").cast("int")), " ")
-    return joined.withColumn("_n", F.explode(passes)).withColumn(
-        text_col, F.when(F.col("_n") == F.col("_size"), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    mix_id, size, taken, n = fresh(docs, "mix_id", "mix_size", "mix_taken", "mix_n")
+    mixed = mix(docs, id_col, text_col, source_col, **options).select(
+        F.col("doc_id").alias(mix_id), F.col("size").alias(size), F.col("taken").alias(taken))
+    passes = F.when(F.col(size) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(
+        F.transform(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int")),
+                    lambda i: F.least(F.col(size), F.col(taken) - i * F.col(size))), lambda left: left > 0))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), 1, F.col(n).cast("int")), " ")
+    return docs.join(mixed, F.col(id_col) == F.col(mix_id)).withColumn(n, F.explode(passes)).withColumn(
+        text_col, F.when(F.col(n) == F.col(size), F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -12,17 +12,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baleprice.llm import words as W
-from baleprice.llm.common import bucket_count, by_bucket, planes, text_batches, unplanes
+from baleprice.llm.common import bucket_count, by_bucket, fresh, planes, text_batches, unplanes
 
 #: A seed's identity: the low 7 bytes of one hash, and its block, dealt by a second, independent hash.
 _SEED, _BLOCK, _KEY_BYTES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 7
 _KEY = np.uint64((1 << (8 * _KEY_BYTES)) - 1)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, _BATCH = 16 << 20, 8 << 20
 
 
 def _seeds(table: pa.Table, k: int):
@@ -39,7 +38,7 @@ def _index_rows(k: int, n_blocks: int):
     share with that one is known at once and passes the index as a finding."""
 
     def run(batches):
-        for table in text_batches(batches, BLOCK_BYTES):
+        for table in text_batches(batches, _BATCH):
             ids = table["doc_id"].to_numpy()
             key, block_hash, row = _seeds(table, k)
             if not len(key):
@@ -77,63 +76,90 @@ _SHIPPED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("counts",
                       ("finding", pa.bool_())])
 
 
-def _look_up(batches):
-    """One block at a time: the smallest document of each seed; the others that hold it have found it."""
-    columns = ["docs", "counts", "keys", "finding"]
-    for _, held in by_bucket(batches, columns):
-        docs, keys = [], []
-        for d, c, x, finding in zip(*[held[c] for c in columns]):
-            doc = np.cumsum(unplanes(d, np.int64))
-            count = unplanes(c, np.int64)
-            if finding:
-                key = unplanes(x, np.uint64, _KEY_BYTES)
-                yield from _findings(doc, np.r_[0, np.cumsum(count)], key)
-            else:
-                docs.append(np.repeat(doc, count))
-                keys.append(x)
-        if not docs:
-            continue
-        doc = np.concatenate(docs)
-        key = np.concatenate([unplanes(x, np.uint64, _KEY_BYTES) for x in keys])
-        order = np.argsort(key)
-        key_o, doc_o = key[order], doc[order]
-        starts = np.flatnonzero(np.r_[True, key_o[1:] != key_o[:-1]])
-        least = np.minimum.reduceat(doc_o, starts)
-        late = doc_o > np.repeat(least, np.diff(np.r_[starts, len(key_o)]))
-        doc_o, key_o = doc_o[late], key_o[late]
-        if len(doc_o):
-            by = np.argsort(doc_o, kind="stable")
-            doc_o, key_o = doc_o[by], key_o[by]
-            starts = np.flatnonzero(np.r_[True, doc_o[1:] != doc_o[:-1]])
-            yield from _findings(doc_o[starts], np.r_[starts, len(doc_o)], key_o)
-
-
-def _findings(docs: np.ndarray, bounds: np.ndarray, keys: np.ndarray, step: int = 20_000):
-    for i in range(0, len(docs), step):
-        part = docs[i:i + step]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": part, "keys": [planes(keys[bounds[j]:bounds[j + 1]], _KEY_BYTES)
-                                     for j in range(i, i + len(part))]})
+def _look_up(n_groups: int):
+    """One block at a time: the smallest document of each seed; the others that hold it have found it. Findings go out
+    by group of documents, many documents a row."""
+
+    def run(batches):
+        columns = ["docs", "counts", "keys", "finding"]
+        for _, held in by_bucket(batches, columns):
+            docs, keys = [], []
+            for d, c, x, finding in zip(*[held[c] for c in columns]):
+                doc = np.repeat(np.cumsum(unplanes(d, np.int64)), unplanes(c, np.int64))
+                if finding:
+                    yield from _findings(doc, unplanes(x, np.uint64, _KEY_BYTES), n_groups)
+                else:
+                    docs.append(doc)
+                    keys.append(x)
+            if not docs:
+                continue
+            doc = np.concatenate(docs)
+            key = np.concatenate([unplanes(x, np.uint64, _KEY_BYTES) for x in keys])
+            order = np.argsort(key)
+            key_o, doc_o = key[order], doc[order]
+            starts = np.flatnonzero(np.r_[True, key_o[1:] != key_o[:-1]])
+            least = np.minimum.reduceat(doc_o, starts)
+            late = doc_o > np.repeat(least, np.diff(np.r_[starts, len(key_o)]))
+            yield from _findings(doc_o[late], key_o[late], n_groups)
+
+    return run
+
+
+def group_of(doc: np.ndarray, n_groups: int) -> np.ndarray:
+    return (W.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+
+
+def _findings(doc: np.ndarray, key: np.ndarray, n_groups: int):
+    if not len(doc):
+        return
+    group = group_of(doc, n_groups)
+    by = np.lexsort((doc, group))
+    out = {c: [] for c in ("part", "docs", "counts", "keys")}
+    for at in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
+        ids, counts = np.unique(doc[at], return_counts=True)
+        out["part"].append(group[at[0]])
+        out["docs"].append(planes(np.diff(ids, prepend=0)))
+        out["counts"].append(planes(counts.astype(np.int64)))
+        out["keys"].append(planes(key[at], _KEY_BYTES))
+    yield pa.RecordBatch.from_pydict(out)
+
+
+def _with_group(n_groups: int):
+    """Texts with the group of their document; those without an id go anywhere."""
+
+    def run(batches):
+        for batch in batches:
+            doc = batch["doc_id"].fill_null(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(doc, n_groups)), batch["doc_id"], batch["text"]],
+                                             names=["part", "doc_id", "text"])
+
+    return run
 
 
 def _parsed(k: int):
-    """The greedy parse of each document against its findings, and what is left of it."""
+    """Rows sorted by group, findings first: the greedy parse of each document against its findings, and what is left.
+    A group's findings are held while its texts pass one by one."""
 
     def run(batches):
+        at, found = None, {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            text = pc.fill_null(table["text"], "")
-            found = table["found"]
-            out = {"doc_id": batch["doc_id"], "n_words": [], "n_removed": [], "kept": [], "spans": []}
-            for i in range(len(table)):
-                one = text.slice(i, 1)
-                tokens = one[0].as_py().encode().split()
-                parts = found[i].as_py()
-                spans = []
-                if parts:
-                    h, _ = W.word_hashes(*W.buffers(one))
-                    keys = np.concatenate([unplanes(x, np.uint64, _KEY_BYTES) for x in parts])
-                    hit = np.flatnonzero(np.isin(W.rolling(h, k, _SEED) & _KEY, keys))
+            out = {c: [] for c in _PARSED.names}
+            held = 0
+            rows = zip(*[batch[c] for c in ("part", "doc_id", "text", "docs", "counts", "keys")])
+            for part, doc, text, docs, counts, keys in rows:
+                if part.as_py() != at:
+                    at, found = part.as_py(), {}
+                if docs.is_valid:
+                    ids = np.cumsum(unplanes(docs.as_py(), np.int64)).tolist()
+                    ends = np.cumsum(unplanes(counts.as_py(), np.int64))[:-1]
+                    for i, x in zip(ids, np.split(unplanes(keys.as_py(), np.uint64, _KEY_BYTES), ends)):
+                        found.setdefault(i, []).append(x)
+                    continue
+                raw = (text.as_py() or "").encode()
+                tokens, spans = raw.split(), []
+                if doc.as_py() in found:
+                    h, _ = W.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    hit = np.flatnonzero(np.isin(W.rolling(h, k, _SEED) & _KEY, np.concatenate(found[doc.as_py()])))
                     if len(hit):
                         opens = np.r_[True, np.diff(hit) > k]
                         start = hit[opens]
@@ -142,11 +168,17 @@ def _parsed(k: int):
                         for s, n in reversed(spans):
                             del tokens[s:s + n]
                 removed = sum(n for _, n in spans)
+                out["doc_id"].append(doc.as_py())
                 out["n_words"].append(len(tokens) + removed)
                 out["n_removed"].append(removed)
                 out["kept"].append(b" ".join(tokens).decode())
                 out["spans"].append([{"start": s, "length": n} for s, n in spans])
-            yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
+                held += len(raw)
+                if held > _BATCH:
+                    yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
+                    out, held = {c: [] for c in _PARSED.names}, 0
+            if out["doc_id"]:
+                yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
 
     return run
 
@@ -170,10 +202,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_blocks = bucket_count(texts, "text", BLOCK_BYTES)
     shipped = named.filter("text IS NOT NULL").mapInArrow(
         _index_rows(k, n_blocks), "bucket long, docs binary, counts binary, keys binary, finding boolean")
+    n_groups = 4 * n_blocks
     found = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _look_up, "doc_id long, keys binary")
-    per_doc = found.groupBy("doc_id").agg(F.collect_list("keys").alias("found"))
-    return texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_parsed(k), _PARSED_DDL)
+        _look_up(n_groups), "part long, docs binary, counts binary, keys binary")
+    dealt = texts.mapInArrow(_with_group(n_groups), "part long, doc_id long, text string")
+    both = found.unionByName(dealt, allowMissingColumns=True)
+    return both.repartition("part").sortWithinPartitions("part", F.col("docs").isNull()).mapInArrow(_parsed(k), _PARSED_DDL)
 
 
 def with_digest(parsed: DataFrame) -> DataFrame:
@@ -183,10 +217,12 @@ def with_digest(parsed: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """``docs`` with the repeated spans taken out of ``text_col``; documents without one stay as they are, those with
     nothing left are dropped. Ids must be unique and not null here."""
+    cut_id, cut = fresh(docs, "cut_id", "cut")
     parsed = remove_repeats(docs, id_col, text_col, k).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    return docs.join(parsed, F.col(id_col) == F.col("_id"), "left").filter("_kept IS NULL OR _kept != ''").withColumn(
-        text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+        F.col("doc_id").alias(cut_id), F.col("kept").alias(cut))
+    joined = docs.join(parsed, F.col(id_col) == F.col(cut_id), "left")
+    return joined.filter(F.col(cut).isNull() | (F.col(cut) != "")).withColumn(
+        text_col, F.coalesce(cut, text_col)).select(*docs.columns)
 
 
 ORACLE_SQL = r"""
