@@ -28,8 +28,11 @@ SHINGLE = 5
 _SEED = 0xE7037ED1A0B428DB
 _BATCH, BUCKET_BYTES = 8 << 20, 16 << 20
 _NOBODY = np.iinfo(np.int64).min
-#: Leaders that a document is compared with in the grouping; links that this misses are found by level 3.
-LEADERS = 8
+#: Leaders that a document is compared with in the grouping, and documents of a group in one task at least; links that
+#: this misses are found by level 3.
+LEADERS, GROUP = 8, 2000
+#: Min-hashes: one makes the first groups, the others those of what the second bound lets pass.
+LOWS = 8
 
 
 def _needed(n, percent: int):
@@ -72,11 +75,14 @@ def _sizes(batches):
 def _sets(batches):
     for table in text_batches(batches, _BATCH):
         sets = token_sets(table)
-        low = [[int(W.mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))).min(initial=np.uint64((1 << 64) - 1)).view(np.int64))
-                for j in range(3)] for s in sets]
+        low = [[int(W.mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))).min(
+            initial=np.uint64((1 << 64) - 1)).view(np.int64)) for j in range(LOWS)] for s in sets]
         yield pa.RecordBatch.from_pydict({
             "doc_id": table["doc_id"].to_numpy(), "n": np.array([len(s) for s in sets], np.int64),
-            "tokens": [s.tobytes() for s in sets], **{f"low{j}": [x[j] for x in low] for j in range(3)}})
+            "tokens": [s.tobytes() for s in sets], "low": low}, schema=_SETS)
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("low", pa.list_(pa.int64()))])
 
 
 _SHIPPED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()),
@@ -193,69 +199,102 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _lead(percent: int):
-    """Rows sorted by group: links of documents with a leader of their group."""
+    """Rows sorted by group: links of documents with a leader of their group that has another owner so far."""
 
     def run(batches):
-        at, leaders = None, []
+        at, leaders, joined = None, [], {}
+
+        def root(owner):
+            while joined.get(owner, owner) != owner:
+                owner = joined[owner]
+            return owner
+
         for batch in batches:
-            rows = batch.to_pydict()
             u, v = [], []
-            for doc, group, raw in zip(rows["doc_id"], zip(rows["low"], rows["salt"]), rows["tokens"]):
+            rows = zip(*[batch[c].to_pylist() for c in ("doc_id", "owner", "j", "low", "salt", "tokens")])
+            for doc, owner, *group, raw in rows:
                 if group != at:
-                    at, leaders = group, []
+                    at, leaders, joined = group, [], {}
                 tokens = np.frombuffer(raw, np.uint64)
-                for other, held in leaders:
-                    if _linked(tokens, held, percent):
+                for other, its, held in leaders:
+                    if root(its) != root(owner) and _linked(tokens, held, percent):
                         u.append(doc)
                         v.append(other)
-                        break
-                else:
-                    leaders = [*leaders, (doc, tokens)][-LEADERS:]
+                        joined[root(owner)] = root(its)
+                if all(root(its) != root(owner) or len(held) * 10 < len(tokens) * 9 for _, its, held in leaders):
+                    leaders = [*leaders, (doc, owner, tokens)][-LEADERS:]
             if u:
                 yield pa.RecordBatch.from_pydict({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return run
 
 
-def _grouped_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links to leaders, over groups by three min-hashes; a document that found a leader isn't asked again.
-    The first groups are salted, so a group of any size is dealt to many tasks."""
-    links, left = None, sets
-    for j, salts in enumerate((64, 8, 1)):
-        found = written(left.select("doc_id", F.col(f"low{j}").alias("low"), "tokens", F.pmod(
-            F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).repartition("low", "salt").sortWithinPartitions(
-            "low", "salt", "doc_id").mapInArrow(_lead(percent), "u long, v long"), "leaders")
-        links = found if links is None else links.unionByName(found)
-        left = left.join(found.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
-    return links
+def _grouped_links(sets: DataFrame, percent: int, lows: range) -> DataFrame:
+    """Verified links to leaders of other owners, over groups by some min-hashes. ``sets``: doc_id, owner, tokens, low.
+
+    A group of more than ``GROUP`` documents is dealt to as many tasks as it needs."""
+    narrow = sets.select("owner", F.posexplode(F.slice("low", lows.start + 1, len(lows))).alias("j", "low"))
+    sizes = written(narrow.groupBy("j", "low").agg(
+        F.ceil(F.count("*") / GROUP).alias("salts"), F.min("owner").alias("a"), F.max("owner").alias("b")).filter(
+        "a != b AND salts > 1").select("j", "low", "salts"), "large")
+    rows = sets.select("doc_id", "owner", "tokens", F.posexplode(F.slice("low", lows.start + 1, len(lows))).alias("j", "low"))
+    dealt = rows.join(sizes, ["j", "low"], "left").withColumn("salt", F.pmod(
+        F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).select("doc_id", "owner", "j", "low", "salt", "tokens")
+    return written(dealt.repartition("j", "low", "salt").sortWithinPartitions("j", "low", "salt", "doc_id").mapInArrow(
+        _lead(percent), "u long, v long"), "leaders")
+
+
+def _open_groups(percent: int):
+    """Rows sorted by group, members first: a link of each asking document with each owner that it links to."""
+
+    def run(batches):
+        at, members = None, []
+        for batch in batches:
+            u, v = [], []
+            rows = zip(*[batch[c].to_pylist() for c in ("grp", "asks", "doc_id", "owner", "tokens")])
+            for group, asks, doc, owner, raw in rows:
+                if group != at:
+                    at, members = group, []
+                tokens = np.frombuffer(raw, np.uint64)
+                if not asks:
+                    members.append((doc, tokens))
+                    continue
+                for other, held in members:
+                    if _linked(tokens, held, percent):
+                        u.append(doc)
+                        v.append(other)
+                        break
+            if u:
+                yield pa.RecordBatch.from_pydict({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+
+    return run
 
 
 def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different owners, by the token-group matrix. ``sets``: doc_id, owner, n, tokens, low0."""
-    tokens = written(sets.mapInArrow(_longs, "doc_id long, tokens array<long>").join(
-        sets.select("doc_id", "owner", "n", F.xxhash64("owner", "low0").alias("grp")), "doc_id"), "tokens")
-    cells = tokens.select("doc_id", "owner", "grp", "n", F.explode("tokens").alias("token"))
-    matrix = cells.select("token", "grp", "owner").distinct()
-    held = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.min("owner").alias("a"),
-                                       F.max("owner").alias("b"))
+    """Links between different owners, by the token-group matrix. ``sets``: doc_id, owner, n, tokens, low.
+
+    A group is an owner's documents with two equal min-hashes; all its members have one owner, so that one link of
+    a document to it is enough."""
+    sets = sets.withColumn("grp", F.xxhash64("owner", F.element_at("low", 1), F.element_at("low", 2)))
+    tokens = sets.select("doc_id", "tokens").mapInArrow(_longs, "doc_id long, tokens array<long>")
+    cells = written(tokens.join(sets.select("doc_id", "owner", "grp", "n"), "doc_id").select(
+        "doc_id", "owner", "grp", "n", F.explode("tokens").alias("token")), "cells")
+    matrix = written(cells.groupBy("token", "grp").agg(F.min("owner").alias("owner")), "matrix")
+    held = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.min("owner").alias("a"), F.max("owner").alias("b"))
     ranked = cells.join(held, "token").withColumn("rank", F.row_number().over(
         Window.partitionBy("doc_id").orderBy("groups", "token")))
-    probes = ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-                           & (F.col("a") != F.col("b"))).select("doc_id", "owner", "n", "token")
-    other = matrix.select("token", F.col("grp").alias("grp2"), F.col("owner").alias("owner2"))
-    near = probes.join(other, "token").filter("owner != owner2").select("doc_id", "n", "grp2").distinct()
+    needed = F.ceil(F.col("n") * percent / 100)
+    probes = ranked.filter((F.col("rank") <= F.col("n") - needed + 1) & (F.col("a") != F.col("b"))).select(
+        "doc_id", "owner", "n", "token")
+    other = matrix.select("token", F.col("grp").alias("asked"), F.col("owner").alias("owner2"))
+    near = probes.join(other, "token").filter("owner != owner2").select("doc_id", "n", "asked").distinct()
     bound = near.join(cells.select("doc_id", "token"), "doc_id").join(
-        matrix.select("token", F.col("grp").alias("grp2")), ["token", "grp2"]).groupBy("doc_id", "n", "grp2").count()
-    opened = bound.filter(F.col("count") * 100 >= F.col("n") * percent)
-    members = tokens.select(F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("grp").alias("grp2"))
-    pairs = opened.join(members, "grp2").filter(
-        (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)).select(
-        F.least("doc_id", "doc2").alias("u"), F.greatest("doc_id", "doc2").alias("v")).distinct()
-    a = tokens.select(F.col("doc_id").alias("u"), F.col("tokens").alias("ta"))
-    b = tokens.select(F.col("doc_id").alias("v"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "u").join(b, "v").filter(
-        both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("u", "v")
+        matrix.select("token", F.col("grp").alias("asked")), ["token", "asked"]).groupBy("doc_id", "n", "asked").count()
+    opened = bound.filter(F.col("count") >= needed).select("doc_id", F.col("asked").alias("grp"))
+    asking = opened.join(sets.select("doc_id", "owner", "tokens"), "doc_id").withColumn("asks", F.lit(True))
+    members = sets.select("doc_id", "grp", "owner", "tokens", F.lit(False).alias("asks"))
+    return asking.unionByName(members).repartition("grp").sortWithinPartitions("grp", "asks", "doc_id").mapInArrow(
+        _open_groups(percent), "u long, v long")
 
 
 def _longs(batches):
@@ -265,6 +304,15 @@ def _longs(batches):
             [("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
 
 
+def _with_other_owners(sets: DataFrame, links: DataFrame, needed: Column, n_buckets: int) -> DataFrame:
+    """The sets, with the component that their links make so far as ``owner``, that share enough tokens with others."""
+    owners = written(components(links), "owners").withColumnRenamed("node", "doc_id")
+    owned = sets.join(owners, "doc_id", "left").withColumn("owner", F.coalesce("component", "doc_id")).drop("component")
+    passed = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(n_buckets), _SHIPPED_DDL),
+                       owned.select("doc_id", "n"), needed)
+    return written(owned.join(written(passed.select("doc_id"), "passed"), "doc_id"), "owned")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id reachable by links, itself included).
 
@@ -283,17 +331,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     passed = _may_link(texts.mapInArrow(_ship_texts(percent, n_buckets), _SHIPPED_DDL),
                        classes.select(F.col("class").alias("doc_id"), "n"), F.ceil(needed / 10))
     sets = written(texts.join(passed.select("doc_id"), "doc_id").mapInArrow(
-        _sets, "doc_id long, n long, tokens binary, low0 long, low1 long, low2 long").join(
+        _sets, "doc_id long, n long, tokens binary, low array<long>").join(
         passed, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-    links = _grouped_links(sets, percent)
-    first = written(components(links), "first")
-    owned = sets.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "owner", F.coalesce("component", "doc_id")).drop("component")
-    owned = written(owned, "owned")
-    again = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(n_buckets), _SHIPPED_DDL),
-                      owned.select("doc_id", "n"), needed)
-    more = written(_matrix_links(written(owned.join(again.select("doc_id"), "doc_id"), "open"), percent), "more")
-    final = components(links.unionByName(more))
+    links = _grouped_links(sets.withColumn("owner", F.col("doc_id")), percent, range(1))
+    some = _with_other_owners(sets, links, needed, n_buckets)
+    links = written(links.unionByName(_grouped_links(some, percent, range(1, LOWS))), "links")
+    few = _with_other_owners(some.drop("owner"), links, needed, n_buckets)
+    final = components(links.unionByName(_matrix_links(few, percent)))
     label = sizes.join(classes.drop("n"), "key", "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("node"))
     return label.join(final, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))

@@ -130,7 +130,7 @@ def test_jaccard_matrix_alone_finds_all_links(spark, monkeypatch):
             words[rng.randrange(80)] = f"e{rng.randrange(2000)}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "_grouped_links", lambda sets, percent: sets.selectExpr("doc_id AS u", "doc_id AS v").limit(0))
+    monkeypatch.setattr(jaccard, "_grouped_links", lambda sets, percent, lows: sets.selectExpr("doc_id AS u", "doc_id AS v").limit(0))
     sets = {i: {tuple(t.split()[j:j + 5]) for j in range(76)} for i, t in rows}
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == _components(sets)
 
