@@ -279,18 +279,26 @@ def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
     tokens = sets.select("doc_id", "tokens").mapInArrow(_longs, "doc_id long, tokens array<long>")
     cells = written(tokens.join(sets.select("doc_id", "owner", "grp", "n"), "doc_id").select(
         "doc_id", "owner", "grp", "n", F.explode("tokens").alias("token")), "cells")
-    matrix = written(cells.groupBy("token", "grp").agg(F.min("owner").alias("owner")), "matrix")
-    held = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.min("owner").alias("a"), F.max("owner").alias("b"))
+    held = cells.groupBy("token").agg(F.count("*").alias("holders"), F.min("owner").alias("a"), F.max("owner").alias("b"))
     ranked = cells.join(held, "token").withColumn("rank", F.row_number().over(
-        Window.partitionBy("doc_id").orderBy("groups", "token")))
-    needed = F.ceil(F.col("n") * percent / 100)
-    probes = ranked.filter((F.col("rank") <= F.col("n") - needed + 1) & (F.col("a") != F.col("b"))).select(
-        "doc_id", "owner", "n", "token")
-    other = matrix.select("token", F.col("grp").alias("asked"), F.col("owner").alias("owner2"))
-    near = probes.join(other, "token").filter("owner != owner2").select("doc_id", "n", "asked").distinct()
-    bound = near.join(cells.select("doc_id", "token"), "doc_id").join(
-        matrix.select("token", F.col("grp").alias("asked")), ["token", "asked"]).groupBy("doc_id", "n", "asked").count()
-    opened = bound.filter(F.col("count") >= needed).select("doc_id", F.col("asked").alias("grp"))
+        Window.partitionBy("doc_id").orderBy("holders", "token")))
+    # sets of n and m tokens that link share at least share * (n + m), so one of the rarest n + 1 - share * (n + m) of
+    # the one and one of as many of the other
+    share = percent / (100 + percent)
+    probes = written(ranked.filter((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+                                   & (F.col("a") != F.col("b"))).select("doc_id", "owner", "grp", "n", "token", "rank"), "probes")
+    matrix = probes.groupBy("token", F.col("grp").alias("asked")).agg(
+        F.min("owner").alias("owner2"), F.min("n").alias("least"),
+        F.max(F.col("n") * (1 - share) + 1 - F.col("rank")).alias("slack"))
+    near = probes.join(matrix, "token").filter(
+        (F.col("owner") != F.col("owner2")) & (F.col("slack") + 1e-6 >= F.col("n") * share)
+        & (F.col("rank") <= F.col("n") + 1 + 1e-6 - (F.col("n") + F.col("least")) * share)).select("doc_id", "n", "asked").distinct()
+    near = written(near, "near")
+    union = cells.select("token", F.col("grp").alias("asked")).join(
+        near.select("asked").distinct(), "asked", "left_semi").distinct()
+    bound = near.join(cells.select("doc_id", "token"), "doc_id").join(union, ["token", "asked"]).groupBy(
+        "doc_id", "n", "asked").count()
+    opened = bound.filter(F.col("count") * 100 >= F.col("n") * percent).select("doc_id", F.col("asked").alias("grp"))
     asking = opened.join(sets.select("doc_id", "owner", "tokens"), "doc_id").withColumn("asks", F.lit(True))
     members = sets.select("doc_id", "grp", "owner", "tokens", F.lit(False).alias("asks"))
     return asking.unionByName(members).repartition("grp").sortWithinPartitions("grp", "asks", "doc_id").mapInArrow(
