@@ -75,12 +75,13 @@ def reply_paths(messages: DataFrame, top_k: int | None = 1, max_rounds: int = 24
     leaves = leaves.withColumn("rank", rank)
     if top_k is not None:
         leaves = leaves.filter(F.col("rank") <= top_k)
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "rank", F.col("depth").alias("n_turns"), "path_score",
+    paths = written(leaves, "leaves").select("tree", F.col("node").alias("leaf"), "rank", F.col("depth").alias("n_turns"), "path_score",
                           "node", F.lit(0).cast("long").alias("back"))
     for k, jump in enumerate(jumps):
-        paths = paths.unionByName(paths.join(jump, ["tree", "node"]).select(
+        # written, or the plan would double with every round
+        paths = written(paths.unionByName(paths.join(jump, ["tree", "node"]).select(
             "tree", "leaf", "rank", "n_turns", "path_score", F.col("up").alias("node"),
-            (F.col("back") + F.lit(1 << k)).alias("back")))
+            (F.col("back") + F.lit(1 << k)).alias("back"))), "paths")
     return paths.join(m.select("tree", "node", "role", "text"), ["tree", "node"]).select(
         "tree", "leaf", "rank", (F.col("n_turns") - 1 - F.col("back")).alias("turn"), "role", "text", "n_turns",
         "path_score")

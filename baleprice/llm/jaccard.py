@@ -8,8 +8,9 @@ groups whose bound reaches the threshold are opened. Two levels of groups keep i
    the threshold needs.
 2. Documents that pass are grouped by min-hash, and compared with a few leaders of their group; verified links make
    components. Against the unions of *other* components the bound is taken again; few documents pass.
-3. For these, the matrix (token, group) is a table. A document's rarest tokens find the groups that it may share enough
-   with, the overlap with a group's union is counted, and the members of qualifying groups are compared exactly.
+3. For these, the matrix (token, group) is a table of the rarest tokens. It finds the groups that a document may share
+   enough with; there the overlap with the group's token union is counted, and only if that reaches the threshold is
+   the group opened and its members compared exactly.
 """
 
 from __future__ import annotations
@@ -245,20 +246,26 @@ def _grouped_links(sets: DataFrame, percent: int, lows: range) -> DataFrame:
 
 
 def _open_groups(percent: int):
-    """Rows sorted by group, members first: a link of each asking document with each owner that it links to."""
+    """Rows sorted by group, members first. The group's token union bounds its overlap with each asking document; where
+    that reaches what a link needs, the group is opened: the document's link with its owner, if there is one."""
 
     def run(batches):
-        at, members = None, []
+        at, members, union = None, [], None
         for batch in batches:
             u, v = [], []
             rows = zip(*[batch[c].to_pylist() for c in ("grp", "asks", "doc_id", "owner", "tokens")])
             for group, asks, doc, owner, raw in rows:
                 if group != at:
-                    at, members = group, []
+                    at, members, union = group, [], None
                 tokens = np.frombuffer(raw, np.uint64)
                 if not asks:
                     members.append((doc, tokens))
                     continue
+                if union is None:
+                    union = np.unique(np.concatenate([held for _, held in members]))
+                place = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                if int((union[place] == tokens).sum()) < _needed(len(tokens), percent):
+                    continue
                 for other, held in members:
                     if _linked(tokens, held, percent):
                         u.append(doc)
@@ -292,14 +299,9 @@ def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
         F.max(F.col("n") * (1 - share) + 1 - F.col("rank")).alias("slack"))
     near = probes.join(matrix, "token").filter(
         (F.col("owner") != F.col("owner2")) & (F.col("slack") + 1e-6 >= F.col("n") * share)
-        & (F.col("rank") <= F.col("n") + 1 + 1e-6 - (F.col("n") + F.col("least")) * share)).select("doc_id", "n", "asked").distinct()
-    near = written(near, "near")
-    union = cells.select("token", F.col("grp").alias("asked")).join(
-        near.select("asked").distinct(), "asked", "left_semi").distinct()
-    bound = near.join(cells.select("doc_id", "token"), "doc_id").join(union, ["token", "asked"]).groupBy(
-        "doc_id", "n", "asked").count()
-    opened = bound.filter(F.col("count") * 100 >= F.col("n") * percent).select("doc_id", F.col("asked").alias("grp"))
-    asking = opened.join(sets.select("doc_id", "owner", "tokens"), "doc_id").withColumn("asks", F.lit(True))
+        & (F.col("rank") <= F.col("n") + 1 + 1e-6 - (F.col("n") + F.col("least")) * share)).select(
+        "doc_id", F.col("asked").alias("grp")).distinct()
+    asking = near.join(sets.select("doc_id", "owner", "tokens"), "doc_id").withColumn("asks", F.lit(True))
     members = sets.select("doc_id", "grp", "owner", "tokens", F.lit(False).alias("asks"))
     return asking.unionByName(members).repartition("grp").sortWithinPartitions("grp", "asks", "doc_id").mapInArrow(
         _open_groups(percent), "u long, v long")
