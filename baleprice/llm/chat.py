@@ -40,15 +40,16 @@ def _reach(nodes: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame
                                  "score"), "reach")
     jumps = []
     for _ in range(max_rounds):
-        jump = state.filter("up IS NOT NULL").select("tree", "node", "up")
-        if jump.isEmpty():
+        active = state.filter("up IS NOT NULL")
+        if active.isEmpty():
             return state.select("tree", "node", "depth", "score"), jumps
-        jumps.append(jump)
+        jumps.append(active.select("tree", "node", "up"))
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
                              F.col("score").alias("_score"))
-        state = written(state.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score")), "reach")
+        moved = active.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            (F.col("score") + F.col("_score")).alias("score"))
+        state = written(moved.unionByName(state.filter("up IS NULL")), "reach")
     raise ValueError(f"a reply chain is longer than 2**{max_rounds} messages or is a circle")
 
 
