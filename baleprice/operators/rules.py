@@ -109,7 +109,8 @@ def expected_price_v2(df: DataFrame, tier_multiplier: str | None = None, raw_col
              * L.training_seasonal() * tm)
     work = work.withColumn(raw_col, price)
     if out_col:
-        work = work.withColumn(out_col, round_even(F.greatest(F.lit(0.5), F.col(raw_col)), 2))
+        work = work.withColumn("_e7_floored", F.greatest(F.lit(0.5), F.col(raw_col))).withColumn(
+            out_col, round_py("_e7_floored", 2)).drop("_e7_floored")
     return work.drop("_e7_base", "_e7_tm")
 
 

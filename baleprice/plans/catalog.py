@@ -360,7 +360,7 @@ def step_multipliers(spark, sf_dir):
 
 
 @register("expected_price_v2", lambda: S.with_base(f"""
-SELECT {S.KEY}, {S.r_even(f'greatest(0.5E0, {S.e7_raw("x", "x.tier_multiplier")})', 2)} AS expected_price,
+SELECT {S.KEY}, {S.r_py(f'greatest(0.5E0, {S.e7_raw("x", "x.tier_multiplier")})', 2)} AS expected_price,
   {rd(S.e7_raw("x", "x.tier_multiplier"))} AS expected_price_raw
 FROM training x LEFT JOIN subtypes _br ON _br.waste_type = x.waste_type AND _br.sub_type = x.sub_type"""))
 def expected_price_v2(spark, sf_dir):

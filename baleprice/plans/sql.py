@@ -153,7 +153,7 @@ training AS (
   SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, t.l_extendedprice, t.waste_type, t.sub_type,
     t.weight_kg, t.distance_km, t.condition, t.month, t.day_of_week, t.county, t.collection_point,
     {tier_label('t.tier_score')} AS market_tier, t.tier_score, t.tier_multiplier,
-    {r_even(f'greatest(0.5E0, ({e7}) * t.noise)', 2)} AS price_per_kg
+    {r_py(f'greatest(0.5E0, ({e7}) * t.noise)', 2)} AS price_per_kg
   FROM train_tier t LEFT JOIN subtypes s ON s.waste_type = t.waste_type AND s.sub_type = t.sub_type
 )"""
 

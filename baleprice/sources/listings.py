@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
-from baleprice.functions.numeric import round_even
+from baleprice.functions.numeric import round_even, round_py
 from baleprice.operators.clean import clean_listings
 from baleprice.operators.rules import expected_price_v2, tier_train
 
@@ -125,7 +125,7 @@ def label_listings(raw: DataFrame) -> DataFrame:
     cleaned = tier_train(clean_listings(raw, "train"))
     priced = expected_price_v2(cleaned, tier_multiplier="tier_multiplier", out_col=None)
     labelled = priced.withColumn(
-        "price_per_kg", round_even(F.greatest(F.lit(0.5), F.col("expected_price_raw") * F.col("noise")), 2))
+        "price_per_kg", round_py(F.greatest(F.lit(0.5), F.col("expected_price_raw") * F.col("noise")), 2))
     return labelled.select(*KEY, *TRAINING_COLUMNS)
 
 
