@@ -46,11 +46,14 @@ def predict_or_fallback(requests: DataFrame, bundle_path: str, keep: list[str] |
     fallback price (E9/E10/E12) with ``is_fallback = true`` and the load error as ``fallback_reason``.
     The fallback needs the v1 client fields (consistency_score, month, market_demand_index); requests
     without them raise instead (the live service answers 503 when no model is loaded)."""
+    from baleprice.operators.clean import resolve_dates
     from baleprice.operators.rules import fallback_price
     from baleprice.operators.train import RangeModelBundle
     try:
         bundle = RangeModelBundle.load(bundle_path)
     except Exception as exc:  # noqa: BLE001 -- any load failure means "no model"
+        if "listed_at" in requests.columns:  # an absent month is that of the request's date
+            requests = resolve_dates(requests, "listed_at", "js")
         missing = {"consistency_score", "month", "market_demand_index"} - set(requests.columns)
         if missing:
             # v2 requests carry no fallback inputs: like the live service (503), refuse to price
