@@ -155,37 +155,65 @@ def _ship_sets(n_buckets: int):
     return run
 
 
-def _count(batches):
-    """One bucket at a time: how many of a document's tokens another owner has too."""
-    columns = ["docs", "owners", "counts", "tokens"]
-    for _, held in by_bucket(batches, columns):
-        docs, owners, tokens = [], [], []
-        for d, o, c, t in zip(*[held[c] for c in columns]):
-            doc, count = unplanes(d, np.int64), unplanes(c, np.int64)
-            if not t:
-                yield pa.RecordBatch.from_pydict({"doc_id": doc, "hits": count})
+def _packed(docs: np.ndarray, hits: np.ndarray, n_groups: int):
+    """Hits of documents, a row for each group of documents."""
+    if not len(docs):
+        return
+    group = W.group_of(docs, n_groups)
+    by = np.lexsort((docs, group))
+    out = {c: [] for c in ("bucket", "docs", "hits")}
+    for at in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
+        out["bucket"].append(group[at[0]])
+        out["docs"].append(planes(np.diff(docs[at], prepend=0)))
+        out["hits"].append(planes(hits[at].astype(np.int64)))
+    yield pa.RecordBatch.from_pydict(out)
+
+
+def _count(n_groups: int):
+    """One bucket at a time: how many of a document's tokens another owner has too, by group of documents."""
+
+    def run(batches):
+        columns = ["docs", "owners", "counts", "tokens"]
+        for _, held in by_bucket(batches, columns):
+            docs, owners, tokens = [], [], []
+            for d, o, c, t in zip(*[held[c] for c in columns]):
+                doc, count = unplanes(d, np.int64), unplanes(c, np.int64)
+                if not t:
+                    yield from _packed(doc, count, n_groups)
+                    continue
+                docs.append(np.repeat(doc, count))
+                owners.append(np.repeat(unplanes(o, np.int64), count))
+                tokens.append(unplanes(t, np.uint32))
+            if not docs:
                 continue
-            docs.append(np.repeat(doc, count))
-            owners.append(np.repeat(unplanes(o, np.int64), count))
-            tokens.append(unplanes(t, np.uint32))
-        if not docs:
-            continue
-        doc, own, token = np.concatenate(docs), np.concatenate(owners), np.concatenate(tokens)
-        order = np.argsort(token)
-        t, own, doc = token[order], own[order], doc[order]
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        many = ((np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))
-                | (np.minimum.reduceat(own, starts) == _NOBODY))
-        doc = doc[np.repeat(many, np.diff(np.r_[starts, len(t)]))]
-        ids, hits = np.unique(doc[doc != _NOBODY], return_counts=True)
-        if len(ids):
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "hits": hits.astype(np.int64)})
-
-
-def _may_link(shipped: DataFrame, sizes: DataFrame, least: Column) -> DataFrame:
+            doc, own, token = np.concatenate(docs), np.concatenate(owners), np.concatenate(tokens)
+            order = np.argsort(token)
+            t, own, doc = token[order], own[order], doc[order]
+            starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            many = ((np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts))
+                    | (np.minimum.reduceat(own, starts) == _NOBODY))
+            doc = doc[np.repeat(many, np.diff(np.r_[starts, len(t)]))]
+            yield from _packed(*np.unique(doc[doc != _NOBODY], return_counts=True), n_groups)
+
+    return run
+
+
+def _total(batches):
+    """One group of documents at a time: the hits of each document over all buckets."""
+    for _, held in by_bucket(batches, ["docs", "hits"]):
+        doc = np.concatenate([np.cumsum(unplanes(d, np.int64)) for d in held["docs"]])
+        hits = np.concatenate([unplanes(h, np.int64) for h in held["hits"]])
+        ids, at = np.unique(doc, return_inverse=True)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, at, hits)
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "hits": total})
+
+
+def _may_link(shipped: DataFrame, sizes: DataFrame, least: Column, n_groups: int) -> DataFrame:
     """The rows of ``sizes`` (doc_id, n) with at least ``least`` tokens that another owner has too."""
-    hits = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _count, "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+    packed = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _count(n_groups), "bucket long, docs binary, hits binary")
+    hits = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total, "doc_id long, hits long")
     return sizes.join(hits, "doc_id").filter(F.col("hits") >= least).drop("hits")
 
 
@@ -319,7 +347,7 @@ def _with_other_owners(sets: DataFrame, links: DataFrame, needed: Column, n_buck
     owners = written(components(links), "owners").withColumnRenamed("node", "doc_id")
     owned = sets.join(owners, "doc_id", "left").withColumn("owner", F.coalesce("component", "doc_id")).drop("component")
     passed = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(n_buckets), _SHIPPED_DDL),
-                       owned.select("doc_id", "n"), needed)
+                       owned.select("doc_id", "n"), needed, n_buckets)
     return written(owned.join(written(passed.select("doc_id"), "passed"), "doc_id"), "owned")
 
 
@@ -339,7 +367,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sizes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.max("n").alias("n"))
     needed = F.ceil(F.col("n") * percent / 100)
     passed = _may_link(texts.mapInArrow(_ship_texts(percent, n_buckets), _SHIPPED_DDL),
-                       classes.select(F.col("class").alias("doc_id"), "n"), F.ceil(needed / 10))
+                       classes.select(F.col("class").alias("doc_id"), "n"), F.ceil(needed / 10), n_buckets)
     sets = written(texts.join(passed.select("doc_id"), "doc_id").mapInArrow(
         _sets, "doc_id long, n long, tokens binary, low array<long>").join(
         passed, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]), "sets")

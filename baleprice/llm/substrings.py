@@ -105,14 +105,10 @@ def _look_up(n_groups: int):
     return run
 
 
-def group_of(doc: np.ndarray, n_groups: int) -> np.ndarray:
-    return (W.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
-
-
 def _findings(doc: np.ndarray, key: np.ndarray, n_groups: int):
     if not len(doc):
         return
-    group = group_of(doc, n_groups)
+    group = W.group_of(doc, n_groups)
     by = np.lexsort((doc, group))
     out = {c: [] for c in ("part", "docs", "counts", "keys")}
     for at in np.split(by, np.flatnonzero(np.diff(group[by])) + 1):
@@ -130,7 +126,7 @@ def _with_group(n_groups: int):
     def run(batches):
         for batch in batches:
             doc = batch["doc_id"].fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(doc, n_groups)), batch["doc_id"], batch["text"]],
+            yield pa.RecordBatch.from_arrays([pa.array(W.group_of(doc, n_groups)), batch["doc_id"], batch["text"]],
                                              names=["part", "doc_id", "text"])
 
     return run

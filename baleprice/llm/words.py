@@ -24,6 +24,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def group_of(doc: np.ndarray, n_groups: int) -> np.ndarray:
+    """The group of documents that each id lies in."""
+    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+
+
 def buffers(text) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and its len + 1 offsets into them."""
     if isinstance(text, pa.ChunkedArray):
