@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from baleprice.llm import words as W
-from baleprice.llm.common import bucket_count, by_bucket, fresh, planes, text_batches, unplanes
+from baleprice.llm.common import bucket_count, by_bucket, planes, text_batches, unplanes
 
 #: A seed's identity: the low 7 bytes of one hash, and its block, dealt by a second, independent hash.
 _SEED, _BLOCK, _KEY_BYTES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 7
@@ -126,23 +127,30 @@ def _with_group(n_groups: int):
     def run(batches):
         for batch in batches:
             doc = batch["doc_id"].fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(W.group_of(doc, n_groups)), batch["doc_id"], batch["text"]],
-                                             names=["part", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(W.group_of(doc, n_groups)), *batch.columns],
+                                             names=["part", *batch.schema.names])
 
     return run
 
 
-def _parsed(k: int):
+def _parsed(k: int, whole: bool):
     """Rows sorted by group, findings first: the greedy parse of each document against its findings, and what is left.
-    A group's findings are held while its texts pass one by one."""
+    A group's findings are held while its texts pass one by one; ``rest`` goes along as it is.
+    With ``whole``, a text without findings goes along as ``whole`` in place of its words."""
 
     def run(batches):
         at, found = None, {}
+
+        def parsed(batch, rows, out):
+            cut = pa.RecordBatch.from_pydict(out, schema=_PARSED)
+            return pa.RecordBatch.from_arrays([*cut.columns, batch["rest"].take(pa.array(rows, pa.int64()))],
+                                              names=[*_PARSED.names, "rest"])
+
         for batch in batches:
-            out = {c: [] for c in _PARSED.names}
+            out, taken = {c: [] for c in _PARSED.names}, []
             held = 0
             rows = zip(*[batch[c] for c in ("part", "doc_id", "text", "docs", "counts", "keys")])
-            for part, doc, text, docs, counts, keys in rows:
+            for row, (part, doc, text, docs, counts, keys) in enumerate(rows):
                 if part.as_py() != at:
                     at, found = part.as_py(), {}
                 if docs.is_valid:
@@ -167,21 +175,41 @@ def _parsed(k: int):
                 out["doc_id"].append(doc.as_py())
                 out["n_words"].append(len(tokens) + removed)
                 out["n_removed"].append(removed)
-                out["kept"].append(b" ".join(tokens).decode())
+                out["kept"].append(b" ".join(tokens).decode() if spans or not whole else None)
                 out["spans"].append([{"start": s, "length": n} for s, n in spans])
+                out["whole"].append(text.as_py() if whole and not spans else None)
+                taken.append(row)
                 held += len(raw)
                 if held > _BATCH:
-                    yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
-                    out, held = {c: [] for c in _PARSED.names}, 0
-            if out["doc_id"]:
-                yield pa.RecordBatch.from_pydict(out, schema=_PARSED)
+                    yield parsed(batch, taken, out)
+                    out, taken, held = {c: [] for c in _PARSED.names}, [], 0
+            if taken:
+                yield parsed(batch, taken, out)
 
     return run
 
 
 _PARSED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
-                     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
-_PARSED_DDL = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, length: long>>"
+                     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+                     ("whole", pa.string())])
+_PARSED_DDL = ("doc_id long, n_words long, n_removed long, kept string, "
+               "spans array<struct<start: long, length: long>>, whole string")
+
+
+def _parse(docs: DataFrame, id_col: str, text_col: str, k: int, rest: Column, whole: bool) -> DataFrame:
+    """The parse of each row of ``docs``, with ``rest`` of it."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    named = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    n_blocks = bucket_count(texts, "text", BLOCK_BYTES)
+    shipped = named.mapInArrow(
+        _index_rows(k, n_blocks), "bucket long, docs binary, counts binary, keys binary, finding boolean")
+    n_groups = 4 * n_blocks
+    found = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _look_up(n_groups), "part long, docs binary, counts binary, keys binary")
+    dealt = texts.mapInArrow(_with_group(n_groups), StructType([StructField("part", LongType()), *texts.schema.fields]))
+    both = found.unionByName(dealt, allowMissingColumns=True)
+    out = StructType([*StructType.fromDDL(_PARSED_DDL).fields, StructField("rest", texts.schema["rest"].dataType)])
+    return both.repartition("part").sortWithinPartitions("part", F.col("docs").isNull()).mapInArrow(_parsed(k, whole), out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
@@ -193,17 +221,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than ``k`` words, or that repeats only itself, keeps all. Rows with equal ids are parts of one document for
     the comparison, but each keeps its own row; rows with a null id are compared with nothing and keep their words;
     other columns are ignored; an empty table gives no rows. Ids are integers."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = texts.filter("doc_id IS NOT NULL")
-    n_blocks = bucket_count(texts, "text", BLOCK_BYTES)
-    shipped = named.filter("text IS NOT NULL").mapInArrow(
-        _index_rows(k, n_blocks), "bucket long, docs binary, counts binary, keys binary, finding boolean")
-    n_groups = 4 * n_blocks
-    found = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _look_up(n_groups), "part long, docs binary, counts binary, keys binary")
-    dealt = texts.mapInArrow(_with_group(n_groups), "part long, doc_id long, text string")
-    both = found.unionByName(dealt, allowMissingColumns=True)
-    return both.repartition("part").sortWithinPartitions("part", F.col("docs").isNull()).mapInArrow(_parsed(k), _PARSED_DDL)
+    return _parse(docs, id_col, text_col, k, F.lit(None).cast("boolean"), False).drop("whole", "rest")
 
 
 def with_digest(parsed: DataFrame) -> DataFrame:
@@ -212,13 +230,13 @@ def with_digest(parsed: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:
     """``docs`` with the repeated spans taken out of ``text_col``; documents without one stay as they are, those with
-    nothing left are dropped. Ids must be unique and not null here."""
-    cut_id, cut = fresh(docs, "cut_id", "cut")
-    parsed = remove_repeats(docs, id_col, text_col, k).filter("n_removed > 0").select(
-        F.col("doc_id").alias(cut_id), F.col("kept").alias(cut))
-    joined = docs.join(parsed, F.col(id_col) == F.col(cut_id), "left")
-    return joined.filter(F.col(cut).isNull() | (F.col(cut) != "")).withColumn(
-        text_col, F.coalesce(cut, text_col)).select(*docs.columns)
+    nothing left are dropped. The other columns travel with the text, so that it is shuffled once. Nulls, repeated ids
+    and empty tables are as in ``remove_repeats``."""
+    others = [c for c in docs.columns if c != text_col]
+    parsed = _parse(docs, id_col, text_col, k, F.struct(*[F.col(f"`{c}`") for c in others]), True)
+    return parsed.filter("n_removed = 0 OR kept != ''").select(*[
+        F.coalesce("kept", "whole").alias(c) if c == text_col else F.col("rest").getField(c).alias(c)
+        for c in docs.columns])
 
 
 ORACLE_SQL = r"""

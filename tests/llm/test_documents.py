@@ -55,6 +55,28 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def test_without_repeats_keeps_other_columns(spark, docs, none):
+    parsed = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    cut = substrings.without_repeats(docs)
+    assert cut.schema.names == docs.schema.names and cut.dtypes == docs.dtypes
+    before = {r.doc_id: r for r in docs.collect()}
+    want = {}
+    for i, r in before.items():
+        if not parsed[i].n_removed:
+            want[i] = r
+        elif parsed[i].kept:
+            want[i] = tuple(parsed[i].kept if c == "text" else r[c] for c in docs.columns)
+    got = cut.collect()
+    assert len(got) == len(want) and {r.doc_id: tuple(r) for r in got} == {i: tuple(r) for i, r in want.items()}
+    assert 0 < sum(p.n_removed > 0 for p in parsed.values()) and len(want) < len(before)
+    assert substrings.without_repeats(none).count() == 0
+    run = " ".join(f"z{i}" for i in range(20))
+    rows = spark.createDataFrame([(1, run, "a"), (2, run + " end", "b"), (2, "short", "c"), (None, run, "d")],
+                                 "doc_id long, text string, `x.y` string")
+    assert sorted((r.doc_id or 0, r.text, r["x.y"]) for r in substrings.without_repeats(rows).collect()) == [
+        (0, run, "d"), (1, run, "a"), (2, "end", "b"), (2, "short", "c")]
+
+
 def test_substrings(docs, none):
     rows = {i: split(t) for i, t, *_ in corpus()}
     starts = defaultdict(set)
