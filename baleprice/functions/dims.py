@@ -104,7 +104,10 @@ BASE_RATES = [
     ("textile", "industrial_textile", 8.0, 2.0),
 ]
 TRAIN_COLLECTION_POINT_MULT = {"household": 0.85, "commercial": 1.00, "industrial": 1.08, "dump_site": 0.75}
-TRAIN_COUNTY_MULT = COUNTY_MULT  # same eight values in the training script
+TRAIN_COUNTY_MULT = {
+    "Nairobi": 1.00, "Mombasa": 0.92, "Kisumu": 0.85, "Nakuru": 0.80,
+    "Eldoret": 0.78, "Kiambu": 0.95, "Machakos": 0.88, "Kajiado": 0.85,
+}
 COND_FACTORS = {"clean": 1.00, "mixed": 0.88, "contaminated": 0.78}
 TRAIN_SEASONAL = {1: 1.05, 2: 1.07, 3: 1.02, 4: 0.93, 5: 0.96, 6: 0.99,
                   7: 1.06, 8: 1.08, 9: 1.04, 10: 0.95, 11: 0.91, 12: 0.98}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -75,19 +74,13 @@ def ordinal_codes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 @dataclass
 class OrdinalModel:
-    """Fitted ordinal encoder. ``vocab`` holds the categories on the driver (like a fitted
-    ``StringIndexerModel``) when the vocabulary passed the size check; otherwise ``codes`` is the code
-    table and ``transform`` joins it (a plain join: Catalyst/AQE pick the strategy from its size)."""
+    """Fitted ordinal encoder: the table (feature, value, code). ``transform`` joins it, once per column, with the
+    strategy that Catalyst/AQE pick from its size."""
     cols: list
-    vocab: dict | None = None
-    codes: DataFrame | None = None
+    codes: DataFrame
 
     def transform(self, df: DataFrame, suffix: str = "_code") -> DataFrame:
         out = df
-        if self.vocab is not None:
-            return out.withColumns({c + suffix: F.coalesce(
-                F.try_element_at(literal_map(self.vocab[c]), F.col(c).cast("string")).cast("int"), F.lit(-1))
-                for c in self.cols})
         for c in self.cols:
             m = self.codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
                                                                 F.col("code").alias(c + suffix))
@@ -96,19 +89,10 @@ class OrdinalModel:
         return out
 
 
-def fit_ordinal(df: DataFrame, cols: list[str], max_vocab: int = 10_000) -> OrdinalModel:
-    """I2 fit (sorted categories, unknown -> -1). The vocabulary size is counted first (one small
-    aggregate); only a vocabulary of at most ``max_vocab`` entries is brought to the driver and applied
-    as literal maps (no join, no shuffle). A larger one stays a table and is joined."""
-    codes = ordinal_codes(df, cols).persist()
-    n = codes.count()
-    if n <= max_vocab:
-        vocab: dict = {c: {} for c in cols}
-        for r in codes.collect():
-            vocab[r["feature"]][r["value"]] = r["code"]
-        codes.unpersist()
-        return OrdinalModel(cols, vocab=vocab)
-    return OrdinalModel(cols, codes=codes)
+def fit_ordinal(df: DataFrame, cols: list[str]) -> OrdinalModel:
+    """I2 fit (sorted categories, unknown -> -1): the code table, checkpointed so that its input is read once. It
+    stays a table at every size."""
+    return OrdinalModel(cols, cut_lineage(ordinal_codes(df, cols)))
 
 
 def apply_ordinal(df: DataFrame, model: OrdinalModel, suffix: str = "_code") -> DataFrame:
@@ -343,12 +327,13 @@ class RangeModelBundle:
 
     @staticmethod
     def load(path: str) -> "RangeModelBundle":
-        """Raises if the bundle is missing (callers fall back to the rule price, F11)."""
+        """Raises if the bundle is missing: an ``AnalysisException`` with the condition ``PATH_NOT_FOUND``, on which
+        callers fall back to the rule price (F11)."""
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(os.path.join(path, "bundle_meta")).first()[0])
         pipe = PipelineModel.load(os.path.join(path, "pipeline"))
         models = {n: QuantileBoostModel.load(os.path.join(path, n)) for n in ("lower", "mid", "upper")}
-        meta = json.loads(spark.read.text(os.path.join(path, "bundle_meta")).first()[0])
         return RangeModelBundle(pipe, models, meta)
 
     def score(self, df_features: DataFrame) -> DataFrame:
@@ -382,28 +367,24 @@ def r2_expr(y: str, p: str):
 
 
 def block_permutation(df: DataFrame, key: list[str], cols: list[str], seed: int, blocks: int) -> DataFrame:
-    """Adds ``_perm_<c>`` = the value of ``c`` from another row of the same random hash block: rows of
-    a block sorted by key receive the values of the block's rows sorted by a second seeded hash. A
-    bijection within each block; each window holds one block."""
-    t = df.withColumn("_blk", hash_bucket(key, seed, blocks))
-    dst = t.withColumn("_pos", F.row_number().over(Window.partitionBy("_blk").orderBy(*key)))
-    src = t.select("_blk", F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 7919)).alias("_h"),
-                   *[F.col(k).alias(f"_src_{k}") for k in key], *[F.col(c).alias(f"_perm_{c}") for c in cols])
-    w = Window.partitionBy("_blk").orderBy("_h", *[f"_src_{k}" for k in key])
-    src = src.withColumn("_pos", F.row_number().over(w)).drop("_h", *[f"_src_{k}" for k in key])
-    return dst.join(src, ["_blk", "_pos"]).drop("_blk", "_pos")
+    """Adds ``_perm_<c>`` = the value of ``c`` from the next row of the same random hash block in a seeded hash order;
+    the last row takes the first one's. A bijection within each block, by one window without a join."""
+    t = df.withColumn("_blk", hash_bucket(key, seed, blocks)).withColumn(
+        "_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 7919)))
+    w = Window.partitionBy("_blk").orderBy("_h", *key)
+    vals = F.struct(*cols)
+    taken = F.coalesce(F.lead(vals).over(w), F.first(vals).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return t.withColumn("_next", taken).withColumns(
+        {f"_perm_{c}": F.col("_next").getField(c) for c in cols}).drop("_blk", "_h", "_next")
 
 
 def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[str], n_repeats: int = 5,
-                           seed: int = 42, block_rows: int = 100_000, y: str = "price_per_kg") -> DataFrame:
+                           seed: int = 42, blocks: int = 16, y: str = "price_per_kg") -> DataFrame:
     """Drop in R2 of the mid model when one feature's values are permuted across rows.
 
-    The permutation is drawn inside random hash blocks of about ``block_rows`` rows (rows sorted by
-    key receive the values of the rows sorted by a second seeded hash of the same block), so no window
-    ever holds more than one block and a hot key cannot skew it. One pairing per repeat serves all
-    features; every (feature, repeat) variant is scored in a single pass and its R2 aggregated by group."""
-    n = test.count()
-    blocks = max(1, math.ceil(n / block_rows))
+    The permutation is drawn inside ``blocks`` random hash blocks, the same rule at every size; on a large hold-out
+    set more blocks give smaller windows. One pairing per repeat serves all features; every (feature, repeat) variant
+    is scored in a single pass and its R2 aggregated by group."""
     base_pred = bundle.score(test.select(*key, y, *FEATURES))
     baseline = base_pred.agg(r2_expr(y, "pred_mid").alias("r2")).first()["r2"]
     variants = None
@@ -485,10 +466,13 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
 def train_from_csv(spark, path: str, rounds: int = 10, **kw) -> RangeModelBundle:
     """Retrain the three range models from a CSV with the documented training columns (header row,
     declared schema). The file carries no row id, so the row key for the hash split / subsampling is
-    the full row: identical rows always fall on the same side."""
+    the full row: identical rows always fall on the same side. Rows without a price raise."""
     from baleprice.operators.features import v2_features
     from baleprice.sources.io import TRAINING_SCHEMA, read_csv
-    df = read_csv(spark, path, TRAINING_SCHEMA).filter(F.col("price_per_kg").isNotNull())
+    df = read_csv(spark, path, TRAINING_SCHEMA)
+    unlabelled = df.filter(F.col("price_per_kg").isNull()).count()
+    if unlabelled:
+        raise ValueError(f"{unlabelled} rows of {path} have no price_per_kg")
     key = [f.name for f in TRAINING_SCHEMA.fields]
     feats = v2_features(df.select(*key, *[F.col(c).alias(f"_k_{c}") for c in key]), drop_inputs=False)
     kcols = [f"_k_{c}" for c in key]

@@ -9,6 +9,7 @@ DataFrame (see ``baleprice.streaming``).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ def price_listings(requests: DataFrame, bundle=None, as_of="listed_at", api_shap
 
 
 def predict_or_fallback(requests: DataFrame, bundle_path: str, keep: list[str] | None = None) -> DataFrame:
-    """price with the saved model bundle; when it cannot be loaded, every row gets the rule-based
-    fallback price (E9/E10/E12) with ``is_fallback = true`` and the load error as ``fallback_reason``.
+    """price with the saved model bundle; when there is none at the path, every row gets the rule-based
+    fallback price (E9/E10/E12) with ``is_fallback = true`` and the load error as ``fallback_reason``. Other errors of
+    loading (storage, a broken bundle) are raised.
     The fallback needs the v1 client fields (consistency_score, month, market_demand_index); requests
     without them raise instead (the live service answers 503 when no model is loaded)."""
     from baleprice.operators.clean import resolve_dates
@@ -51,7 +53,9 @@ def predict_or_fallback(requests: DataFrame, bundle_path: str, keep: list[str] |
     from baleprice.operators.train import RangeModelBundle
     try:
         bundle = RangeModelBundle.load(bundle_path)
-    except Exception as exc:  # noqa: BLE001 -- any load failure means "no model"
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         if "listed_at" in requests.columns:  # an absent month is that of the request's date
             requests = resolve_dates(requests, "listed_at", "js")
         missing = {"consistency_score", "month", "market_demand_index"} - set(requests.columns)

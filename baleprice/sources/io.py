@@ -62,8 +62,17 @@ METRIC_SCHEMA = T.StructType([T.StructField("model", T.StringType()), T.StructFi
 
 # -- A1 / A2 -----------------------------------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCHEMA) -> DataFrame:
-    """A CSV with a header row, parsed with the declared schema (malformed rows -> NULLs)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A CSV with a header row, its columns bound by name to the declared schema, in any order; further columns
+    are left out. A missing column raises ``ValueError``; a malformed value, or a file with another header than the
+    first, fails the job that reads it."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    types = {f.name: f.dataType for f in schema.fields}
+    found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    rows = spark.read.schema(found).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    return rows.csv(path).select(*schema.names)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

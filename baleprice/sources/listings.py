@@ -32,31 +32,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-_SCAN_PARTITIONS: dict = {}
-
-
-def spread_if_narrow(df: DataFrame, key: list[str], path: str | None = None) -> DataFrame:
-    """Small inputs (a file with one row group) scan as fewer partitions than the cluster has cores,
-    and every narrow operator after the scan then runs in those few tasks. Only in that case hash the
-    rows over ``defaultParallelism`` partitions by their key (a plan-time check, no job; remembered
-    per application and path). Large inputs already scan as many splits and are left alone: no extra
-    shuffle at scale."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    ck = (sc.applicationId, path) if path else None
-    n = _SCAN_PARTITIONS.get(ck) if ck else None
-    if n is None:
-        try:
-            n = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 -- no RDD view (e.g. a Connect session): leave the scan alone
-            return df
-        if ck:
-            _SCAN_PARTITIONS[ck] = n
-    if n < target:
-        return df.repartition(target, *[F.col(k) for k in key])
-    return df
-
-
 def _pick(index_col, values: list[str]):
     expr = None
     for i, v in enumerate(values):
@@ -72,7 +47,6 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                  "l_extendedprice", "l_quantity", "l_discount", "l_tax",
                                                  "l_returnflag", "l_shipdate"])
-    li = spread_if_narrow(li, ["l_orderkey", "l_linenumber"], f"{sf_dir}/lineitem")
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])

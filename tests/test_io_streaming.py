@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -95,6 +96,25 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+def test_csv_binds_columns_by_name(spark, tmp_path):
+    from baleprice.sources import io
+    names = [f.name for f in io.TRAINING_SCHEMA.fields]
+    row = dict(zip(names, ["plastic", "PET", "10.5", "2.0", "clean", "3", "1", "Nairobi", "household", "formal",
+                           "0.9", "1.0", "12.5"]))
+    shuffled = ["price_per_kg", "note", *reversed(names[:-1])]
+
+    def file(name, columns, values):
+        (tmp_path / name).write_text(",".join(columns) + "\n" + ",".join(values.get(c, "x") for c in columns) + "\n")
+        return str(tmp_path / name)
+
+    r = io.read_csv(spark, file("shuffled.csv", shuffled, row)).first()
+    assert list(r.asDict()) == names and (r.waste_type, r.weight_kg, r.month, r.price_per_kg) == ("plastic", 10.5, 3, 12.5)
+    with pytest.raises(ValueError, match="county"):
+        io.read_csv(spark, file("missing.csv", [c for c in names if c != "county"], row))
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        io.read_csv(spark, file("malformed.csv", names, {**row, "weight_kg": "ten"})).collect()
+
+
 def test_train_from_csv(spark):
     from baleprice.operators import train as T
     from baleprice.sources import io
