@@ -63,9 +63,9 @@ def round_js(c, digits: int) -> Column:
 
 
 def clip(c, lo: float, hi: float) -> Column:
-    """``np.clip`` that keeps NULL as NULL (``greatest(lo, NULL)`` would give ``lo``)."""
+    """``np.clip`` that keeps NULL as NULL and NaN as NaN (``greatest(lo, NULL)`` would give ``lo``)."""
     x = col_of(c)
-    return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(
+    return F.when(x.isNull() | F.isnan(x), x.cast("double")).otherwise(
         F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))))
 
 
