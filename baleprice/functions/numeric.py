@@ -108,3 +108,15 @@ def round_doubles(df: DataFrame, digits: int = 6, exclude: tuple = ()) -> DataFr
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+def row_digest(key: list[str], seed: int) -> Column:
+    """A seeded hash of a row's key columns as hex text: the md5 of their text forms and the seed, a missing value as
+    empty text. Any engine with md5 gives the same, and it doesn't depend on how the rows are partitioned."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+
+
+def row_bucket(key: list[str], seed: int, buckets: int) -> Column:
+    """The bucket 0 .. ``buckets`` - 1 of a row: the first 32 bits of its ``row_digest``, modulo ``buckets``."""
+    return F.conv(F.substring(row_digest(key, seed), 1, 8), 16, 10).cast("long") % F.lit(buckets)

@@ -2,9 +2,8 @@
 
 Every aggregate is a ``groupBy`` with partial (map-side) aggregation, so a hot key costs one combined
 row per task before the shuffle. Global windows are only used over already aggregated rows (a few
-dozen groups). A total needed once by a second pass is a scalar subquery (``DataFrame.scalar()``);
-where several numbers are needed (histogram bounds, line coefficients) they come from one small
-aggregate job -- a handful of numbers, never rows. No cross joins.
+dozen groups). Histogram bounds and line coefficients come from one small aggregate job that runs while the
+query is built -- two numbers, never rows. No cross joins.
 
 Null group keys are dropped first, as pandas ``groupby`` does. ``std`` is the sample deviation.
 """
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
+from baleprice.functions.numeric import row_digest
 
 PRICE = "price_per_kg"
 
@@ -164,7 +164,7 @@ def top_types_by_condition(df: DataFrame, k: int = 6) -> DataFrame:
 
 def histogram(df: DataFrame, x: str, bins: int = D.HISTOGRAM_BINS, value_expr: Column | None = None) -> DataFrame:
     """Equal-width histogram between min and max; the last bin is closed on the right.
-    Min and max are scalar subqueries; empty bins are kept."""
+    Min and max come from one aggregate job that runs at once; empty bins are kept."""
     v = value_expr if value_expr is not None else F.col(x)
     base = df.select(v.alias("_x")).filter(F.col("_x").isNotNull())
     # the two bounds (two numbers) in one aggregate job; under AQE each reference to a scalar
@@ -230,14 +230,15 @@ def items_to_reach(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, group: str, n: int, key: list[str], seed: int = 42,
-                     salt_buckets: int = 64) -> DataFrame:
+                     salt_buckets: int | None = None) -> DataFrame:
     """H6: ``min(n, group size)`` rows per group, chosen by a seeded hash of the row key.
 
-    Two phases so a hot group never lands in one task: first the ``n`` smallest hashes per
-    (group, salt bucket), then the ``n`` smallest of those candidates per group (at most
-    ``salt_buckets x n`` rows per group). The result is exactly the ``n`` smallest hashes per group."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    work = df.withColumn("_h", h).withColumn("_salt", F.pmod(F.col("_h"), F.lit(salt_buckets)))
+    Two phases so a hot group never lands in one task: first the ``n`` smallest hashes per (group, salt), then the
+    ``n`` smallest of those candidates per group. The salt is the task that read the row, modulo ``salt_buckets`` (by
+    default the session's shuffle partitions), so that a task ships at most ``n`` rows of a group; the result is
+    exactly the ``n`` smallest hashes per group whatever the salt."""
+    salts = salt_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = df.withColumns({"_h": row_digest(key, seed), "_salt": F.spark_partition_id() % F.lit(salts)})
     w1 = Window.partitionBy(group, "_salt").orderBy("_h", *key)
     cand = work.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n).drop("_r")
     w2 = Window.partitionBy(group).orderBy("_h", *key)
@@ -245,7 +246,7 @@ def sample_per_group(df: DataFrame, group: str, n: int, key: list[str], seed: in
             .drop("_h", "_salt"))
 
 
-def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42, salt_buckets: int = 64) -> DataFrame:
+def sample_n(df: DataFrame, n: int, key: list[str], seed: int = 42, salt_buckets: int | None = None) -> DataFrame:
     """H6: ``min(n, len(df))`` rows drawn by a seeded hash of the row key (the whole input is one
     group; the two-phase plan of ``sample_per_group`` keeps every task's share bounded)."""
     return sample_per_group(df.withColumn("_all", F.lit(0)), "_all", n, key, seed, salt_buckets).drop("_all")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
-from baleprice.functions.numeric import literal_map
+from baleprice.functions.numeric import literal_map, round_even, row_bucket, row_digest
 from baleprice.session import cut_lineage
 
 GROUP = ["waste_type", "sub_type", "condition"]
@@ -41,6 +41,40 @@ def fit_conditional_quantiles(df: DataFrame, y: str = "price_per_kg", keys: list
     return df.filter(cond).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
 
 
+QUANTILE_COLS = {"q05": "pred_lower", "q50": "pred_mid", "q95": "pred_upper"}
+
+
+@dataclass
+class ConditionalQuantileModel:
+    """Range model of two tables: quantiles per (waste type, sub-type, condition), and per waste type for rows whose
+    group has no training rows. ``score`` takes any frame with these columns, so that it stands where a
+    ``RangeModelBundle`` does; a row of an unknown waste type gets NULL predictions."""
+    groups: DataFrame
+    fallback: DataFrame
+
+    def score(self, df: DataFrame) -> DataFrame:
+        own = self.groups.select(*[F.col(k).alias(f"_{k}") for k in GROUP], *QUANTILE_COLS)
+        back = self.fallback.select(F.col("waste_type").alias("_backoff"),
+                                    *[F.col(q).alias(f"_{q}") for q in QUANTILE_COLS])
+        same = [F.col(k) == F.col(f"_{k}") for k in GROUP]
+        joined = df.join(own, same, "left").join(back, F.col("waste_type") == F.col("_backoff"), "left")
+        return joined.withColumns({p: F.coalesce(q, f"_{q}") for q, p in QUANTILE_COLS.items()}).drop(
+            *[f"_{k}" for k in GROUP], "_backoff", *QUANTILE_COLS, *[f"_{q}" for q in QUANTILE_COLS])
+
+
+def fit_quantile_tables(train: DataFrame, y: str = "price_per_kg", digits: int = 6) -> ConditionalQuantileModel:
+    """The conditional quantiles of ``train`` by group and by waste type, both to ``digits`` decimals. The training
+    rows are counted per (group, price) once, and both tables come from these counts."""
+    counts = train.filter(F.col(y).isNotNull()).groupBy(*GROUP, y).agg(F.count(F.lit(1)).alias("n"))
+
+    def table(keys: list[str]) -> DataFrame:
+        qs = [round_even(F.percentile(y, D.QUANTILES[name], F.col("n")), digits).alias(q)
+              for name, q in zip(("lower", "mid", "upper"), QUANTILE_COLS)]
+        return counts.dropna(subset=keys).groupBy(*keys).agg(*qs)
+
+    return ConditionalQuantileModel(table(GROUP), table(["waste_type"]))
+
+
 # ---------------------------------------------------------------------------------------------------
 # I1 split, I2 ordinal encoding, I3 standard scaling
 # ---------------------------------------------------------------------------------------------------
@@ -51,15 +85,9 @@ NUM = D.NUMERIC_FEATURES
 FEATURES = CAT + NUM
 
 
-def hash_bucket(key: list[str], seed: int, buckets: int):
-    """Deterministic pseudo-random bucket of a row from its key: stable under re-partitioning and
-    task retries (unlike ``rand``/``randomSplit`` which depend on partition layout)."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(buckets))
-
-
 def split_train_test(df: DataFrame, key: list[str], test_pct: int = 15, seed: int = 42) -> DataFrame:
     """Adds ``is_test`` (about ``test_pct`` % of rows) from a seeded hash of the row key."""
-    return df.withColumn("is_test", hash_bucket(key, seed, 100) < F.lit(test_pct))
+    return df.withColumn("is_test", row_bucket(key, seed, 100) < F.lit(test_pct))
 
 
 def ordinal_codes(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -228,7 +256,7 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
     f0 = float(base.select(F.percentile_approx("_y", q, accuracy)).first()[0])
     work = base.withColumn("_f", F.lit(f0)).persist()  # lineage is short here: the input is persisted
     model = QuantileBoostModel(q, f0, learning_rate)
-    prev = work
+    prev = None
     vwork = None
     best, best_round = float("inf"), 0
     if valid is not None:
@@ -236,7 +264,7 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
             .withColumn("_f", F.lit(f0)).persist()
     for t in range(rounds):
         grad = work.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), F.lit(q)).otherwise(F.lit(q - 1.0)))
-        sample = grad.filter(hash_bucket(key, seed + 1000 * t + int(q * 100), 1000) < F.lit(int(subsample * 1000)))
+        sample = grad.filter(row_bucket(key, seed + 1000 * t + int(q * 100), 1000) < F.lit(int(subsample * 1000)))
         tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=max_depth, maxBins=max_bins,
                                      minInstancesPerNode=min_instances, seed=seed + t).fit(sample)
         tree.setLeafCol("_leaf").setPredictionCol("_tp")
@@ -246,6 +274,10 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
             F.percentile_approx(e, q, accuracy).alias("v"),
             F.sum(F.when(e >= 0, F.lit(q) * e).otherwise(F.lit(q - 1.0) * e)).alias("loss"),
             F.count(F.lit(1)).alias("n")).collect()
+        # this round's jobs have computed ``work`` in full, so the frame that it came from can go
+        if prev is not None and prev is not work:
+            prev.unpersist()
+        prev = work
         leaves = {float(r["_leaf"]): float(r["v"]) for r in leaf_tbl}
         # training pinball loss of the model before this round (same job, summed over <= 2^depth leaves)
         model.history.append(sum(r["loss"] for r in leaf_tbl) / max(1, sum(r["n"] for r in leaf_tbl)))
@@ -258,9 +290,6 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
             new_work = cut_lineage(new_work)
         else:
             new_work = new_work.persist()
-        if prev is not None:
-            prev.unpersist()
-        prev = new_work if new_work.is_cached else None
         work = new_work
         if vwork is not None:
             vt = tree.copy()
@@ -276,6 +305,7 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
                 best, best_round = vloss, t + 1
             elif t + 1 - best_round >= patience:
                 break
+    last = work
     if vwork is not None:
         vwork.unpersist()
         if best_round and best_round < len(model.trees):
@@ -285,8 +315,9 @@ def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "
                                  .withColumnRenamed("_x0", "_xf"), "_f", "_xf")
     if calibrate:
         model.shift = float(work.select(F.percentile_approx(F.col("_y") - F.col("_f"), q, accuracy)).first()[0])
-    if prev is not None:
-        prev.unpersist()
+    for frame in (prev, last):
+        if frame is not None:
+            frame.unpersist()
     return model
 
 
@@ -369,8 +400,7 @@ def r2_expr(y: str, p: str):
 def block_permutation(df: DataFrame, key: list[str], cols: list[str], seed: int, blocks: int) -> DataFrame:
     """Adds ``_perm_<c>`` = the value of ``c`` from the next row of the same random hash block in a seeded hash order;
     the last row takes the first one's. A bijection within each block, by one window without a join."""
-    t = df.withColumn("_blk", hash_bucket(key, seed, blocks)).withColumn(
-        "_h", F.xxhash64(*[F.col(k) for k in key], F.lit(seed + 7919)))
+    t = df.withColumns({"_blk": row_bucket(key, seed, blocks), "_h": row_digest(key, seed + 7919)})
     w = Window.partitionBy("_blk").orderBy("_h", *key)
     vals = F.struct(*cols)
     taken = F.coalesce(F.lead(vals).over(w), F.first(vals).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -412,7 +442,7 @@ def cross_validate_mid(features: DataFrame, key: list[str], folds: int = 3, seed
     from baleprice.operators.evaluate import regression_aggs
     pipe = feature_pipeline().fit(features)
     kw.setdefault("max_bins", tree_bins(pipe))
-    feat = (pipe.transform(features).withColumn("_fold", hash_bucket(key, seed, folds))
+    feat = (pipe.transform(features).withColumn("_fold", row_bucket(key, seed, folds))
             .select(*key, "price_per_kg", "features", "_fold").persist())
     out = None
     for k in range(folds):

@@ -873,8 +873,8 @@ def _pin(y: str, p: str, q: float) -> str:
     return f"(CASE WHEN {y} - {p} >= 0 THEN {S.num(q)} * ({y} - {p}) ELSE {S.num(q - 1.0)} * ({y} - {p}) END)"
 
 
-@register("interval_metrics", lambda: S.with_base(f"""
-SELECT count(*) AS n_rows,
+def _interval_sql(src: str) -> str:
+    return f"""SELECT count(*) AS n_rows,
   {rd('avg(CASE WHEN price_per_kg >= pred_lower AND price_per_kg <= pred_upper THEN 1.0E0 ELSE 0.0E0 END)')} AS coverage,
   {rd('avg(pred_upper - pred_lower)')} AS mean_width,
   {rd(f"avg({_pin('price_per_kg', 'pred_lower', D.QUANTILES['lower'])})")} AS pinball_lower,
@@ -882,7 +882,10 @@ SELECT count(*) AS n_rows,
   {rd(f"avg({_pin('price_per_kg', 'pred_upper', D.QUANTILES['upper'])})")} AS pinball_upper,
   {rd('avg(CASE WHEN price_per_kg < pred_lower THEN 1.0E0 ELSE 0.0E0 END)')} AS share_below_lower,
   {rd('avg(CASE WHEN price_per_kg > pred_upper THEN 1.0E0 ELSE 0.0E0 END)')} AS share_above_upper
-FROM tp WHERE price_per_kg IS NOT NULL""", _train_pred_cte()))
+FROM {src} WHERE price_per_kg IS NOT NULL"""
+
+
+@register("interval_metrics", lambda: S.with_base(_interval_sql("tp"), _train_pred_cte()))
 def interval_metrics(spark, sf_dir):
     """Interval coverage (inclusive), mean width and pinball loss of each bound."""
     return round_doubles(E.interval_metrics(_training_predicted(spark, sf_dir)), DIGITS)
@@ -956,6 +959,68 @@ def standard_scale(spark, sf_dir):
     return round_doubles(model.transform(feat).select(*KEY, *[f"{c}_scaled" for c in D.NUMERIC_FEATURES]), DIGITS)
 
 
+LIVE_COLS = ["lower_bound", "recommended", "upper_bound", "range_width", "market_tier", "tier_score", "market_signal"]
+
+
+def _live_model_ctes() -> str:
+    """The conditional quantiles of the training side, and (``{src}`` -> predictions) as ``_live_pred``."""
+    qs = ", ".join(f"{rd(f'quantile_cont(price_per_kg, {q})')} AS {n}"
+                   for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)))
+    keys = "waste_type, sub_type, condition"
+    return f"""split AS (SELECT *, {S.is_test()} AS is_test FROM training),
+qg AS (SELECT {keys}, {qs} FROM split WHERE NOT is_test AND waste_type IS NOT NULL AND sub_type IS NOT NULL
+  AND condition IS NOT NULL GROUP BY {keys}),
+qw AS (SELECT waste_type, {qs} FROM split WHERE NOT is_test AND waste_type IS NOT NULL GROUP BY waste_type)"""
+
+
+def _live_pred(src: str) -> str:
+    return f"""SELECT x.*, coalesce(g.q05, w.q05) AS pred_lower, coalesce(g.q50, w.q50) AS pred_mid,
+  coalesce(g.q95, w.q95) AS pred_upper FROM {src} x
+  LEFT JOIN qg g ON g.waste_type = x.waste_type AND g.sub_type = x.sub_type AND g.condition = x.condition
+  LEFT JOIN qw w ON w.waste_type = x.waste_type"""
+
+
+def _score_live_sql() -> str:
+    cols = ", ".join(f"CASE WHEN v.n_errors = 0 THEN p.{c} END AS {c}" for c in LIVE_COLS)
+    keys = ", ".join(f"v.{k}" for k in KEY)
+    return S.with_base(f"""SELECT {keys}, v.n_errors = 0 AS is_valid, {cols}
+FROM validated v LEFT JOIN lv p USING ({S.KEY}) WHERE {S.is_test('v')}""", f"""{_validated_sql()},
+{_live_model_ctes()},
+lc AS ({S.clean_select('v2')}),
+lt AS ({S.tier_select('live', 'lc')}),
+lp AS ({_live_pred('lt')}),
+lv AS ({S.postprocess_select('v2', 'lp')})""")
+
+
+def _live_model(spark, sf_dir):
+    from baleprice.operators import train as T
+    rows = T.split_train_test(training_table(spark, sf_dir), KEY)
+    return T.fit_quantile_tables(rows.filter(~F.col("is_test"))), rows.filter(F.col("is_test"))
+
+
+@register("score_live", _score_live_sql)
+def score_live(spark, sf_dir):
+    """hold-out requests through the live chain (validate, clean, live tier, predict, post-process) with
+    conditional quantiles fitted on the training side; rejected requests carry no price."""
+    from baleprice.operators.train import split_train_test
+    from baleprice.plans.serve import price_listings
+    model, _ = _live_model(spark, sf_dir)
+    requests = split_train_test(raw_listings(spark, sf_dir), KEY).filter(F.col("is_test"))
+    priced = price_listings(requests, bundle=model, keep=KEY)
+    inside = {"lower_bound": "price_range", "recommended": "price_range", "upper_bound": "price_range"}
+    return priced.select(*KEY, "is_valid", *[
+        F.col(f"response.{inside.get(c, 'market_info')}.{c}").alias(c) for c in LIVE_COLS])
+
+
+@register("score_live_metrics", lambda: S.with_base(
+    _interval_sql("lm"), f"{_live_model_ctes()},\nlm AS ({_live_pred('(SELECT * FROM split WHERE is_test)')})"))
+def score_live_metrics(spark, sf_dir):
+    """Coverage, width and pinball losses, on the labelled hold-out rows, of the model that ``score_live``
+    serves (its predictions before the live multipliers)."""
+    model, test = _live_model(spark, sf_dir)
+    return round_doubles(E.interval_metrics(model.score(test)), DIGITS)
+
+
 # ------------------------------------------------------------------------------------------------------
 # 2.9 trained models (random split, boosted trees): rows-only checks
 # ------------------------------------------------------------------------------------------------------
@@ -984,7 +1049,8 @@ def _scored_test(spark, sf_dir):
     return bundle.score(test)
 
 
-@register("train_test_counts")
+@register("train_test_counts", lambda: S.with_base(
+    f"SELECT {S.is_test()} AS is_test, count(*) AS n_rows FROM training GROUP BY 1"))
 def train_test_counts(spark, sf_dir):
     """Rows per side of the seeded 85/15 hash split."""
     from baleprice.operators import train as T
@@ -1042,7 +1108,10 @@ def permutation_importance(spark, sf_dir):
     return T.permutation_importance(_bundle(spark, sf_dir), test, KEY, n_repeats=5, seed=42)
 
 
-@register("stratified_sample")
+@register("stratified_sample", lambda: S.with_base(f"""
+SELECT * FROM (SELECT {S.KEY}, condition, weight_kg, price_per_kg,
+  CAST(row_number() OVER (PARTITION BY condition ORDER BY {S.digest(42)}, {S.KEY}) AS INTEGER) AS sample_rank
+  FROM training) WHERE sample_rank <= 500"""))
 def stratified_sample(spark, sf_dir):
     """H6: min(500, n) rows per condition drawn by a seeded hash (two-phase, skew-safe)."""
     t = training_table(spark, sf_dir)
@@ -1071,12 +1140,16 @@ def model_comparison(spark, sf_dir):
     return T.compare_models(feats, KEY)
 
 
-@register("sample_trend")
+@register("sample_trend", lambda: S.with_base(f"""
+SELECT count(price_per_kg) AS n_rows, {rd('regr_slope(price_per_kg, ln(1.0E0 + weight_kg))')} AS slope,
+  {rd('regr_intercept(price_per_kg, ln(1.0E0 + weight_kg))')} AS intercept
+FROM (SELECT * FROM training WHERE waste_type = 'plastic' AND condition = 'clean'
+  ORDER BY {S.digest(42)}, {S.KEY} LIMIT 1000)"""))
 def sample_trend(spark, sf_dir):
     """G17 (training variant), H6: least-squares line price ~ log1p(weight) on a 1000-row hash sample
     of the plastic / clean rows."""
     t = training_table(spark, sf_dir).filter((F.col("waste_type") == "plastic") & (F.col("condition") == "clean"))
-    return R.trend_line(R.sample_n(t, 1000, KEY, seed=42))
+    return round_doubles(R.trend_line(R.sample_n(t, 1000, KEY, seed=42)), DIGITS)
 
 
 @register("model_report")

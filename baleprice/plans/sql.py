@@ -235,6 +235,17 @@ def rule_pred_select(src: str) -> str:
   FROM {src} x LEFT JOIN subtypes _br ON _br.waste_type = x.waste_type AND _br.sub_type = x.sub_type"""
 
 
+def digest(seed: int, alias: str = "") -> str:
+    """Hex md5 of the row key and a seed, as ``numeric.row_digest``."""
+    a = f"{alias}." if alias else ""
+    parts = ", ".join(f"coalesce(CAST({a}{k.strip()} AS VARCHAR), '')" for k in KEY.split(","))
+    return f"md5(concat_ws('|', {parts}, '{seed}'))"
+
+
+def is_test(alias: str = "", pct: int = 15, seed: int = 42) -> str:
+    return f"(CAST('0x' || substr({digest(seed, alias)}, 1, 8) AS BIGINT) % 100 < {pct})"
+
+
 def fmt0(x: str) -> str:
     return f"printf('%.0f', {x})"
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from baleprice.functions.numeric import row_digest
 from conftest import SF_SMALL
 
 
@@ -89,7 +90,7 @@ def test_sample_per_group_matches_brute_force(spark):
     from baleprice.sources.listings import KEY, training_table
     t = training_table(spark, SF_SMALL)
     got = sample_per_group(t, "condition", 50, KEY, seed=42, salt_buckets=8)
-    hashed = t.select(*KEY, "condition", F.xxhash64(*[F.col(k) for k in KEY], F.lit(42)).alias("h")).toPandas()
+    hashed = t.select(*KEY, "condition", row_digest(KEY, 42).alias("h")).toPandas()
     hashed = hashed.sort_values(["condition", "h"] + KEY)
     want = set(map(tuple, hashed.groupby("condition").head(50)[KEY].itertuples(index=False)))
     have = {tuple(r) for r in got.select(*KEY).collect()}
@@ -135,7 +136,7 @@ def test_sample_n_matches_brute_force(spark):
     from baleprice.sources.listings import KEY, training_table
     t = training_table(spark, SF_SMALL)
     got = {tuple(r) for r in sample_n(t, 100, KEY, seed=7, salt_buckets=4).select(*KEY).collect()}
-    pdf = t.select(*KEY, F.xxhash64(*[F.col(k) for k in KEY], F.lit(7)).alias("h")).toPandas()
+    pdf = t.select(*KEY, row_digest(KEY, 7).alias("h")).toPandas()
     want = set(map(tuple, pdf.sort_values(["h"] + KEY).head(100)[KEY].itertuples(index=False)))
     assert got == want
 
@@ -161,3 +162,24 @@ def test_predict_or_fallback_with_bundle(spark, trained, tmp_path):
     out = predict_or_fallback(raw_listings(spark, SF_SMALL), path, keep=KEY)
     assert out.filter("is_fallback").count() == 0
     assert out.filter("is_valid AND response IS NULL").count() == 0
+
+
+def test_quantile_tables_back_off_to_the_waste_type(spark):
+    from baleprice.operators import train as T
+    rows = [("plastic", "PET", "clean", float(p)) for p in range(1, 22)] + [("plastic", "PVC", "mixed", 100.0)]
+    cols = "waste_type string, sub_type string, condition string, price_per_kg double"
+    model = T.fit_quantile_tables(spark.createDataFrame(rows + [("plastic", None, "clean", None)], cols))
+    asked = spark.createDataFrame([("plastic", "PET", "clean"), ("plastic", "new", "clean"), ("metal", "PET", "clean"),
+                                   ("plastic", None, None)], "waste_type string, sub_type string, condition string")
+    got = {(r.waste_type, r.sub_type): (r.pred_lower, r.pred_mid, r.pred_upper) for r in model.score(asked).collect()}
+    assert got["plastic", "PET"] == (2.0, 11.0, 20.0)
+    assert got["plastic", "new"] == got["plastic", None] == (2.05, 11.5, 20.95)
+    assert got["metal", "PET"] == (None, None, None)
+
+
+def test_row_bucket_is_the_md5_of_the_key(spark):
+    import hashlib
+    from baleprice.functions.numeric import row_bucket
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string").withColumn("k", row_bucket(["a", "b"], 5, 100))
+    want = {a: int(hashlib.md5(f"{a}|{b or ''}|5".encode()).hexdigest()[:8], 16) % 100 for a, b in [(1, "x"), (2, None)]}
+    assert {r.a: r.k for r in df.collect()} == want
