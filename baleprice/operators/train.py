@@ -415,11 +415,12 @@ def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[
     The permutation is drawn inside ``blocks`` random hash blocks, the same rule at every size; on a large hold-out
     set more blocks give smaller windows. One pairing per repeat serves all features; every (feature, repeat) variant
     is scored in a single pass and its R2 aggregated by group."""
-    base_pred = bundle.score(test.select(*key, y, *FEATURES))
+    test = cut_lineage(test.select(*key, y, *FEATURES))  # read by the baseline and twice by each repeat
+    base_pred = bundle.score(test)
     baseline = base_pred.agg(r2_expr(y, "pred_mid").alias("r2")).first()["r2"]
     variants = None
     for r in range(n_repeats):
-        paired = block_permutation(test.select(*key, y, *FEATURES), key, FEATURES, seed + r, blocks)
+        paired = block_permutation(test, key, FEATURES, seed + r, blocks)
         exploded = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in FEATURES])))
         swapped = exploded.select(
             *key, y, "feature", F.lit(r).alias("repeat"),
@@ -440,9 +441,10 @@ def cross_validate_mid(features: DataFrame, key: list[str], folds: int = 3, seed
     a fixed subset independent of partitioning. Returns one row per fold (MAE, R2 on the held-out
     fold); ``cv_summary`` turns it into mean +- std."""
     from baleprice.operators.evaluate import regression_aggs
-    pipe = feature_pipeline().fit(features)
+    rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
+    pipe = feature_pipeline().fit(rows)
     kw.setdefault("max_bins", tree_bins(pipe))
-    feat = (pipe.transform(features).withColumn("_fold", row_bucket(key, seed, folds))
+    feat = (pipe.transform(rows).withColumn("_fold", row_bucket(key, seed, folds))
             .select(*key, "price_per_kg", "features", "_fold").persist())
     out = None
     for k in range(folds):
@@ -452,6 +454,7 @@ def cross_validate_mid(features: DataFrame, key: list[str], folds: int = 3, seed
         res = cut_lineage(res)
         out = res if out is None else out.unionByName(res)
     feat.unpersist()
+    rows.unpersist()
     return out
 
 
@@ -466,9 +469,10 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
     quantile booster on the same hash split and feature vector; hold-out MAE, RMSE, R2, MAPE."""
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
     from baleprice.operators.evaluate import regression_aggs
-    pipe = feature_pipeline().fit(features)
+    rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
+    pipe = feature_pipeline().fit(rows)
     bins = tree_bins(pipe, 64)
-    feat = (pipe.transform(split_train_test(features, key, test_pct, seed))
+    feat = (pipe.transform(split_train_test(rows, key, test_pct, seed))
             .select(*key, "price_per_kg", "features", "is_test").persist())
     train, test = feat.filter(~F.col("is_test")), feat.filter(F.col("is_test"))
     learners = {
@@ -490,6 +494,7 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
                                               F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
     out = out.unionByName(cut_lineage(res))
     feat.unpersist()
+    rows.unpersist()
     return out
 
 

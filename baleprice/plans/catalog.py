@@ -81,7 +81,8 @@ def _v2_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _training_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.rule_predictions(training_table(spark, sf_dir))
+    priced = training_table(spark, sf_dir, keep=("expected_price_raw",))
+    return SC.rule_predictions(priced, price="expected_price_raw").drop("expected_price_raw")
 
 
 V2_PRICED_SQL = """v2c AS ({clean}),
@@ -1080,13 +1081,18 @@ def model_metrics(spark, sf_dir):
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    """Split-gain importances of the mid model averaged over boosting rounds, ranked."""
+    """Split-gain importances of the mid model averaged over boosting rounds, ranked, with their share and
+    running share of the total."""
     from baleprice.operators import train as T
     imp = _bundle(spark, sf_dir).models["mid"].feature_importances()
     df = D.local_frame(spark, list(zip(T.FEATURES, imp)), "feature string, importance double")
-    from pyspark.sql import Window
-    # 15 rows (one per feature): a global window is fine here
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
+    return R.ranked_cumulative_share(df, ["feature"], "importance")  # 15 rows, one per feature
+
+
+@register("features_to_80pct")
+def features_to_80pct(spark, sf_dir):
+    """H4: number of the mid model's features whose importances reach 80 % of the total."""
+    return R.items_to_reach(feature_importance(spark, sf_dir), 0.8)
 
 
 @register("importance_by_family")

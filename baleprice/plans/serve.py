@@ -1,6 +1,6 @@
 """Entry 1 of the reference ("price one listing", batch of up to 100) as one DataFrame plan over any
 number of listings: validate -> clean -> date defaults -> live tier -> features -> three quantile models
-(or the rule predictor when no model bundle is given) -> post-process -> nested record.
+(or, if the caller asks for it, the rule predictor) -> post-process -> nested record.
 
 The plan is narrow (no shuffle): every lookup is a literal map or a broadcast of a fixed table, and the
 tree ensembles travel with the tasks. It is stateless, so the same function prices a streaming
@@ -20,12 +20,17 @@ from baleprice.operators import scoring as SC
 
 
 def price_listings(requests: DataFrame, bundle=None, as_of="listed_at", api_shape: bool = True,
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, rule_model: bool = False) -> DataFrame:
     """Price every valid request; rejected rows come back with ``is_valid = false`` and their
     ``errors`` and no price (the reference rejects the whole batch; we reject per row).
 
+    ``bundle`` is a fitted model with ``score``. Without one the call is refused, unless ``rule_model`` asks for the rule
+    predictor; the column ``predictor`` says which of the two priced a row (``model`` or ``rule``).
+
     ``as_of`` is a column (or literal timestamp) standing for the request time: month and weekday
     default from it (Python convention)."""
+    if bundle is None and not rule_model:
+        raise ValueError("no model to price with: give a bundle, or rule_model=True for rule prices")
     checked = C.validate_listings(requests)
     if isinstance(as_of, str) and as_of not in checked.columns:
         as_of = F.current_timestamp()
@@ -38,7 +43,8 @@ def price_listings(requests: DataFrame, bundle=None, as_of="listed_at", api_shap
         predicted = SC.rule_predictions(cleaned)
     post = SC.postprocess_range(predicted, "v2")
     nested = SC.nest_response(post, "v2", api_shape=api_shape)
-    out_cols = (keep or []) + ["is_valid", "errors", "response"]
+    out_cols = (keep or []) + ["is_valid", "errors", "predictor", "response"]
+    nested = nested.withColumn("predictor", F.lit("rule" if bundle is None else "model"))
     return nested.withColumn("response", F.when(F.col("is_valid"), F.col("response"))).select(*out_cols)
 
 

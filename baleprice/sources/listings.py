@@ -93,15 +93,16 @@ TRAINING_COLUMNS = ["waste_type", "sub_type", "weight_kg", "distance_km", "condi
                     "county", "collection_point", "market_tier", "tier_score", "tier_multiplier", "price_per_kg"]
 
 
-def label_listings(raw: DataFrame) -> DataFrame:
+def label_listings(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The v2 training table: training-cleaned rows, E3 tier and the price label
-    ``round2(max(0.5, E7 x noise))`` (noise is a column of the stand-in rows)."""
+    ``round2(max(0.5, E7 x noise))`` (noise is a column of the stand-in rows). ``keep`` names further columns, such as
+    the noise-free ``expected_price_raw``."""
     cleaned = tier_train(clean_listings(raw, "train"))
     priced = expected_price_v2(cleaned, tier_multiplier="tier_multiplier", out_col=None)
     labelled = priced.withColumn(
         "price_per_kg", round_py(F.greatest(F.lit(0.5), F.col("expected_price_raw") * F.col("noise")), 2))
-    return labelled.select(*KEY, *TRAINING_COLUMNS)
+    return labelled.select(*KEY, *TRAINING_COLUMNS, *keep)
 
 
-def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_listings(raw_listings(spark, sf_dir))
+def training_table(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return label_listings(raw_listings(spark, sf_dir), keep)

@@ -25,17 +25,18 @@ def request_stream(spark: SparkSession, source_dir: str, fmt: str = "json", sche
     return reader.format(fmt).load(source_dir)
 
 
-def priced_stream(stream: DataFrame, bundle=None, keep: list[str] | None = None) -> DataFrame:
+def priced_stream(stream: DataFrame, bundle=None, keep: list[str] | None = None,
+                  rule_model: bool = False) -> DataFrame:
     """The batch pricing plan applied to a stream; the request's arrival time stands for "now"."""
     stamped = stream.withColumn("received_at", F.current_timestamp())
-    return price_listings(stamped, bundle=bundle, as_of="received_at", keep=keep)
+    return price_listings(stamped, bundle=bundle, as_of="received_at", keep=keep, rule_model=rule_model)
 
 
 def start_pricing_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                          bundle=None, fmt: str = "json", keep: list[str] | None = None,
-                         trigger_once: bool = False) -> StreamingQuery:
+                         trigger_once: bool = False, rule_model: bool = False) -> StreamingQuery:
     """Start the job: each micro-batch of priced rows lands in ``sink_dir/batch_id=<n>`` as parquet."""
-    priced = priced_stream(request_stream(spark, source_dir, fmt), bundle, keep)
+    priced = priced_stream(request_stream(spark, source_dir, fmt), bundle, keep, rule_model)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # one directory per micro-batch, overwritten on re-execution: a batch replayed after a failure

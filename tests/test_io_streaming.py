@@ -64,7 +64,7 @@ def test_requests_json_to_nested_responses(spark):
     src = os.path.join(_tmp(), "requests")
     raw.select(*KEY, *[f.name for f in io.REQUEST_SCHEMA.fields], "listed_at").write.json(src)
     req = spark.read.json(src)
-    priced = price_listings(req, keep=KEY)
+    priced = price_listings(req, keep=KEY, rule_model=True)
     assert priced.count() == raw.count()
     valid = priced.filter("is_valid")
     assert valid.filter(F.col("response").isNull()).count() == 0
@@ -83,7 +83,7 @@ def test_streaming_job(spark):
     src, sink, ckpt = (os.path.join(base, d) for d in ("in", "out", "ckpt"))
     raw = raw_listings(spark, SF_SMALL).select(*[f.name for f in io.REQUEST_SCHEMA.fields])
     raw.repartition(3).write.json(src)
-    q = start_pricing_stream(spark, src, sink, ckpt, trigger_once=True)
+    q = start_pricing_stream(spark, src, sink, ckpt, trigger_once=True, rule_model=True)
     q.awaitTermination(300)
     out = spark.read.parquet(sink)
     assert out.count() == raw.count()
@@ -155,3 +155,12 @@ def test_v2_requests_without_model_raise(spark):
     req = raw_listings(spark, SF_SMALL).select(*[f.name for f in io.REQUEST_SCHEMA.fields])
     with pytest.raises(RuntimeError, match="model not loaded"):
         predict_or_fallback(req, os.path.join(_tmp(), "absent_bundle"))
+
+
+def test_rule_prices_are_asked_for_and_flagged(spark):
+    from baleprice.plans.serve import price_listings
+    from baleprice.sources.listings import raw_listings
+    req = raw_listings(spark, SF_SMALL).limit(5)
+    with pytest.raises(ValueError, match="rule_model"):
+        price_listings(req)
+    assert {r.predictor for r in price_listings(req, rule_model=True).select("predictor").collect()} == {"rule"}

@@ -129,6 +129,7 @@ def test_price_listings_with_bundle(spark, trained):
     assert pr.filter(~((F.col("lower_bound") <= F.col("recommended")) &
                        (F.col("recommended") <= F.col("upper_bound")))).count() == 0
     assert out.filter("NOT is_valid AND response IS NOT NULL").count() == 0
+    assert out.filter("predictor != 'model'").count() == 0
 
 
 def test_sample_n_matches_brute_force(spark):
