@@ -78,6 +78,38 @@ def test_recall_of_links_near_the_threshold(spark):
     assert sum(r.n_links for r in got.values()) <= 2 * 1500
 
 
+@pytest.mark.parametrize("max_pivots", [1, 16])
+def test_all_links_near_the_threshold_with_few_pivots(spark, max_pivots):
+    """Pivots under 1 % of the vectors: every vector has all its links, both ends of a pair the same one."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(1000):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        for k in range(3):
+            b = rng.standard_normal(64)
+            b -= b @ a * a
+            b /= np.linalg.norm(b)
+            c = rng.uniform(0.9, 0.93) if k else 1.0
+            rows.append((3 * i + k, (c * a + math.sqrt(1 - c * c) * b).tolist(), 0, "", ""))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, VECTORS), max_pivots=max_pivots).collect()}
+    number, label = _brute(rows)
+    assert {i: r.n_links for i, r in got.items()} == number
+    assert {i: r.component_id for i, r in got.items()} == label
+
+
+def test_codes_never_rule_out_a_link():
+    rng = np.random.default_rng(10)
+    for dim in (1, 2, 16, 64):
+        x = rng.standard_normal((400, dim))
+        q = x + rng.standard_normal((400, dim)) * rng.uniform(0, 0.6, (400, 1)) * np.linalg.norm(x, axis=1)[:, None] / math.sqrt(dim)
+        x, q = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, q))
+        turn = embeddings.rotation(dim)
+        codes, factors = embeddings.encode(x @ turn)
+        value, _ = embeddings.estimate(codes, factors, q @ turn)
+        assert (value >= embeddings.least_estimate(factors, 0.9, dim))[q @ x.T >= 0.9].all()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((2000, 64))
