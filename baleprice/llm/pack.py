@@ -23,22 +23,23 @@ def bin_cost(length: int, overhead: int) -> int:
 
 def opening_length(sizes_left: list[int], first: int, lengths: tuple[int, ...], overhead: int) -> int:
     """The permitted length that is cheapest a token when a new bin must hold the piece at ``first`` and then what
-    comes after it in descending order, each piece that still fits: the joint choice over all lengths. Ties go to the
-    shorter length."""
+    comes after it in descending order, each piece that still fits, until it is full or nothing fits: the joint choice
+    over all lengths. Pieces of equal size are taken in one step. Ties go to the shorter length."""
     best = None
     for length in lengths:
         if length < sizes_left[first]:
             continue
         room, used, i = length, 0, first
-        looked = 0
-        while i < len(sizes_left) and room and looked < 64:
-            if sizes_left[i] <= room:
-                room -= sizes_left[i]
-                used += sizes_left[i]
-                i += 1
-            else:
-                i = max(i + 1, _first_at_most(sizes_left, room, i + 1))
-            looked += 1
+        while i < len(sizes_left) and room:
+            size = sizes_left[i]
+            if size > room:
+                i = _first_at_most(sizes_left, room, i + 1)
+                continue
+            after = _first_at_most(sizes_left, size - 1, i + 1)
+            held = min(after - i, room // size)
+            room -= held * size
+            used += held * size
+            i = after
         rate = bin_cost(length, overhead) / used
         if best is None or rate < best[0]:
             best = (rate, length)

@@ -208,6 +208,30 @@ def test_best_fit_by_hand():
     assert [b for b, _, _ in pack.best_fit([6, 5, 3, 2], (8,), 0)] == [0, 1, 1, 0]
 
 
+def test_opening_length_looks_over_the_whole_fill():
+    def by_hand(sizes, first):
+        rates = []
+        for length in pack.LENGTHS:
+            room = length
+            for size in sizes[first:]:
+                room -= size if size <= room else 0
+            rates.append(((length + 16) / (length - room), length) if room < length else (float("inf"), length))
+        return min(rates)[1]
+
+    assert [pack.opening_length([n] * 9000, 0, pack.LENGTHS, 16) for n in (1, 20, 50)] == [8192] * 3
+    rng = random.Random(11)
+    for top in (3, 60, 700, 9000):
+        sizes = sorted((min(8192, rng.randint(1, top)) for _ in range(rng.choice([5, 300, 3000]))), reverse=True)
+        assert all(pack.opening_length(sizes, i, pack.LENGTHS, 16) == by_hand(sizes, i) for i in range(0, len(sizes), 37))
+
+
+def test_many_tiny_pieces_fill_long_bins():
+    rng = random.Random(12)
+    sizes = sorted((rng.randint(3, 60) for _ in range(50_000)), reverse=True)
+    bins = {b: length for b, _, length in pack.best_fit(sizes)}
+    assert len(bins) <= 1.02 * sum(sizes) / 8192 and sum(bins.values()) - sum(sizes) < 8192
+
+
 def test_pack(docs, none):
     lengths = (16, 64, 256)
     rows = pack.pack(docs, lengths=lengths, pieces_per_group=40).collect()
