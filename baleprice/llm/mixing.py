@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from baleprice.llm.common import WORD, fresh, written
+from baleprice.llm.common import WORD, written
 
 #: Two to the power of 52: the hash-random key has 52 bits, exact in a double.
 _KEYS = 1 << 52
@@ -66,38 +66,54 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = written(source_targets(sized, weights, share, max_epochs), "targets")
-    keyed = (sized.withColumn("_key", F.coalesce(random_key("doc_id", seed), F.lit(0)))
+    return _taken(sized, sized, targets, seed, rows_per_range).select(
+        "doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _taken(rows: DataFrame, sized: DataFrame, targets: DataFrame, seed: str, rows_per_range: int, *ties: str) -> DataFrame:
+    """``rows`` (doc_id, source, size and others, all kept) with ``taken`` and what it follows from. ``sized`` has the
+    doc_id, source and size of the same rows, for the sums per range. Among equal ids and sizes ``ties`` order."""
+    keyed = lambda df: (df.withColumn("_key", F.coalesce(random_key("doc_id", seed), F.lit(0)))
              .join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
              .withColumn("_range", F.floor(F.col("_key") / F.lit(float(_KEYS))
                                            * F.ceil(F.col("n_docs") / F.lit(float(rows_per_range))))))
-    spans = keyed.groupBy(F.col("source").alias("_s"), F.col("_range").alias("_r")).agg(F.sum("size").alias("_sum"))
+    spans = keyed(sized).groupBy(F.col("source").alias("_s"), F.col("_range").alias("_r")).agg(F.sum("size").alias("_sum"))
     spans = spans.withColumn("_base", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_r")) - F.col("_sum"))
-    inner = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(
+    inner = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *ties).rowsBetween(
         Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(
+    placed = keyed(rows).withColumn("_before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(
         spans, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_base") - F.col("_before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target",
-                         (epochs * F.col("size") + extra).cast("long").alias("taken"))
+    return placed.withColumn("taken", (epochs * F.col("size") + extra).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    **options) -> DataFrame:
+                    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0,
+                    seed: str = "mix", rows_per_range: int = 50_000) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each epoch that takes the document, the last one cut
     to its first words where the budget ends inside it; documents of which nothing is taken are left out, but those
-    without words, which cost nothing, stay once. Ids must be unique and not null here."""
-    mix_id, size, taken, n = fresh(docs, "mix_id", "mix_size", "mix_taken", "mix_n")
-    mixed = mix(docs, id_col, text_col, source_col, **options).select(
-        F.col("doc_id").alias(mix_id), F.col("size").alias(size), F.col("taken").alias(taken))
-    passes = F.when(F.col(size) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(
-        F.transform(F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int")),
-                    lambda i: F.least(F.col(size), F.col(taken) - i * F.col(size))), lambda left: left > 0))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), 1, F.col(n).cast("int")), " ")
-    return docs.join(mixed, F.col(id_col) == F.col(mix_id)).withColumn(n, F.explode(passes)).withColumn(
-        text_col, F.when(F.col(n) == F.col(size), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    without words, which cost nothing, stay once. The whole row goes through the mix, no id is looked up again: each
+    row stands for itself, ids may be null or repeated. Null ids share the first place of the order; rows with equal
+    ids lie side by side by size, then by a hash of their columns (maps aside), so that only equal rows are
+    interchangeable. The words of a source sum to its target, rounded down, in every case."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    key = (F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size)
+    sized = written(docs.select(*key), "sizes")
+    targets = written(source_targets(sized, weights, share, max_epochs), "targets")
+    hashed = [F.col(f"`{c.name}`") for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    rows = docs.select(*key, F.xxhash64(*hashed).alias("_tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    mixed = _taken(rows, sized, targets, seed, rows_per_range, "_tie")
+    passes = F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(
+        F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int")),
+                    lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size"))), lambda left: left > 0))
+    text = F.col("_row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), 1, F.col("_n").cast("int")), " ")
+    return mixed.withColumn("_n", F.explode(passes)).select(*[
+        (F.when(F.col("_n") == F.col("size"), text).otherwise(cut) if c == text_col
+         else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -200,6 +200,32 @@ def test_mixed_documents(docs):
         assert len(rows[i]) == (-(-r.taken // r.size) if r.size else 1)
 
 
+def test_mixed_documents_null_and_repeated_ids(spark):
+    """Every row stands for itself, told apart by its lang here: all words of a source sum to its target."""
+    rng = random.Random(13)
+    rows = [(rng.choice([None, 7, 7, i]), " ".join(f"r{i}w{k}" for k in range(rng.choice([0, 3, 3, 20]))) or None, f"row{i}",
+             rng.choice(["a", "b", None]), 0) for i in range(90)]
+    rows += [(5, "same text here", "copy", "a", 0)] * 3
+    df = spark.createDataFrame(rows, DDL)
+    targets = {(r.source): int(r.target) for r in mixing.mix(df).collect()}
+    got = [tuple(r) for r in mixing.mixed_documents(df, rows_per_range=20).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, map(tuple, mixing.mixed_documents(df.repartition(3)).collect())))
+    by_row, words = defaultdict(list), defaultdict(int)
+    for i, text, lang, source, n in got:
+        by_row[lang].append((i, split(text), source))
+        words[source] += len(split(text))
+    assert words == targets
+    whole = {r[2]: (r[0], split(r[1]), r[3]) for r in rows}
+    for lang, held in by_row.items():
+        i, text, source = whole[lang]
+        assert len(held) <= (6 if lang == "copy" else 2)
+        assert all(h[0] == i and h[2] == source and h[1] == text[:len(h[1])] for h in held)
+        if lang != "copy":
+            assert sum(len(h[1]) < len(text) for h in held) <= 1
+    assert all(len(by_row[lang]) == 1 for lang, (_, text, _) in whole.items() if not text)
+    assert {None, 7} <= {g[0] for g in got}
+
+
 def test_best_fit_by_hand():
     assert pack.best_fit([], (4, 8)) == []
     # 5 opens an 8, 3 fills it; 2 and 1 share a bin that shrinks to 4
