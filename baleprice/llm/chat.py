@@ -7,6 +7,8 @@ the branches by score; only chosen branches are expanded, again by doubling, and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +36,27 @@ def unescape(text: Column, pairs=ESCAPES) -> Column:
     return text
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equality join by columns where null equals null; the columns of the left side stay."""
+    names = [f"_right_{c}" for c in on]
+    right = right.withColumnsRenamed(dict(zip(on, names)))
+    return left.join(right, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(on, names)]), how).drop(*names)
+
+
 def _reach(nodes: DataFrame, max_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Per message its depth and summed score from the root, and the jump tables (node, ancestor 2**k above)."""
-    state = written(nodes.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"),
+    """Per message its depth and summed score from the root, and the jump tables (message, ancestor 2**k above)."""
+    state = written(nodes.select("tree", "node", "nth", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"),
                                  "score"), "reach")
     jumps = []
     for _ in range(max_rounds):
         active = state.filter("up IS NOT NULL")
         if active.isEmpty():
-            return state.select("tree", "node", "depth", "score"), jumps
-        jumps.append(active.select("tree", "node", "up"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
+            return state.select("tree", "node", "nth", "depth", "score"), jumps
+        jumps.append(active.select("tree", "node", "nth", "up"))
+        above = state.filter("node IS NOT NULL").select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
                              F.col("score").alias("_score"))
-        moved = active.join(above, ["tree", "up"]).select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+        moved = _join(active, above, ["tree", "up"]).select(
+            "tree", "node", "nth", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
             (F.col("score") + F.col("_score")).alias("score"))
         state = written(moved.unionByName(state.filter("up IS NULL")), "reach")
     raise ValueError(f"a reply chain is longer than 2**{max_rounds} messages or is a circle")
@@ -59,31 +68,37 @@ def reply_paths(messages: DataFrame, top_k: int | None = 1, max_rounds: int = 24
     ``messages`` has tree, node, parent (null at a root), role, text, score (null: 0). Branches of a tree are ranked
     by the mean score along the path, ties by the longer path, then by the smaller leaf; ``top_k`` branches are kept
     (None: all). A parent that isn't in its tree makes its child a root; nodes must be unique in their tree; a circle
-    of replies raises ValueError; null texts and roles become empty. No rows in, no rows out. Other columns are
-    ignored."""
+    of replies raises ValueError; null texts and roles become empty. A null tree is a tree like any other, of all its
+    messages. No reply can name a message whose node is null: it is a leaf, a null one in the result; any number of
+    them in a tree are messages on their own, in a tie of rank after one another by parent, role, text and score, before
+    other leaves. No rows in, no rows out. Other columns are ignored."""
     m = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"),
                         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    links = m.select("tree", "node", "parent", "score")
-    known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    links = links.join(known, ["tree", "parent"], "left").select(
-        "tree", "node", F.when(F.col("_known"), F.col("parent")).alias("parent"), "score")
+    # numbers for the messages without a node, 0 for all others
+    unnamed = m.filter("node IS NULL").withColumn("nth", F.row_number().over(
+        Window.partitionBy("tree").orderBy("parent", "role", "text", "score")).cast("long"))
+    m = m.filter("node IS NOT NULL").withColumn("nth", F.lit(0).cast("long")).unionByName(unnamed)
+    links = m.select("tree", "node", "nth", "parent", "score")
+    known = links.filter("node IS NOT NULL").select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    links = _join(links, known, ["tree", "parent"], "left").select(
+        "tree", "node", "nth", F.when(F.col("_known"), F.col("parent")).alias("parent"), "score")
     links = written(links, "replies")
     reach, jumps = _reach(links, max_rounds)
     inner = links.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = reach.join(inner, ["tree", "node"], "left_anti").withColumn("path_score", F.col("score") / F.col("depth"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("depth"), "node"))
+    leaves = _join(reach, inner, ["tree", "node"], "left_anti").withColumn("path_score", F.col("score") / F.col("depth"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("depth"), "node", "nth"))
     leaves = leaves.withColumn("rank", rank)
     if top_k is not None:
         leaves = leaves.filter(F.col("rank") <= top_k)
     paths = written(leaves, "leaves").select("tree", F.col("node").alias("leaf"), "rank", F.col("depth").alias("n_turns"), "path_score",
-                          "node", F.lit(0).cast("long").alias("back"))
+                          "node", "nth", F.lit(0).cast("long").alias("back"))
     for k, jump in enumerate(jumps):
         # written, or the plan would double with every round
-        paths = written(paths.unionByName(paths.join(jump, ["tree", "node"]).select(
+        paths = written(paths.unionByName(_join(paths, jump, ["tree", "node", "nth"]).select(
             "tree", "leaf", "rank", "n_turns", "path_score", F.col("up").alias("node"),
-            (F.col("back") + F.lit(1 << k)).alias("back"))), "paths")
-    return paths.join(m.select("tree", "node", "role", "text"), ["tree", "node"]).select(
+            F.lit(0).cast("long").alias("nth"), (F.col("back") + F.lit(1 << k)).alias("back"))), "paths")
+    return _join(paths, m.select("tree", "node", "nth", "role", "text"), ["tree", "node", "nth"]).select(
         "tree", "leaf", "rank", (F.col("n_turns") - 1 - F.col("back")).alias("turn"), "role", "text", "n_turns",
         "path_score")
 

@@ -231,6 +231,20 @@ def test_reply_trees_round_trip(spark, top_k):
         assert r.formatted.count("</turn>") == len(path)
 
 
+def test_reply_trees_null_tree_and_node(spark):
+    rows = [(None, 1, None, "user", "a", 0.0), (None, 2, 1, "assistant", "b", 1.0), (None, 3, 2, "user", "c", 2.0),
+            (None, 4, 2, "user", "d", 1.0), ("t", 1, None, "user", "e", 0.0), ("t", None, 1, "assistant", "f", 2.0),
+            ("t", None, 1, "assistant", "g", 2.0), ("t", None, None, "user", "h", 0.0), (None, None, 4, "user", "i", 0.0)]
+    turns = chat.reply_paths(spark.createDataFrame(rows, MESSAGES), None).collect()
+    got = {}
+    for r in sorted(turns, key=lambda r: r.turn):
+        got.setdefault((r.tree, r["rank"], r.leaf, r.n_turns), []).append(r.text)
+    assert got == {(None, 1, 3, 3): ["a", "b", "c"], (None, 2, None, 4): ["a", "b", "d", "i"],
+                   ("t", 1, None, 2): ["e", "f"], ("t", 2, None, 2): ["e", "g"], ("t", 3, None, 1): ["h"]}
+    best = chat.reply_paths(spark.createDataFrame(rows, MESSAGES)).collect()
+    assert sorted((r.tree or "", r.text) for r in best) == [("", "a"), ("", "b"), ("", "c"), ("t", "e"), ("t", "f")]
+
+
 def test_reply_trees_empty_and_circle(spark):
     assert chat.reply_paths(spark.createDataFrame([], MESSAGES)).count() == 0
     circle = [("c", 1, 2, "user", "x", 0.0), ("c", 2, 1, "user", "y", 0.0)]
