@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from baleprice.llm import (chat, embeddings, imatch, jaccard, licences, mixing, pack, substrings, toxicity,
-                           warc)
+from baleprice.llm import (chat, embeddings, imatch, jaccard, lexical, licences, mixing, negatives, pack, sharding,
+                           substrings, toxicity, warc)
 from baleprice.llm.common import scratch, written
 
 
@@ -121,9 +121,32 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.with_digest(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt uniformly to shards 0 to 7, whose counts are at most one apart."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return sharding.shuffle_into_shards(docs).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor's positives among all embeddings; every seventh label is one off at first."""
+    off = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", off),
+                                    F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_mix_sources, op3_embedding_near_dedup, op4_imatch_fingerprints, op5_ngram_jaccard_join,
-    op6_toxicity, op7_warc, op8_licence_scan, op9_reply_trees, op10_substring_dedup)}
+    op6_toxicity, op7_warc, op8_licence_scan, op9_reply_trees, op10_substring_dedup, op11_hypergeometric_shards,
+    op12_bit_sliced_search, op13_hard_negatives)}
 
 _REPLY_SQL = r"""
 WITH r AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
@@ -139,4 +162,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 """
 
 ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op5_ngram_jaccard_join": jaccard.ORACLE_SQL,
-              "op9_reply_trees": _REPLY_SQL, "op10_substring_dedup": substrings.ORACLE_SQL}
+              "op9_reply_trees": _REPLY_SQL, "op10_substring_dedup": substrings.ORACLE_SQL,
+              "op12_bit_sliced_search": lexical.ORACLE_SQL, "op13_hard_negatives": negatives.ORACLE_SQL}
