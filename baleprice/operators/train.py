@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import json
 import os
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baleprice.functions import dims as D
-from baleprice.functions.numeric import literal_map, round_even, row_bucket, row_digest
+from baleprice.functions.numbering import dense_number
+from baleprice.functions.numeric import round_even, row_bucket, row_digest
+from baleprice.operators.boost import QuantileBoostModel, fit_boosts, fit_quantile_boost
+from baleprice.operators.encoders import (ColumnEncoder, OrdinalModel, ScalerModel, apply_ordinal,  # noqa: F401
+                                          categories, encoded_columns, fit_ordinal, fit_scaler, ordinal_codes)
 from baleprice.session import cut_lineage
 
 GROUP = ["waste_type", "sub_type", "condition"]
@@ -76,7 +77,7 @@ def fit_quantile_tables(train: DataFrame, y: str = "price_per_kg", digits: int =
 
 
 # ---------------------------------------------------------------------------------------------------
-# I1 split, I2 ordinal encoding, I3 standard scaling
+# I1 split, I4 feature pipeline, F1 three models
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -90,246 +91,19 @@ def split_train_test(df: DataFrame, key: list[str], test_pct: int = 15, seed: in
     return df.withColumn("is_test", row_bucket(key, seed, 100) < F.lit(test_pct))
 
 
-def ordinal_codes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """I2 fit as a table: (feature, value, code) with codes 0..n-1 in sorted value order, per feature.
-    One pass over the input: every row emits its (feature, value) pairs, ``distinct`` dedupes them
-    map-side first; the ranking window is per feature over its distinct values only."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])
-    vals = (df.select(F.inline(pairs)).filter(F.col("value").isNotNull()).distinct())
-    w = Window.partitionBy("feature").orderBy("value")
-    return vals.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
-
-
-@dataclass
-class OrdinalModel:
-    """Fitted ordinal encoder: the table (feature, value, code). ``transform`` joins it, once per column, with the
-    strategy that Catalyst/AQE pick from its size."""
-    cols: list
-    codes: DataFrame
-
-    def transform(self, df: DataFrame, suffix: str = "_code") -> DataFrame:
-        out = df
-        for c in self.cols:
-            m = self.codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
-                                                                F.col("code").alias(c + suffix))
-            out = (out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
-                   .withColumn(c + suffix, F.coalesce(F.col(c + suffix), F.lit(-1))))
-        return out
-
-
-def fit_ordinal(df: DataFrame, cols: list[str]) -> OrdinalModel:
-    """I2 fit (sorted categories, unknown -> -1): the code table, checkpointed so that its input is read once. It
-    stays a table at every size."""
-    return OrdinalModel(cols, cut_lineage(ordinal_codes(df, cols)))
-
-
-def apply_ordinal(df: DataFrame, model: OrdinalModel, suffix: str = "_code") -> DataFrame:
-    """I2 transform: unknown or NULL values get -1."""
-    return model.transform(df, suffix)
-
-
-@dataclass
-class ScalerModel:
-    means: dict
-    stds: dict
-
-    def transform(self, df: DataFrame, suffix: str = "_scaled") -> DataFrame:
-        return df.withColumns({c + suffix: (F.col(c) - F.lit(self.means[c])) / F.lit(self.stds[c]) for c in self.means})
-
-
-def fit_scaler(df: DataFrame, cols: list[str]) -> ScalerModel:
-    """I3 fit: mean and population std per column in one aggregate (a zero std scales by 1, as the
-    reference's scaler does). Only 2 x len(cols) numbers reach the driver -- the model itself."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
-    row = df.agg(*aggs).first()
-    means = {c: float(row[f"m_{c}"]) for c in cols}
-    stds = {c: (float(row[f"s_{c}"]) if row[f"s_{c}"] else 1.0) or 1.0 for c in cols}
-    return ScalerModel(means, stds)
-
-
-# ---------------------------------------------------------------------------------------------------
-# I4 feature pipeline, I5 quantile boosting
-# ---------------------------------------------------------------------------------------------------
-def feature_pipeline(max_cat: int = 64) -> Pipeline:
-    """I4: categorical features -> ordinal index (sorted order; unseen -> extra index), numeric
-    features as they are, assembled into one vector. Trees are invariant to scaling, so the
-    reference's scaler is not part of the model input (``fit_scaler`` offers it separately)."""
-    idx = StringIndexer(inputCols=CAT, outputCols=[c + "_idx" for c in CAT], stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
-    vec = VectorAssembler(inputCols=[c + "_idx" for c in CAT] + NUM, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[idx, vec])
+def feature_pipeline() -> ColumnEncoder:
+    """I4: ordinal codes of the categorical features (-1 for unseen values) and scaled numeric features as one vector."""
+    return ColumnEncoder(catCols=CAT, numCols=NUM, outputCol="features")
 
 
 def tree_bins(pipe: PipelineModel, floor: int = 32) -> int:
-    """Histogram bins for the trees: 32, or more when a categorical feature has more values (every
-    category needs its own bin; the indexers add one slot for unseen values)."""
-    labels = pipe.stages[0].labelsArray
-    return max(floor, max(len(lbls) + 1 for lbls in labels))
-
-
-@dataclass
-class QuantileBoostModel:
-    """Gradient boosting on the pinball loss: f = f0 + lr * sum_t leaf_value_t(leaf_t(x)) + shift."""
-    quantile: float
-    f0: float
-    learning_rate: float
-    trees: list = field(default_factory=list)
-    leaf_values: list = field(default_factory=list)
-    shift: float = 0.0
-    history: list = field(default_factory=list)
-    valid_history: list = field(default_factory=list)
-
-    def predict(self, df: DataFrame, out_col: str, features_col: str = "features") -> DataFrame:
-        total = F.lit(0.0)
-        work = df
-        tmp = []
-        for i, (tree, leaves) in enumerate(zip(self.trees, self.leaf_values)):
-            leaf = f"_leaf_{out_col}_{i}"
-            t = tree.copy()
-            t.setFeaturesCol(features_col).setPredictionCol(f"_tp_{out_col}_{i}").setLeafCol(leaf)
-            work = t.transform(work).drop(f"_tp_{out_col}_{i}")
-            total = total + F.coalesce(F.try_element_at(literal_map(leaves), F.col(leaf)), F.lit(0.0))
-            tmp.append(leaf)
-        pred = F.lit(self.f0) + F.lit(self.learning_rate) * total + F.lit(self.shift)
-        return work.withColumn(out_col, pred).drop(*tmp)
-
-    def feature_importances(self) -> list[float]:
-        """Per-tree normalised split-gain importances averaged over rounds, normalised to 1."""
-        if not self.trees:
-            return []
-        n = self.trees[0].numFeatures
-        acc = [0.0] * n
-        for t in self.trees:
-            v = t.featureImportances.toArray()
-            for i in range(n):
-                acc[i] += float(v[i])
-        s = sum(acc) or 1.0
-        return [a / s for a in acc]
-
-    # A3 / A4 -----------------------------------------------------------------------------------------
-    def save(self, path: str) -> None:
-        meta = {"quantile": self.quantile, "f0": self.f0, "learning_rate": self.learning_rate,
-                "shift": self.shift, "rounds": len(self.trees),
-                "leaf_values": [{str(k): v for k, v in lv.items()} for lv in self.leaf_values],
-                "history": self.history}
-        for i, t in enumerate(self.trees):
-            t.write().overwrite().save(os.path.join(path, f"tree_{i:04d}"))
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
-            os.path.join(path, "meta"))
-
-    @staticmethod
-    def load(path: str) -> "QuantileBoostModel":
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-        trees = [DecisionTreeRegressionModel.load(os.path.join(path, f"tree_{i:04d}")) for i in range(meta["rounds"])]
-        leaves = [{float(k): v for k, v in lv.items()} for lv in meta["leaf_values"]]
-        return QuantileBoostModel(meta["quantile"], meta["f0"], meta["learning_rate"], trees, leaves,
-                                  meta["shift"], meta.get("history", []))
-
-
-def fit_quantile_boost(data: DataFrame, q: float, key: list[str], label: str = "price_per_kg",
-                       features_col: str = "features", rounds: int = 10, learning_rate: float = 0.6,
-                       max_depth: int = 6, subsample: float = 0.85, min_instances: int = 2, max_bins: int = 32,
-                       seed: int = 42, accuracy: int = 10000, checkpoint_every: int = 4,
-                       calibrate: bool = True, valid: DataFrame | None = None,
-                       patience: int = 2) -> QuantileBoostModel:
-    """Quantile regression by boosting Spark ML regression trees on the pinball-loss gradient.
-
-    Round t: gradient g = q if y >= f else q - 1 on a hashed ``subsample`` of rows; fit a
-    ``DecisionTreeRegressor`` (distributed histogram split search) on g; each leaf then gets the
-    q-quantile of the residuals y - f of its rows (``percentile_approx``: bounded sketch, partial
-    aggregation); f += lr x leaf value. A tree has at most 2^depth leaves, so the leaf table that
-    reaches the driver is bounded. The working frame is persisted each round and checkpointed to the
-    shared checkpoint folder every ``checkpoint_every`` rounds (reliable, survives executor loss), so
-    a lost executor never replays more than that many rounds. A final calibration
-    shift adds the q-quantile of the remaining training residuals.
-
-    With ``valid`` (same columns), its predictions are carried along and its pinball loss is recorded
-    per round (``valid_history``); training stops after ``patience`` rounds without improvement and the
-    model is cut back to its best round."""
-    base = data.select(*key, F.col(label).alias("_y"), F.col(features_col).alias("_x"))
-    f0 = float(base.select(F.percentile_approx("_y", q, accuracy)).first()[0])
-    work = base.withColumn("_f", F.lit(f0)).persist()  # lineage is short here: the input is persisted
-    model = QuantileBoostModel(q, f0, learning_rate)
-    prev = None
-    vwork = None
-    best, best_round = float("inf"), 0
-    if valid is not None:
-        vwork = valid.select(F.col(label).alias("_y"), F.col(features_col).alias("_x")) \
-            .withColumn("_f", F.lit(f0)).persist()
-    for t in range(rounds):
-        grad = work.withColumn("_g", F.when(F.col("_y") >= F.col("_f"), F.lit(q)).otherwise(F.lit(q - 1.0)))
-        sample = grad.filter(row_bucket(key, seed + 1000 * t + int(q * 100), 1000) < F.lit(int(subsample * 1000)))
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", maxDepth=max_depth, maxBins=max_bins,
-                                     minInstancesPerNode=min_instances, seed=seed + t).fit(sample)
-        tree.setLeafCol("_leaf").setPredictionCol("_tp")
-        scored = tree.transform(work).drop("_tp")
-        e = F.col("_y") - F.col("_f")
-        leaf_tbl = scored.groupBy("_leaf").agg(
-            F.percentile_approx(e, q, accuracy).alias("v"),
-            F.sum(F.when(e >= 0, F.lit(q) * e).otherwise(F.lit(q - 1.0) * e)).alias("loss"),
-            F.count(F.lit(1)).alias("n")).collect()
-        # this round's jobs have computed ``work`` in full, so the frame that it came from can go
-        if prev is not None and prev is not work:
-            prev.unpersist()
-        prev = work
-        leaves = {float(r["_leaf"]): float(r["v"]) for r in leaf_tbl}
-        # training pinball loss of the model before this round (same job, summed over <= 2^depth leaves)
-        model.history.append(sum(r["loss"] for r in leaf_tbl) / max(1, sum(r["n"] for r in leaf_tbl)))
-        model.trees.append(tree)
-        model.leaf_values.append(leaves)
-        upd = F.col("_f") + F.lit(learning_rate) * F.coalesce(
-            F.try_element_at(literal_map(leaves), F.col("_leaf")), F.lit(0.0))
-        new_work = scored.withColumn("_f", upd).drop("_leaf")
-        if (t + 1) % checkpoint_every == 0 and t < rounds - 1:
-            new_work = cut_lineage(new_work)
-        else:
-            new_work = new_work.persist()
-        work = new_work
-        if vwork is not None:
-            vt = tree.copy()
-            vt.setFeaturesCol("_x").setLeafCol("_leaf").setPredictionCol("_tp")
-            vnext = vt.transform(vwork).withColumn("_f", F.col("_f") + F.lit(learning_rate) * F.coalesce(
-                F.try_element_at(literal_map(leaves), F.col("_leaf")), F.lit(0.0))).drop("_leaf", "_tp").persist()
-            ve = F.col("_y") - F.col("_f")
-            vloss = vnext.agg(F.avg(F.when(ve >= 0, F.lit(q) * ve).otherwise(F.lit(q - 1.0) * ve))).first()[0]
-            vwork.unpersist()
-            vwork = vnext
-            model.valid_history.append(float(vloss))
-            if vloss < best:
-                best, best_round = vloss, t + 1
-            elif t + 1 - best_round >= patience:
-                break
-    last = work
-    if vwork is not None:
-        vwork.unpersist()
-        if best_round and best_round < len(model.trees):
-            # keep the best prefix; the calibration shift below is then taken on that prefix
-            model.trees, model.leaf_values = model.trees[:best_round], model.leaf_values[:best_round]
-            work = model.predict(data.select(*key, F.col(label).alias("_y"), F.col(features_col).alias("_x0"))
-                                 .withColumnRenamed("_x0", "_xf"), "_f", "_xf")
-    if calibrate:
-        model.shift = float(work.select(F.percentile_approx(F.col("_y") - F.col("_f"), q, accuracy)).first()[0])
-    for frame in (prev, last):
-        if frame is not None:
-            frame.unpersist()
-    return model
+    """Histogram bins for the trees: 32, or more when a categorical feature has more values."""
+    return max(floor, *categories(pipe).values())
 
 
 def fit_range_models(train_feat: DataFrame, key: list[str], parallel: bool = True, **kw) -> dict:
-    """Fit the lower / mid / upper models. The three loops are independent Spark job streams, so they
-    run from three driver threads and share the cluster."""
-    items = list(D.QUANTILES.items())
-    if not parallel:
-        return {name: fit_quantile_boost(train_feat, q, key, **kw) for name, q in items}
-    with ThreadPoolExecutor(max_workers=len(items)) as pool:
-        futs = {name: pool.submit(fit_quantile_boost, train_feat, q, key, **kw) for name, q in items}
-        return {name: f.result() for name, f in futs.items()}
+    """The lower / mid / upper models, fitted side by side on one frame."""
+    return fit_boosts(train_feat, D.QUANTILES, key, parallel=parallel, **kw)
 
 
 def score_range_models(df_feat: DataFrame, models: dict, features_col: str = "features") -> DataFrame:
@@ -369,7 +143,7 @@ class RangeModelBundle:
 
     def score(self, df_features: DataFrame) -> DataFrame:
         return score_range_models(self.pipeline.transform(df_features), self.models).drop(
-            "features", *[c + "_idx" for c in CAT])
+            *encoded_columns(CAT, NUM))
 
 
 def train_range_bundle(features: DataFrame, key: list[str], **kw) -> RangeModelBundle:
@@ -377,7 +151,7 @@ def train_range_bundle(features: DataFrame, key: list[str], **kw) -> RangeModelB
     cache the assembled vectors, fit the three quantile models."""
     rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
     pipe = feature_pipeline().fit(rows)
-    kw.setdefault("max_bins", tree_bins(pipe))
+    kw = {"max_bins": tree_bins(pipe), "categories": categories(pipe)} | kw
     feat = pipe.transform(rows).select(*key, "price_per_kg", "features").persist()
     models = fit_range_models(feat, key, **kw)
     feat.unpersist()
@@ -397,34 +171,34 @@ def r2_expr(y: str, p: str):
     return F.lit(1.0) - F.sum(e * e) / F.when(sst == 0, F.lit(None)).otherwise(sst)  # ANSI-safe
 
 
-def block_permutation(df: DataFrame, key: list[str], cols: list[str], seed: int, blocks: int) -> DataFrame:
-    """Adds ``_perm_<c>`` = the value of ``c`` from the next row of the same random hash block in a seeded hash order;
-    the last row takes the first one's. A bijection within each block, by one window without a join."""
-    t = df.withColumns({"_blk": row_bucket(key, seed, blocks), "_h": row_digest(key, seed + 7919)})
-    w = Window.partitionBy("_blk").orderBy("_h", *key)
-    vals = F.struct(*cols)
-    taken = F.coalesce(F.lead(vals).over(w), F.first(vals).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.withColumn("_next", taken).withColumns(
-        {f"_perm_{c}": F.col("_next").getField(c) for c in cols}).drop("_blk", "_h", "_next")
+def permuted(df: DataFrame, key: list[str], cols: list[str], seed: int, name: str = "_perm") -> DataFrame:
+    """Adds the struct ``name`` = the values of ``cols`` in another row of the whole table: a bijection, drawn by hash.
+
+    Rows are numbered densely in the order of their hashed keys, and those numbers again in the order of their own seeded
+    hashes; the row with number n takes the values of the row that comes at place n there. Two range exchanges and one
+    equi-join of the numbers; no task holds more than its range, at any size."""
+    rows = dense_number(df, [row_digest(key, seed), *key], "_n")
+    taken = dense_number(rows.select(F.col("_n").alias("_from"), F.struct(*cols).alias(name)),
+                         [F.xxhash64("_from", F.lit(seed)), "_from"], "_n").select("_n", name)
+    return rows.join(taken, "_n").drop("_n")
 
 
 def permutation_importance(bundle: RangeModelBundle, test: DataFrame, key: list[str], n_repeats: int = 5,
-                           seed: int = 42, blocks: int = 16, y: str = "price_per_kg") -> DataFrame:
-    """Drop in R2 of the mid model when one feature's values are permuted across rows.
+                           seed: int = 42, y: str = "price_per_kg") -> DataFrame:
+    """Drop in R2 of the mid model when one feature's values are permuted across all rows.
 
-    The permutation is drawn inside ``blocks`` random hash blocks, the same rule at every size; on a large hold-out
-    set more blocks give smaller windows. One pairing per repeat serves all features; every (feature, repeat) variant
-    is scored in a single pass and its R2 aggregated by group."""
-    test = cut_lineage(test.select(*key, y, *FEATURES))  # read by the baseline and twice by each repeat
+    One permutation of the whole table per repeat serves all features; every (feature, repeat) variant is scored in a
+    single pass and its R2 aggregated by group."""
+    test = cut_lineage(test.select(*key, y, *FEATURES))  # read by the baseline and by each repeat
     base_pred = bundle.score(test)
     baseline = base_pred.agg(r2_expr(y, "pred_mid").alias("r2")).first()["r2"]
     variants = None
     for r in range(n_repeats):
-        paired = block_permutation(test, key, FEATURES, seed + r, blocks)
+        paired = permuted(test, key, FEATURES, seed + r)
         exploded = paired.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in FEATURES])))
         swapped = exploded.select(
             *key, y, "feature", F.lit(r).alias("repeat"),
-            *[F.when(F.col("feature") == c, F.col(f"_perm_{c}")).otherwise(F.col(c)).alias(c) for c in FEATURES])
+            *[F.when(F.col("feature") == c, F.col(f"_perm.{c}")).otherwise(F.col(c)).alias(c) for c in FEATURES])
         variants = swapped if variants is None else variants.unionByName(swapped)
     scored = bundle.score(variants)
     per = scored.groupBy("feature", "repeat").agg(r2_expr(y, "pred_mid").alias("r2"))
@@ -443,7 +217,7 @@ def cross_validate_mid(features: DataFrame, key: list[str], folds: int = 3, seed
     from baleprice.operators.evaluate import regression_aggs
     rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
     pipe = feature_pipeline().fit(rows)
-    kw.setdefault("max_bins", tree_bins(pipe))
+    kw = {"max_bins": tree_bins(pipe), "categories": categories(pipe)} | kw
     feat = (pipe.transform(rows).withColumn("_fold", row_bucket(key, seed, folds))
             .select(*key, "price_per_kg", "features", "_fold").persist())
     out = None
@@ -489,7 +263,8 @@ def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed
         res = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
         res = cut_lineage(res)
         out = res if out is None else out.unionByName(res)
-    boost = fit_quantile_boost(train, 0.5, key, rounds=boost_rounds, calibrate=False, max_bins=bins)
+    boost = fit_quantile_boost(train, 0.5, key, rounds=boost_rounds, calibrate=False, max_bins=bins,
+                               categories=categories(pipe))
     res = boost.predict(test, "pred_mid").agg(F.lit("Quantile Boosting (q=0.5)").alias("model"),
                                               F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
     out = out.unionByName(cut_lineage(res))

@@ -72,17 +72,109 @@ def test_missing_bundle_raises(spark, tmp_path):
         RangeModelBundle.load(str(tmp_path / "absent"))
 
 
-def test_block_permutation_is_bijection(spark):
-    from baleprice.operators.train import block_permutation
+def test_permutation_covers_the_whole_table(spark):
+    from baleprice.operators.train import permuted
     from baleprice.sources.listings import KEY, training_table
-    t = training_table(spark, SF_SMALL).select(*KEY, "weight_kg")
-    p = block_permutation(t, KEY, ["weight_kg"], seed=3, blocks=4)
-    assert p.count() == t.count()
-    a = sorted(r[0] for r in t.select("weight_kg").collect())
-    b = sorted(r[0] for r in p.select("_perm_weight_kg").collect())
-    assert a == b
-    moved = p.filter(F.col("_perm_weight_kg") != F.col("weight_kg")).count()
-    assert moved > 0.5 * t.count()
+    t = training_table(spark, SF_SMALL).select(*KEY, "weight_kg").withColumn("me", F.xxhash64(*KEY))
+    p = permuted(t, KEY, ["weight_kg", "me"], seed=3).cache()
+    n = t.count()
+    assert p.count() == n and p.select("me").distinct().count() == p.select("_perm.me").distinct().count() == n
+    assert p.filter("_perm.me = me").count() < 12  # fixed points: 1 on average
+    assert sorted(r[0] for r in t.select("weight_kg").collect()) == sorted(r[0] for r in p.select("_perm.weight_kg").collect())
+    again = permuted(t.repartition(3), KEY, ["weight_kg", "me"], seed=3)
+    assert {tuple(r) for r in again.select("me", "_perm.me").collect()} == {tuple(r) for r in p.select("me", "_perm.me").collect()}
+    other = permuted(t, KEY, ["me"], seed=4)
+    assert other.select("me", "_perm.me").intersect(p.select("me", "_perm.me")).count() < 12
+
+
+def test_permutation_matches_brute_force(spark):
+    from baleprice.operators.train import permuted
+    df = spark.createDataFrame([(i, float(i * i)) for i in range(57)], "id long, v double").repartition(4)
+    got = {r.id: r.v for r in permuted(df, ["id"], ["v"], seed=9).select("id", "_perm.v").collect()}
+    rows = df.select("id", "v", row_digest(["id"], 9).alias("h")).collect()
+    ranked = sorted(rows, key=lambda r: (r.h, r.id))
+    hashes = {r.n: r.h for r in spark.range(57).select(F.col("id").alias("n"), F.xxhash64("id", F.lit(9)).alias("h")).collect()}
+    order = sorted(range(57), key=lambda n: (hashes[n], n))
+    assert got == {r.id: ranked[order[n]].v for n, r in enumerate(ranked)}
+
+
+def test_dense_number_matches_the_sorted_order(spark):
+    from baleprice.functions.numbering import dense_number
+    df = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)] , "a long, b string").repartition(6)
+    assert {r.a: r.n for r in dense_number(df, ["b", "a"], "n").collect()} == {a: a for a in range(101)}
+    assert dense_number(df.limit(0), ["a"], "n").collect() == []
+
+
+def test_ensemble_scores_as_its_trees_do(spark, trained):
+    feats, bundle = trained
+    rows = bundle.pipeline.transform(feats.filter("is_test")).select("features").limit(200)
+    for name, model in bundle.models.items():
+        def by_hand(x):
+            total = model.f0 + model.shift
+            for tree in model.trees:
+                at = tree[0]
+                while len(at) == 4:
+                    feature, split, left, right = at
+                    goes = x[feature] in split if isinstance(split, list) else x[feature] <= split
+                    at = tree[left if goes else right]
+                total += model.learning_rate * at[1]
+            return total
+        for r in model.predict(rows, "p").collect():
+            assert abs(r.p - by_hand(r.features.toArray().tolist())) < 1e-9, name
+        assert any(isinstance(n[1], list) for tree in model.trees for n in tree if len(n) == 4)
+
+
+def test_plan_of_an_ensemble_does_not_grow_with_rounds(spark, trained):
+    from dataclasses import replace
+    feats, bundle = trained
+    vectors = bundle.pipeline.transform(feats).select("features")
+    mid = bundle.models["mid"]
+    lengths = [len(replace(mid, trees=mid.trees * n, _ensemble=None).predict(vectors, "p")._jdf.queryExecution().toString())
+               for n in (1, 25)]
+    assert abs(lengths[0] - lengths[1]) < 50
+
+
+def test_leaf_values_are_thresholded_and_shrunk():
+    from baleprice.operators.boost import leaf_value
+    assert leaf_value(2.0, 10, 0.0, 0.0) == 2.0
+    assert leaf_value(2.0, 10, 1.0, 10.0) == 0.95
+    assert leaf_value(-2.0, 10, 1.0, 10.0) == -0.95
+    assert leaf_value(0.01, 3, 0.05, 0.5) == 0.0
+
+
+def test_tree_nodes_from_a_tree_description():
+    from baleprice.operators.boost import tree_nodes
+    text = """DecisionTreeRegressionModel: uid=dtr, depth=2, numNodes=5, numFeatures=3
+  If (feature 2 in {0.0,3.0})
+   Predict: 1.5
+  Else (feature 2 not in {0.0,3.0})
+   If (feature 0 <= -1.25E-4)
+    Predict: -2.0E-5
+   Else (feature 0 > -1.25E-4)
+    Predict: 7.0
+"""
+    assert tree_nodes(text) == [(2, [0.0, 3.0], 1, 2), (0, 1.5), (0, -1.25e-4, 3, 4), (1, -2e-5), (2, 7.0)]
+
+
+def test_saved_pipeline_equals_the_encoders_on_unseen_values(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from baleprice.operators import train as T
+    ddl = "id long, kind string, town string, w double, flat double"
+    seen = spark.createDataFrame([(1, "b", "x", 1.0, 5.0), (2, "a", "y", 2.0, 5.0), (3, "c", "x", 6.0, 5.0), (4, None, "z", None, 5.0)], ddl)
+    asked = spark.createDataFrame([(1, "c", "x", 3.0, 5.0), (2, "new", "z", 0.0, 7.0), (3, None, "ab", None, None), (4, "", None, -1.0, 5.0)], ddl)
+    cat, num = ["kind", "town"], ["w", "flat"]
+    estimator = T.ColumnEncoder(catCols=cat, numCols=num)
+    estimator.save(str(tmp_path / "estimator"))
+    fitted = T.ColumnEncoder.load(str(tmp_path / "estimator")).fit(seen)
+    fitted.save(str(tmp_path / "pipeline"))
+    got = PipelineModel.load(str(tmp_path / "pipeline")).transform(asked)
+    want = T.fit_scaler(seen, num).transform(T.apply_ordinal(asked, T.fit_ordinal(seen, cat)))
+    cols = ["id", *[c + "_code" for c in cat], *[c + "_scaled" for c in num]]
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    assert {(r.id, r.kind_code, r.town_code) for r in got.collect()} == {(1, 2, 0), (2, -1, 2), (3, -1, -1), (4, -1, -1)}
+    slots = {r.id: r.features.toArray().tolist()[:2] for r in got.collect()}
+    assert slots == {1: [3, 1], 2: [0, 3], 3: [0, 0], 4: [0, 0]}
+    assert T.categories(fitted) == {0: 4, 1: 4}
 
 
 def test_sample_per_group_matches_brute_force(spark):
