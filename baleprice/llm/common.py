@@ -98,31 +98,40 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the links (u, v): rows (node, component), component the least node reachable.
 
     Alternating star contraction: every round links larger neighbours, then smaller ones, to the least neighbour,
-    until the links no longer change; each round's links are written to the shared folder. Links with a null end
-    and from a node to itself are ignored; repeated links count once; nodes without links don't appear. No links:
-    no rows. The rounds grow as the logarithm of the largest component."""
+    until every node has one link to a node that has none itself; each round's links are written to the shared folder.
+    Links with a null end and from a node to itself are ignored; repeated links count once; nodes without links don't
+    appear. No links: no rows. The rounds grow as the logarithm of the largest component; stars need none."""
 
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        tangled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(
+            "up > 1 OR (up = 1 AND down = 1)")
+        return tangled.isEmpty()
 
     e = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                 .distinct(), "links")
-    before = state(e)
     for _ in range(max_rounds):
+        if stars(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u != v").distinct())
         small = large.join(least(large), "u")
         e = written(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
-        after = state(e)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def small_arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
+    """Has the session hand Python workers batches of at most so many bytes, where it allows larger ones: a worker holds
+    several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= max_bytes:
+        spark.conf.set(key, str(max_bytes))

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baleprice.llm import words as W
-from baleprice.llm.common import bucket_count, by_bucket, components, fresh, planes, text_batches, unplanes, written
+from baleprice.llm.common import (bucket_count, by_bucket, components, fresh, planes, small_arrow_batches, text_batches,
+                                  unplanes, written)
 
 SHINGLE = 5
 _SEED = 0xE7037ED1A0B428DB
@@ -228,7 +229,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _lead(percent: int):
-    """Rows sorted by group: links of documents with a leader of their group that has another owner so far."""
+    """Rows sorted by group: links of documents with a leader of their group that has another owner so far, as links
+    of their owners."""
 
     def run(batches):
         at, leaders, joined = None, [], {}
@@ -240,18 +242,18 @@ def _lead(percent: int):
 
         for batch in batches:
             u, v = [], []
-            rows = zip(*[batch[c].to_pylist() for c in ("doc_id", "owner", "j", "low", "salt", "tokens")])
-            for doc, owner, *group, raw in rows:
+            rows = zip(*[batch[c].to_pylist() for c in ("owner", "j", "low", "salt", "tokens")])
+            for owner, *group, raw in rows:
                 if group != at:
                     at, leaders, joined = group, [], {}
                 tokens = np.frombuffer(raw, np.uint64)
-                for other, its, held in leaders:
+                for its, held in leaders:
                     if root(its) != root(owner) and _linked(tokens, held, percent):
-                        u.append(doc)
-                        v.append(other)
+                        u.append(owner)
+                        v.append(its)
                         joined[root(owner)] = root(its)
-                if all(root(its) != root(owner) or len(held) * 10 < len(tokens) * 9 for _, its, held in leaders):
-                    leaders = [*leaders, (doc, owner, tokens)][-LEADERS:]
+                if all(root(its) != root(owner) or len(held) * 10 < len(tokens) * 9 for its, held in leaders):
+                    leaders = [*leaders, (owner, tokens)][-LEADERS:]
             if u:
                 yield pa.RecordBatch.from_pydict({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
@@ -281,13 +283,13 @@ def _open_groups(percent: int):
         at, members, union = None, [], None
         for batch in batches:
             u, v = [], []
-            rows = zip(*[batch[c].to_pylist() for c in ("grp", "asks", "doc_id", "owner", "tokens")])
-            for group, asks, doc, owner, raw in rows:
+            rows = zip(*[batch[c].to_pylist() for c in ("grp", "asks", "owner", "tokens")])
+            for group, asks, owner, raw in rows:
                 if group != at:
                     at, members, union = group, [], None
                 tokens = np.frombuffer(raw, np.uint64)
                 if not asks:
-                    members.append((doc, tokens))
+                    members.append((owner, tokens))
                     continue
                 if union is None:
                     union = np.unique(np.concatenate([held for _, held in members]))
@@ -296,7 +298,7 @@ def _open_groups(percent: int):
                     continue
                 for other, held in members:
                     if _linked(tokens, held, percent):
-                        u.append(doc)
+                        u.append(owner)
                         v.append(other)
                         break
             if u:
@@ -342,15 +344,21 @@ def _longs(batches):
             [("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
 
 
-def _with_other_owners(sets: DataFrame, links: DataFrame, needed: Column, n_buckets: int) -> DataFrame:
-    """The sets, with the component that their links make so far as ``owner``, that share enough tokens with others."""
-    owners = written(components(links), "owners").withColumnRenamed("node", "doc_id")
-    owned = sets.join(owners, "doc_id", "left").withColumn("owner", F.coalesce("component", "doc_id")).drop("component")
+def _with_other_owners(sets: DataFrame, owners: DataFrame, needed: Column, n_buckets: int) -> DataFrame:
+    """The sets, each ``owner`` replaced by its component among ``owners``, that share enough tokens with others."""
+    owned = _component_of(sets, "owner", owners)
     passed = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(n_buckets), _SHIPPED_DDL),
                        owned.select("doc_id", "n"), needed, n_buckets)
     return written(owned.join(written(passed.select("doc_id"), "passed"), "doc_id"), "owned")
 
 
+def _component_of(rows: DataFrame, col: str, owners: DataFrame) -> DataFrame:
+    """``rows`` with ``col`` replaced by its component, where it has links."""
+    found = owners.select(F.col("node").alias("_node"), "component")
+    return rows.join(found, F.col(col) == F.col("_node"), "left").withColumn(col, F.coalesce("component", col)).drop(
+        "_node", "component")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id reachable by links, itself included).
 
@@ -359,6 +367,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared as 64-bit hashes. No link between different texts is lost: every bound used is one that all linked sets
     satisfy, and equal sets are one class from the start. Rows with equal ids count as the largest of their sets; rows with a null
     id are left out, as no link could name them; other columns are ignored; an empty table gives no rows."""
+    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id IS NOT NULL")
     n_buckets = bucket_count(texts, "text", BUCKET_BYTES)
@@ -371,23 +380,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(texts.join(passed.select("doc_id"), "doc_id").mapInArrow(
         _sets, "doc_id long, n long, tokens binary, low array<long>").join(
         passed, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-    links = _grouped_links(sets.withColumn("owner", F.col("doc_id")), percent, range(1))
-    some = _with_other_owners(sets, links, needed, n_buckets)
-    links = written(links.unionByName(_grouped_links(some, percent, range(1, LOWS))), "links")
-    few = _with_other_owners(some.drop("owner"), links, needed, n_buckets)
-    final = components(links.unionByName(_matrix_links(few, percent)))
-    label = sizes.join(classes.drop("n"), "key", "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("node"))
-    return label.join(final, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    # links are links of owners, the components so far: each step's graph has only the links that are new
+    owned = sets.withColumn("owner", F.col("doc_id"))
+    first = components(_grouped_links(owned, percent, range(1)))
+    some = _with_other_owners(owned, first, needed, n_buckets)
+    second = components(_grouped_links(some, percent, range(1, LOWS)))
+    few = _with_other_owners(some, second, needed, n_buckets)
+    third = components(_matrix_links(few, percent))
+    label = sizes.join(classes.drop("n"), "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    for owners in (first, second, third):
+        label = _component_of(label, "component_id", owners)
+    return label
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the least id; a repeated row stays once. Rows
-    with a null id stay as they are."""
-    least, = fresh(docs, "least")
+    """``docs`` without near duplicates: of each component the row with the least id. Of rows with one id, all that differ
+    in their text stay if the id stays; a repeated row stays once. Rows with a null id stay as they are."""
+    least, text = fresh(docs, "least", "text_hash")
     kept = jaccard_components(docs, id_col, text_col, percent).filter("doc_id = component_id").select(
         F.col("doc_id").alias(least))
-    named = docs.join(kept, F.col(id_col) == F.col(least), "left_semi").dropDuplicates([id_col])
+    named = docs.join(kept, F.col(id_col) == F.col(least), "left_semi").withColumn(
+        text, F.xxhash64(text_col)).dropDuplicates([id_col, text]).drop(text)
     return named.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

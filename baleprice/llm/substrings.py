@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from baleprice.llm import words as W
-from baleprice.llm.common import bucket_count, by_bucket, planes, text_batches, unplanes
+from baleprice.llm.common import bucket_count, by_bucket, planes, small_arrow_batches, text_batches, unplanes
 
 #: A seed's identity: the low 7 bytes of one hash, and its block, dealt by a second, independent hash.
 _SEED, _BLOCK, _KEY_BYTES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 7
 _KEY = np.uint64((1 << (8 * _KEY_BYTES)) - 1)
-BLOCK_BYTES, _BATCH = 16 << 20, 8 << 20
+BLOCK_BYTES, _BATCH = 8 << 20, 4 << 20
 
 
 def _seeds(table: pa.Table, k: int):
@@ -198,6 +198,7 @@ _PARSED_DDL = ("doc_id long, n_words long, n_removed long, kept string, "
 
 def _parse(docs: DataFrame, id_col: str, text_col: str, k: int, rest: Column, whole: bool) -> DataFrame:
     """The parse of each row of ``docs``, with ``rest`` of it."""
+    small_arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
     named = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     n_blocks = bucket_count(texts, "text", BLOCK_BYTES)
