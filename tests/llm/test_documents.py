@@ -384,3 +384,27 @@ def test_sha_of_kept(spark):
     df = spark.createDataFrame([(1, "a  b\n"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.kept_sha256 for r in substrings.with_digest(substrings.remove_repeats(df)).collect()}
     assert got == {1: hashlib.sha256(b"a b").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_one_per_component_keeps_the_texts_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (1, b), (3, b), (4, a), (None, a), (5, None), (6, ""), (7, "other words of its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS text_hash", "'y' AS least")
+    kept = [(r.doc_id, r.text) for r in jaccard.one_per_component(df).collect()]
+    assert {t for _, t in kept} == {a, b, None, "", "other words of its own here"}
+    assert sorted(i for i, _ in kept if i == 1) == [1, 1] and (None, a) in kept and len(kept) == len(set(kept))
+
+
+def test_components_of_stars_chains_and_rings(spark):
+    from baleprice.llm.common import components
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(60)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)]
+    edges += [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(40)] + [(5, 5), (None, 3), (9, None)] + [(0, 1)] * 5
+    links = spark.createDataFrame(edges, "u long, v long")
+    label = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in label:
+        for u, v in edges:
+            if None not in (u, v) and u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    assert {r.node: r.component for r in components(links).collect()} == label
+    assert components(links.limit(0)).collect() == []
