@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 import numpy as np
@@ -133,5 +134,6 @@ def small_arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     """Has the session hand Python workers batches of at most so many bytes, where it allows larger ones: a worker holds
     several copies of a batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).rstrip("b")) <= max_bytes:
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= max_bytes:
         spark.conf.set(key, str(max_bytes))
