@@ -95,11 +95,61 @@ def by_bucket(batches, columns: list[str]):
         yield at, held
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+_FOREST = 1 << 20
+
+
+def _least_linked(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, ascending, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forest(with_roots: bool):
+    """A partition's links replaced by links of each node to the least one that it reaches through them. A partition
+    of more than ``_FOREST`` links is taken in pieces; ``with_roots`` adds a row for each least node itself."""
+
+    def run(batches):
+        u, v, held = [], [], 0
+
+        def stars():
+            nodes, least = _least_linked(np.concatenate(u), np.concatenate(v))
+            keep = slice(None) if with_roots else nodes != least
+            return nodes[keep], least[keep]
+
+        for batch in batches:
+            u.append(batch["u"].to_numpy())
+            v.append(batch["v"].to_numpy())
+            held += batch.num_rows
+            if held > _FOREST and not with_roots:
+                nodes, least = stars()
+                u, v, held = [nodes], [least], len(nodes)
+                if 2 * held > _FOREST:
+                    yield pa.RecordBatch.from_pydict({"u": nodes, "v": least})
+                    u, v, held = [], [], 0
+        if held:
+            nodes, least = stars()
+            yield pa.RecordBatch.from_pydict({"u": nodes, "v": least})
+
+    return run
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task: int = _FOREST) -> DataFrame:
     """Connected components of the links (u, v): rows (node, component), component the least node reachable.
 
-    Alternating star contraction: every round links larger neighbours, then smaller ones, to the least neighbour,
-    until every node has one link to a node that has none itself; each round's links are written to the shared folder.
+    Each partition first replaces its links by links to the least node reachable through them. If no more than
+    ``one_task`` links of 16 bytes are left by then (they are counted), one task ends the job. Beyond, alternating star
+    contraction: every round links larger neighbours, then smaller ones, to the least neighbour, until every node has
+    one link to a node that has none itself. All links are written to the shared folder.
     Links with a null end and from a node to itself are ignored; repeated links count once; nodes without links don't
     appear. No links: no rows. The rounds grow as the logarithm of the largest component; stars need none."""
 
@@ -113,8 +163,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             "up > 1 OR (up = 1 AND down = 1)")
         return tangled.isEmpty()
 
-    e = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                .distinct(), "links")
+    e = written(edges.filter("u != v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(
+        _forest(False), "u long, v long"), "forest")
+    if e.count() <= one_task:
+        whole = written(e.coalesce(1).mapInArrow(_forest(True), "u long, v long"), "components")
+        return whole.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e = written(e.distinct(), "links")
     for _ in range(max_rounds):
         if stars(e):
             break

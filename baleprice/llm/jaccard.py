@@ -310,9 +310,13 @@ def _open_groups(percent: int):
 def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between different owners, by the token-group matrix. ``sets``: doc_id, owner, n, tokens, low.
 
-    A group is an owner's documents with two equal min-hashes; all its members have one owner, so that one link of
-    a document to it is enough."""
-    sets = sets.withColumn("grp", F.xxhash64("owner", F.element_at("low", 1), F.element_at("low", 2)))
+    A group is an owner's documents with two equal min-hashes, dealt to as many groups as hold ``GROUP`` documents
+    each; all its members have one owner, so that one link of a document to it is enough."""
+    alike = ["owner", "low1", "low2"]
+    sets = sets.withColumn("low1", F.element_at("low", 1)).withColumn("low2", F.element_at("low", 2)).drop("low")
+    large = written(sets.groupBy(alike).agg(F.ceil(F.count("*") / GROUP).alias("salts")).filter("salts > 1"), "large")
+    sets = sets.join(large, alike, "left").withColumn("grp", F.xxhash64(*alike, F.pmod(
+        F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))))).drop("low1", "low2", "salts")
     tokens = sets.select("doc_id", "tokens").mapInArrow(_longs, "doc_id long, tokens array<long>")
     cells = written(tokens.join(sets.select("doc_id", "owner", "grp", "n"), "doc_id").select(
         "doc_id", "owner", "grp", "n", F.explode("tokens").alias("token")), "cells")
@@ -366,10 +370,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lower-cased; shorter texts are one shingle; null and empty texts have none and link with nothing. Shingles are
     compared as 64-bit hashes. No link between different texts is lost: every bound used is one that all linked sets
     satisfy, and equal sets are one class from the start. Rows with equal ids count as the largest of their sets; rows with a null
-    id are left out, as no link could name them; other columns are ignored; an empty table gives no rows."""
+    id stay, a row each with a null component, as no link could name them; other columns are ignored; an empty table gives
+    no rows."""
     small_arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
-        "doc_id IS NOT NULL")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = every.filter("doc_id IS NOT NULL")
+    nameless = every.filter("doc_id IS NULL").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(
+        _sizes, "doc_id long, n long, key binary").select(
+        F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     n_buckets = bucket_count(texts, "text", BUCKET_BYTES)
     sizes = written(texts.mapInArrow(_sizes, "doc_id long, n long, key binary").groupBy("doc_id").agg(
         F.max(F.struct("n", "key")).alias("s")).select("doc_id", "s.n", "s.key"), "sizes")
@@ -391,7 +399,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
     for owners in (first, second, third):
         label = _component_of(label, "component_id", owners)
-    return label
+    return label.unionByName(nameless)
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:

@@ -141,8 +141,19 @@ def test_jaccard_components(docs, none):
     assert jaccard.jaccard_components(none).count() == 0
 
 
-def test_jaccard_matrix_alone_finds_all_links(spark, monkeypatch):
-    """Without any leader found before, the matrix still loses no link."""
+def test_jaccard_null_ids_stay(spark):
+    """Rows with a null id stay, a row each, with their set's size, and link with nothing."""
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = spark.createDataFrame([(None, text), (None, text), (None, None), (4, text), (7, text), (7, "b"), (9, None)],
+                                 "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_components(rows).collect())
+    assert got == [(0, 0, 0), (0, 26, 0), (0, 26, 0), (4, 26, 4), (7, 26, 4), (9, 0, 9)]
+
+
+@pytest.mark.parametrize("group", [2000, 3])
+def test_jaccard_matrix_alone_finds_all_links(spark, monkeypatch, group):
+    """Without any leader found before, the matrix still loses no link, also where its groups are dealt to many."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
     rng = random.Random(9)
     base = _words(rng, 80, 3000)
     rows = []
@@ -406,5 +417,25 @@ def test_components_of_stars_chains_and_rings(spark):
         for u, v in edges:
             if None not in (u, v) and u != v:
                 label[u] = label[v] = min(label[u], label[v])
-    assert {r.node: r.component for r in components(links).collect()} == label
-    assert components(links.limit(0)).collect() == []
+    for one_task in (0, 1 << 20):  # by star contraction, and ended in one task
+        found = components(links.repartition(4), one_task=one_task).collect()
+        assert len(found) == len(label) and {r.node: r.component for r in found} == label
+    assert components(links.limit(0)).collect() == components(links.limit(0), one_task=-1).collect() == []
+
+
+def test_forest_in_pieces(monkeypatch):
+    """A partition with more links than a piece keeps what its links connect."""
+    import numpy as np
+    import pyarrow as pa
+
+    from baleprice.llm import common
+    monkeypatch.setattr(common, "_FOREST", 50)
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 400, 900), rng.integers(0, 400, 900)
+    batches = [pa.RecordBatch.from_pydict({"u": u[i:i + 30], "v": v[i:i + 30]}) for i in range(0, 900, 30)]
+    out = list(common._forest(False)(iter(batches)))
+    assert len(out) > 1 and sum(b.num_rows for b in out) < 900
+    left = common._least_linked(np.concatenate([b["u"].to_numpy() for b in out]), np.concatenate([b["v"].to_numpy() for b in out]))
+    nodes, least = common._least_linked(u, v)
+    want = {n: m for n, m in zip(nodes, least) if (least == m).sum() > 1}
+    assert {n: m for n, m in zip(*left)} == want
