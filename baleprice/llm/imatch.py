@@ -43,18 +43,26 @@ def lexicon(docs: DataFrame, text_col: str = "text", idf_band: tuple[float, floa
 
 
 def fingerprint(text: Column, lexicon_flags: bytes) -> Column:
-    """The hashes of a text, array<bigint> by subset; null where the subset holds none of its terms."""
+    """The hashes of a text, array<bigint> by subset; null where the subset holds none of its terms. A text with terms
+    but none of the lexicon has the hash of all its terms first, and nulls."""
     one, flags = F.lit(b"\x01"), F.lit(lexicon_flags)
-    kept = F.array_sort(F.filter(term_ids(text), lambda i: F.substring(flags, i + 1, F.lit(1)) == one))
-    hashed = F.transform(kept, lambda i: F.xxhash64(i))
+
+    def terms(ids: Column) -> Column:
+        kept = F.array_sort(F.filter(ids, lambda i: F.substring(flags, i + 1, F.lit(1)) == one))
+        return F.struct(F.transform(kept, lambda i: F.xxhash64(i)).alias("of"), ids.alias("ids"))
 
     def subset(of: Column, level: int, replica: int) -> Column:
         mask = ((1 << level) - 1) << (replica * 16)
         return F.filter(of, lambda h: h.bitwiseAND(F.lit(mask)) == 0) if level else of
 
+    def hashes(b: Column) -> Column:
+        outside = F.concat(F.array(F.xxhash64(F.array_sort(b["ids"]))),
+                           F.array_repeat(F.lit(None).cast("long"), len(SUBSETS) - 1))
+        return F.when((F.size(b["of"]) == 0) & (F.size(b["ids"]) > 0), outside).otherwise(F.transform(
+            F.array(*[subset(b["of"], *s) for s in SUBSETS]), lambda part: F.when(F.size(part) > 0, F.xxhash64(part))))
+
     # the lambdas bind the terms and each subset, so that they are evaluated once
-    return F.element_at(F.transform(F.array(hashed), lambda of: F.transform(
-        F.array(*[subset(of, *s) for s in SUBSETS]), lambda part: F.when(F.size(part) > 0, F.xxhash64(part)))), 1)
+    return F.element_at(F.transform(F.transform(F.array(term_ids(text)), terms), hashes), 1)
 
 
 def as_text(prints: Column) -> Column:
@@ -64,7 +72,7 @@ def as_text(prints: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that aren't empty in both; 1 if all are."""
+    """Share of equal hashes among the subsets that aren't empty in both; 1 if neither text has a term."""
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
     held = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
     same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
@@ -75,8 +83,7 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            idf_band: tuple[float, float] = (3.0, 6.0), flags: bytes | None = None) -> DataFrame:
     """One row per input row: id, fingerprint (string), prints (array<bigint>).
 
-    Equal texts have equal fingerprints. A null text counts as empty; texts without a term of the lexicon have all
-    dashes; ids may be null or repeated, as each row stands for itself; an empty table gives no rows. ``flags`` takes
+    Equal texts have equal fingerprints. A null text counts as empty; texts without any term have all dashes; ids may be null or repeated, as each row stands for itself; an empty table gives no rows. ``flags`` takes
     a lexicon fitted before, so that other texts can be compared with a corpus."""
     if flags is None:
         flags = lexicon(docs, text_col, idf_band)

@@ -30,33 +30,37 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness.
-
-    The next document comes from a range-sorted id table; its first code points go to the document that they edit, so
-    each text is shuffled once."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Fingerprints of every text and of its edited text, and their likeness, a row per row of ``documents``.
+
+    Rows are told apart by their place in the files, so that null and repeated ids keep theirs; they follow each other
+    by id (nulls last), equal ids by a hash of the text. The next row comes from a range-sorted table without texts; its
+    first code points go to the row that they edit, so each text is shuffled once a join."""
+    at, after_at = ["file", "row"], [F.col("next.file").alias("file"), F.col("next.row").alias("row")]
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"))
     flags = imatch.lexicon(docs)
-    ids = written(docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
-                         .repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    firsts = ids.groupBy("part").agg(F.min("doc_id").alias("first"))
-    after = firsts.withColumn("_next", F.coalesce(
-        F.lead("first").over(Window.orderBy("first")), F.min("first").over(Window.partitionBy())))
-    order = ids.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))).join(
-        after.select("part", "_next"), "part").select("doc_id", "n_chars", F.coalesce("next_id", "_next").alias("next_id"))
-    order = written(order, "order")
-    heads = docs.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"),
-                                   F.floor(F.col("n_chars") / 2).cast("int").alias("half")), "doc_id").select(
-        F.col("of").alias("doc_id"), F.left("text", F.col("half")).alias("head"))
+    by = [F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"), *at]
+    names = ["nameless", "doc_id", "text_hash", *at]
+    ids = written(docs.select(*by, F.char_length("text").cast("long").alias("n_chars")).repartitionByRange(*names)
+                  .withColumn("part", F.spark_partition_id()), "ids")
+    firsts = ids.groupBy("part").agg(F.min(F.struct(*names)).alias("first"))
+    after = firsts.select("part", F.coalesce(
+        F.lead("first").over(Window.orderBy("first")), F.min("first").over(Window.partitionBy())).alias("beyond"))
+    order = written(ids.withColumn("next", F.lead(F.struct(*at)).over(Window.partitionBy("part").orderBy(*names))).join(
+        after, "part").select(*at, "n_chars", F.coalesce("next", F.struct("beyond.file", "beyond.row")).alias("next")), "order")
+    heads = docs.join(order.select(*after_at, F.struct(*at).alias("of"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")),
+                      at).select("of.file", "of.row", F.left("text", F.col("half")).alias("head"))
     n_chars = F.char_length("text")
-    edited = docs.join(heads, "doc_id").select("doc_id", "text", n_chars.cast("long").alias("n_chars"), F.concat(
+    edited = docs.join(heads, at).select("doc_id", *at, "text", n_chars.cast("long").alias("n_chars"), F.concat(
         F.left("text", n_chars - F.floor(n_chars / 2).cast("int")), "head").alias("edited"))
     prints = written(edited.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", *at, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         imatch.fingerprint(F.col("text"), flags).alias("prints"),
         imatch.fingerprint(F.col("edited"), flags).alias("edited_prints")), "prints")
-    following = order.select("doc_id", "next_id").join(
-        prints.select(F.col("doc_id").alias("next_id"), F.col("prints").alias("next_prints")), "next_id")
-    return prints.join(following, "doc_id").select(
+    following = order.select(*after_at, F.struct(*at).alias("of")).join(
+        prints.select(*at, F.col("prints").alias("next_prints")), at).select("of.file", "of.row", "next_prints")
+    return prints.join(following, at).select(
         "doc_id", "n_chars", "edited_sha256", imatch.as_text(F.col("prints")).alias("fingerprint"),
         imatch.as_text(F.col("edited_prints")).alias("edited_fingerprint"),
         imatch.likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),

@@ -439,3 +439,64 @@ def test_forest_in_pieces(monkeypatch):
     nodes, least = common._least_linked(u, v)
     want = {n: m for n, m in zip(nodes, least) if (least == m).sum() > 1}
     assert {n: m for n, m in zip(*left)} == want
+
+
+def test_imatch_query_against_brute_force(spark, tmp_path):
+    """Edited texts, fingerprints and both likenesses; null ids, repeated ids and equal rows keep a row each."""
+    import math
+
+    import xxhash
+
+    from baleprice.llm.queries import op4_imatch_fingerprints
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(_words(rng, rng.choice([1, 8, 40, 90]), 400))) for i in range(60)]
+    rows += [(None, "lost und found"), (None, None), (70, ""), (71, "!?"), (72, "\u00e9 \U0001F600 w1 w2 w3"),
+             (73, "onlyhere nowhereelse"), (5, rows[5][1]), (5, "other w1 text of five")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op4_imatch_fingerprints(spark, str(tmp_path)).collect()]
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def hash_all(values, width):
+        seed = 42
+        for x in values:
+            seed = xxhash.xxh64_intdigest((x % (1 << 8 * width)).to_bytes(width, "little"), seed)
+        return seed
+
+    def ids(text):
+        terms = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
+        return {xxhash.xxh64_intdigest(t.encode(), 42) % imatch.TERM_IDS for t in terms}
+
+    counts = defaultdict(int)
+    for _, t in rows:
+        for i in ids(t):
+            counts[i] += 1
+    band = {i for i, c in counts.items() if len(rows) / math.exp(6) <= c <= len(rows) / math.exp(3)}
+
+    def prints(text):
+        of = [hash_all([i], 4) for i in sorted(ids(text) & band)]
+        if ids(text) and not of:
+            return [hash_all(sorted(ids(text)), 4)] + [None] * (len(imatch.SUBSETS) - 1)
+        parts = [[h for h in of if not h & ((1 << level) - 1) << (16 * r)] for level, r in imatch.SUBSETS]
+        return [hash_all(p, 8) if p else None for p in parts]
+
+    def as_text(hashes):
+        return "".join("-" * 16 if h is None else f"{h:016x}" for h in hashes)
+
+    def likeness(a, b):
+        held = [(x, y) for x, y in zip(a, b) if (x, y) != (None, None)]
+        return sum(x == y for x, y in held) / len(held) if held else 1.0
+
+    placed = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    want = []
+    for k, (i, t) in enumerate(placed):
+        t, following = t or "", placed[(k + 1) % len(placed)][1] or ""
+        half = len(t) // 2
+        edited = t[:len(t) - half] + following[:half]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), as_text(prints(t)), as_text(prints(edited)),
+                     likeness(prints(t), prints(edited)), likeness(prints(t), prints(following))))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert len(got) == len(rows) and sorted(got, key=key) == sorted(want, key=key)
+    assert any(w[3].strip("-") and not w[3][16:].strip("-") for w in want)
