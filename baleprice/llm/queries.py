@@ -39,7 +39,7 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"))
-    flags = imatch.lexicon(docs)
+    terms = imatch.lexicon(docs)
     by = [F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"), *at]
     names = ["nameless", "doc_id", "text_hash", *at]
     ids = written(docs.select(*by, F.char_length("text").cast("long").alias("n_chars")).repartitionByRange(*names)
@@ -54,10 +54,9 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_chars = F.char_length("text")
     edited = docs.join(heads, at).select("doc_id", *at, "text", n_chars.cast("long").alias("n_chars"), F.concat(
         F.left("text", n_chars - F.floor(n_chars / 2).cast("int")), "head").alias("edited"))
-    prints = written(edited.select(
-        "doc_id", *at, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        imatch.fingerprint(F.col("text"), flags).alias("prints"),
-        imatch.fingerprint(F.col("edited"), flags).alias("edited_prints")), "prints")
+    prints = written(imatch.fingerprints(
+        edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), at,
+        {"prints": "text", "edited_prints": "edited"}, terms), "prints")
     following = order.select(*after_at, F.struct(*at).alias("of")).join(
         prints.select(*at, F.col("prints").alias("next_prints")), at).select("of.file", "of.row", "next_prints")
     return prints.join(following, at).select(

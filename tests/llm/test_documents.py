@@ -300,15 +300,14 @@ def test_pack(docs, none):
 
 
 def test_imatch(docs, none):
-    flags = imatch.lexicon(docs, idf_band=(0.1, 20))
-    got = {r.doc_id: r for r in imatch.imatch(docs, flags=flags).collect()}
+    terms = imatch.lexicon(docs, idf_band=(0.1, 20))
+    got = {r.doc_id: r for r in imatch.imatch(docs, terms=terms).collect()}
     texts = {i: t or "" for i, t, *_ in corpus()}
     assert got.keys() == texts.keys()
     by_text = defaultdict(set)
     for i, t in texts.items():
         by_text[t].add(got[i].fingerprint)
-        terms = [w for w in re.split(imatch.BREAKS, t.lower()) if w]
-        assert bool(terms) or set(got[i].fingerprint) == {"-"}
+        assert any(re.split(imatch.BREAKS, t.lower())) or set(got[i].fingerprint) == {"-"}
         assert len(got[i].fingerprint) == 16 * len(imatch.SUBSETS)
     assert all(len(p) == 1 for p in by_text.values())
     assert imatch.imatch(none).count() == 0
@@ -318,16 +317,36 @@ def test_imatch_subsets_by_brute_force(spark):
     """Order, case and repeats of terms don't matter; a term outside the band changes nothing."""
     texts = ["alpha beta gamma", "gamma, ALPHA beta beta", "alpha beta gamma rare", "alpha beta delta", "delta gamma", "gamma"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    flags = imatch.lexicon(df, idf_band=(0.0, 1.2))  # in two documents or more
-    p = {r.doc_id: r.prints for r in imatch.imatch(df, flags=flags).collect()}
+    terms = imatch.lexicon(df, idf_band=(0.0, 1.2))  # in two documents or more
+    prints = imatch.imatch(df, terms=terms)
+    p = {r.doc_id: r.prints for r in prints.collect()}
     assert p[0] == p[1] == p[2] and p[0][0] != p[3][0] and len({p[i][0] for i in (0, 3, 4, 5)}) == 4
-    near = df.filter("doc_id = 0").select(
-        imatch.fingerprint(df.text, flags).alias("a")).crossJoin(df.filter("doc_id = 3").select(
-            imatch.fingerprint(df.text, flags).alias("b"))).select(imatch.likeness(F.col("a"), F.col("b"))).first()[0]
+    near = prints.filter("doc_id = 0").select(F.col("prints").alias("a")).crossJoin(
+        prints.filter("doc_id = 3").select(F.col("prints").alias("b"))).select(
+            imatch.likeness(F.col("a"), F.col("b"))).first()[0]
     held = [(x, y) for x, y in zip(p[0], p[3]) if x is not None or y is not None]
     assert near == sum(x == y for x, y in held) / len(held)
 
 
+def test_imatch_band_is_of_terms(spark):
+    """With far more terms than the 2**18 ids of a hashed vocabulary would tell apart, a rare term changes no fingerprint."""
+    common = [" ".join(f"c{(7 * i + j) % 40}" for j in range(10)) for i in range(60)]
+    rare = [" ".join(f"r{i}x{j}" for j in range(6000)) for i in range(60)]
+    ddl = "doc_id long, text string"
+    df = spark.createDataFrame([(i, f"{c} {r}") for i, (c, r) in enumerate(zip(common, rare))], ddl)
+    terms = imatch.lexicon(df, idf_band=(0.5, 3.0))
+    assert terms.count() == 40
+    bare = {r.doc_id: r.fingerprint for r in imatch.imatch(spark.createDataFrame(list(enumerate(common)), ddl), terms=terms).collect()}
+    assert bare == {r.doc_id: r.fingerprint for r in imatch.imatch(df, terms=terms).collect()}
+
+
+def test_imatch_clashing_names(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, None, 3), (3, "c", 4)], "term long, held string, place int")
+    got = imatch.imatch(df, "term", "held", (0.0, 1.0)).collect()
+    assert sorted((r.term is None, set(r.fingerprint) == {"-"}) for r in got) == [(False, False), (False, True), (True, False), (True, False)]
+    assert len({r.fingerprint for r in got if r.term is None}) == 1
+
+
 def test_licences(spark, none):
     mit = "\n".join(["The MIT License", "", *[licences.SENTENCES[f"mit-{x}"].replace("to deal in", "to deal\n in")
                                              for x in ("grant", "notice", "warranty")]])
@@ -459,15 +478,15 @@ def test_imatch_query_against_brute_force(spark, tmp_path):
     def signed(x):
         return x - (1 << 64) if x >> 63 else x
 
-    def hash_all(values, width):
+    def hash_all(values):
         seed = 42
         for x in values:
-            seed = xxhash.xxh64_intdigest((x % (1 << 8 * width)).to_bytes(width, "little"), seed)
+            seed = xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
         return seed
 
     def ids(text):
         terms = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
-        return {xxhash.xxh64_intdigest(t.encode(), 42) % imatch.TERM_IDS for t in terms}
+        return {signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in terms}
 
     counts = defaultdict(int)
     for _, t in rows:
@@ -476,11 +495,11 @@ def test_imatch_query_against_brute_force(spark, tmp_path):
     band = {i for i, c in counts.items() if len(rows) / math.exp(6) <= c <= len(rows) / math.exp(3)}
 
     def prints(text):
-        of = [hash_all([i], 4) for i in sorted(ids(text) & band)]
+        of = sorted(ids(text) & band)
         if ids(text) and not of:
-            return [hash_all(sorted(ids(text)), 4)] + [None] * (len(imatch.SUBSETS) - 1)
+            return [hash_all(sorted(ids(text)))] + [None] * (len(imatch.SUBSETS) - 1)
         parts = [[h for h in of if not h & ((1 << level) - 1) << (16 * r)] for level, r in imatch.SUBSETS]
-        return [hash_all(p, 8) if p else None for p in parts]
+        return [hash_all(p) if p else None for p in parts]
 
     def as_text(hashes):
         return "".join("-" * 16 if h is None else f"{h:016x}" for h in hashes)
