@@ -2,8 +2,8 @@
 
 Every aggregate is a ``groupBy`` with partial (map-side) aggregation, so a hot key costs one combined
 row per task before the shuffle. Global windows are only used over already aggregated rows (a few
-dozen groups). Histogram bounds and line coefficients come from one small aggregate job that runs while the
-query is built -- two numbers, never rows. No cross joins.
+dozen groups). Histogram bounds and line coefficients are scalar subqueries of the query itself, so nothing
+runs while it is built. No cross joins.
 
 Null group keys are dropped first, as pandas ``groupby`` does. ``std`` is the sample deviation.
 """
@@ -162,31 +162,58 @@ def top_types_by_condition(df: DataFrame, k: int = 6) -> DataFrame:
     return scored.orderBy(F.desc("mean_of_means"), F.asc("waste_type")).limit(k)
 
 
+def frequencies(df: DataFrame, value: Column, keys: list[str] | None = None) -> DataFrame:
+    """One row per distinct ``value`` (and keys) with its ``n_rows``, NULL values left out: the table that the median,
+    the histogram and conditional quantiles are computed from, so that their input is read once. Prices in cents have
+    few distinct values; others shuffle at most one number a row."""
+    named = df.select(*(keys or []), value.alias("value")).filter(F.col("value").isNotNull())
+    return named.groupBy(*(keys or []), "value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def histogram(df: DataFrame, x: str, bins: int = D.HISTOGRAM_BINS, value_expr: Column | None = None) -> DataFrame:
-    """Equal-width histogram between min and max; the last bin is closed on the right.
-    Min and max come from one aggregate job that runs at once; empty bins are kept."""
-    v = value_expr if value_expr is not None else F.col(x)
-    base = df.select(v.alias("_x")).filter(F.col("_x").isNotNull())
-    # the two bounds (two numbers) in one aggregate job; under AQE each reference to a scalar
-    # subquery would be planned and run as its own subquery
-    b = base.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-    if b["lo"] is None:
-        lo = hi = F.lit(None).cast("double")
-    else:
-        lo, hi = F.lit(float(b["lo"])), F.lit(float(b["hi"]))
-    width = (hi - lo) / F.lit(float(bins))
-    idx = F.least(F.floor((F.col("_x") - lo) / (hi - lo) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
-    counts = base.select(F.when(hi == lo, F.lit(0)).otherwise(idx).alias("bin_index")) \
-        .groupBy("bin_index").agg(F.count(F.lit(1)).alias("n_rows"))
-    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin_index"))
+    """Equal-width histogram between min and max; the last bin is closed on the right. Empty bins are kept.
+
+    Bounds and bins both come from ``frequencies``, whose exchange Spark reuses: the input is read once."""
+    counted = frequencies(df, value_expr if value_expr is not None else F.col(x))
+    # the sum keeps the counts in this branch: with the same columns as the bins it is the same exchange
+    bounds = counted.agg(F.struct(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"),
+                                  F.sum("n_rows").alias("n")).alias("b")).scalar()
+    b = F.col("b")
+    place = F.floor((F.col("value") - b["lo"]) / (b["hi"] - b["lo"]) * F.lit(float(bins)))
+    binned = counted.select("value", "n_rows", bounds.alias("b")).select(
+        F.when(b["hi"] == b["lo"], F.lit(0)).otherwise(F.least(place, F.lit(bins - 1))).cast("int").alias("bin_index"), "n_rows")
+    counts = binned.groupBy("bin_index").agg(F.sum("n_rows").alias("n_rows"))
+    edges = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin_index"), bounds.alias("b")).withColumn(
+        "width", (b["hi"] - b["lo"]) / F.lit(float(bins)))
     # counts has at most ``bins`` rows
     return (edges.join(F.broadcast(counts), "bin_index", "left")
-            .select("bin_index", (lo + F.col("bin_index") * width).alias("bin_lo"),
-                    (lo + (F.col("bin_index") + 1) * width).alias("bin_hi"),
+            .select("bin_index", (b["lo"] + F.col("bin_index") * F.col("width")).alias("bin_lo"),
+                    (b["lo"] + (F.col("bin_index") + 1) * F.col("width")).alias("bin_hi"),
                     F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
             .orderBy("bin_index"))
 
 
+def quantile_sketches(df: DataFrame, value: Column, keys: list[str], k: int = 400) -> DataFrame:
+    """G2 for any column: a KLL sketch of ``value`` per group, ``keys`` + (n_rows, sketch), NULL values left out.
+
+    A sketch has a fixed largest size whatever the values, is aggregated in part by every task, and is a column that can
+    be stored with its partition (a month of listings, say) and merged with others later. With ``k`` = 400 the rank of a
+    quantile is off by less than 1 % with 99 % confidence."""
+    named = df.select(*keys, value.cast("double").alias("value")).filter(F.col("value").isNotNull())
+    return named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], k: int = 400) -> DataFrame:
+    """The sketches of finer groups or of several partitions merged by ``keys``, without their rows."""
+    return sketches.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """The sketches replaced by a column per quantile, named by ``quantiles``."""
+    return sketches.withColumns({name: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))
+                                 for name, q in quantiles.items()}).drop("sketch")
+
+
 def trend_line(df: DataFrame, y: str = PRICE, x: Column | None = None) -> DataFrame:
     """Least-squares line y ~ log1p(weight): slope and intercept in one aggregate."""
     xc = x if x is not None else F.log1p("weight_kg")
@@ -197,12 +224,11 @@ def trend_line(df: DataFrame, y: str = PRICE, x: Column | None = None) -> DataFr
 
 def trend_points(df: DataFrame, y: str = PRICE, n: int = D.TREND_POINTS) -> DataFrame:
     """The fitted line evaluated at ``n`` log-spaced weights 10^0 .. 10^3."""
-    c = trend_line(df, y).first()  # two fitted numbers
-    slope = F.lit(c["slope"]).cast("double")
-    intercept = F.lit(c["intercept"]).cast("double")
-    pts = df.sparkSession.range(n).select(F.col("id").cast("int").alias("point"))
+    line = trend_line(df, y).select(F.struct("slope", "intercept").alias("line")).scalar()
+    pts = df.sparkSession.range(n).select(F.col("id").cast("int").alias("point"), line.alias("line"))
     x = F.pow(F.lit(10.0), F.col("point") * F.lit(3.0 / (n - 1)))
-    return pts.select("point", x.alias("weight_kg"), (slope * F.log1p(x) + intercept).alias("price_per_kg"))
+    return pts.select("point", x.alias("weight_kg"),
+                      (F.col("line.slope") * F.log1p(x) + F.col("line.intercept")).alias("price_per_kg"))
 
 
 def distinct_sorted_list(df: DataFrame, key: str, value: str) -> DataFrame:

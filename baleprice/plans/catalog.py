@@ -585,6 +585,29 @@ UNION ALL SELECT 'price', 'max', max(price_per_kg) FROM training
 UNION ALL {tier_rows}""")
 
 
+_SKETCH_QS = {"q05": 0.05, "q50": 0.50, "q95": 0.95}
+
+
+@register("sketch_quantiles", lambda: S.with_base(
+    "SELECT waste_type, count(*) AS n_rows, " + ", ".join(f"true AS {q}_within" for q in _SKETCH_QS)
+    + " FROM training WHERE waste_type IS NOT NULL AND price_per_kg IS NOT NULL GROUP BY waste_type"))
+def sketch_quantiles(spark, sf_dir):
+    """G2, section 7.3: price quantiles by waste type from KLL sketches kept per month and merged, and whether each
+    one's true rank among the prices lies within 2 % of the quantile asked for (ties count on either side)."""
+    t = _training(spark, sf_dir).filter(F.col("waste_type").isNotNull())
+    monthly = R.quantile_sketches(t, F.col("price_per_kg"), ["waste_type", "month"])
+    found = R.sketch_quantiles(R.merged_sketches(monthly, ["waste_type"]), _SKETCH_QS)
+    counted = R.frequencies(t, F.col("price_per_kg"), ["waste_type"]).withColumnRenamed("n_rows", "n")
+
+    def within(name: str, q: float):
+        below = F.sum(F.when(F.col("value") < F.col(name), F.col("n")).otherwise(0)) / F.col("n_rows")
+        upto = F.sum(F.when(F.col("value") <= F.col(name), F.col("n")).otherwise(0)) / F.col("n_rows")
+        return ((below <= q + 0.02) & (upto >= q - 0.02)).alias(f"{name}_within")
+
+    return counted.join(found, "waste_type").groupBy("waste_type", "n_rows", *_SKETCH_QS).agg(
+        *[within(name, q) for name, q in _SKETCH_QS.items()]).drop(*_SKETCH_QS)
+
+
 @register("report_stats", _report_stats_sql)
 def report_stats(spark, sf_dir):
     """The text report's data section as (section, metric, value) rows: sample and feature
