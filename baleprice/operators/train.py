@@ -126,7 +126,7 @@ class RangeModelBundle:
         for name, m in self.models.items():
             m.save(os.path.join(path, name))
         from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         spark.createDataFrame([(json.dumps(self.meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             os.path.join(path, "bundle_meta"))
 
@@ -135,7 +135,7 @@ class RangeModelBundle:
         """Raises if the bundle is missing: an ``AnalysisException`` with the condition ``PATH_NOT_FOUND``, on which
         callers fall back to the rule price (F11)."""
         from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         meta = json.loads(spark.read.text(os.path.join(path, "bundle_meta")).first()[0])
         pipe = PipelineModel.load(os.path.join(path, "pipeline"))
         models = {n: QuantileBoostModel.load(os.path.join(path, n)) for n in ("lower", "mid", "upper")}
@@ -237,53 +237,150 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
                         F.avg("r2").alias("cv_r2"), F.count(F.lit(1)).alias("folds"))
 
 
+def _learners(key: list[str], bins: int, cats: dict, seed: int, trees: int, rounds: int) -> dict:
+    """Name -> function from training rows to a function that adds ``pred_mid``. Ridge regression, random forest and
+    gradient-boosted trees of Spark ML, and the mid quantile booster, on the vector ``features``."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+    common = {"featuresCol": "features", "labelCol": "price_per_kg", "predictionCol": "pred_mid"}
+    estimators = {
+        "Ridge Regression": LinearRegression(regParam=1.0, elasticNetParam=0.0, **common),
+        "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=10, maxBins=bins, seed=seed, **common),
+        "Gradient Boosting": GBTRegressor(maxIter=trees, maxDepth=5, maxBins=bins, stepSize=0.1, seed=seed, **common),
+    }
+
+    def boost(train: DataFrame):
+        model = fit_quantile_boost(train, 0.5, key, rounds=rounds, calibrate=False, max_bins=bins, categories=cats)
+        return lambda rows: model.predict(rows, "pred_mid")
+
+    return {n: (lambda train, e=e: e.fit(train).transform) for n, e in estimators.items()} | {
+        "Quantile Boosting (q=0.5)": boost}
+
+
+def _figures(learners: dict, train: DataFrame, test: DataFrame, **labels) -> DataFrame:
+    """A row per learner: its name, ``labels``, n_rows and the regression figures on ``test``; the learners are fitted
+    side by side, and each row is checkpointed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    from baleprice.operators.evaluate import regression_aggs
+
+    def one(name: str) -> DataFrame:
+        scored = learners[name](train)(test)
+        return cut_lineage(scored.agg(F.lit(name).alias("model"), *[F.lit(v).alias(k) for k, v in labels.items()],
+                                      F.count(F.lit(1)).alias("n_rows"), *regression_aggs()))
+
+    with ThreadPoolExecutor(max_workers=len(learners)) as pool:
+        rows = list(pool.map(inheritable_thread_target(train.sparkSession)(one), learners))
+    return _union(rows)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def cross_validate_models(features: DataFrame, key: list[str], folds: int = 5, seed: int = 7, trees: int = 30,
+                          boost_rounds: int = 10) -> DataFrame:
+    """K-fold cross-validation of all four models on the same folds of one cached frame, a row per (model, fold)
+    with n_rows, MAE, RMSE, R2, MAPE on the fold held out. Folds are a seeded hash of the row key; codes and scaling are
+    fitted on all rows, once, as they don't look at prices."""
+    rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
+    pipe = feature_pipeline().fit(rows)
+    feat = (pipe.transform(rows).withColumn("_fold", row_bucket(key, seed, folds))
+            .select(*key, "price_per_kg", "features", "_fold").persist())
+    learners = _learners(key, tree_bins(pipe, 64), categories(pipe), seed, trees, boost_rounds)
+    out = _union([_figures(learners, feat.filter(F.col("_fold") != k), feat.filter(F.col("_fold") == k), fold=k)
+                  for k in range(folds)])
+    feat.unpersist()
+    rows.unpersist()
+    return out
+
+
+def cv_by_model(per_fold: DataFrame) -> DataFrame:
+    """``cv_summary`` for each model: CV MAE, its sample deviation over the folds, CV R2, number of folds."""
+    return per_fold.groupBy("model").agg(F.avg("mae").alias("cv_mae"), F.stddev_samp("mae").alias("cv_mae_std"),
+                                         F.avg("r2").alias("cv_r2"), F.count(F.lit(1)).alias("folds"))
+
+
 def compare_models(features: DataFrame, key: list[str], test_pct: int = 15, seed: int = 42,
                    boost_rounds: int = 10) -> DataFrame:
     """Ridge regression, random forest and gradient-boosted trees (Spark ML) against the mid
     quantile booster on the same hash split and feature vector; hold-out MAE, RMSE, R2, MAPE."""
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-    from baleprice.operators.evaluate import regression_aggs
     rows = features.select(*key, "price_per_kg", *FEATURES).persist()  # input plan runs once
     pipe = feature_pipeline().fit(rows)
-    bins = tree_bins(pipe, 64)
     feat = (pipe.transform(split_train_test(rows, key, test_pct, seed))
             .select(*key, "price_per_kg", "features", "is_test").persist())
-    train, test = feat.filter(~F.col("is_test")), feat.filter(F.col("is_test"))
-    learners = {
-        "Ridge Regression": LinearRegression(featuresCol="features", labelCol="price_per_kg", regParam=1.0,
-                                             elasticNetParam=0.0, predictionCol="pred_mid"),
-        "Random Forest": RandomForestRegressor(featuresCol="features", labelCol="price_per_kg", numTrees=30,
-                                               maxDepth=10, maxBins=bins, seed=seed, predictionCol="pred_mid"),
-        "Gradient Boosting": GBTRegressor(featuresCol="features", labelCol="price_per_kg", maxIter=30, maxDepth=5,
-                                          maxBins=bins, stepSize=0.1, seed=seed, predictionCol="pred_mid"),
-    }
-    out = None
-    for name, est in learners.items():
-        scored = est.fit(train).transform(test)
-        res = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
-        res = cut_lineage(res)
-        out = res if out is None else out.unionByName(res)
-    boost = fit_quantile_boost(train, 0.5, key, rounds=boost_rounds, calibrate=False, max_bins=bins,
-                               categories=categories(pipe))
-    res = boost.predict(test, "pred_mid").agg(F.lit("Quantile Boosting (q=0.5)").alias("model"),
-                                              F.count(F.lit(1)).alias("n_rows"), *regression_aggs())
-    out = out.unionByName(cut_lineage(res))
+    learners = _learners(key, tree_bins(pipe, 64), categories(pipe), seed, 30, boost_rounds)
+    out = _figures(learners, feat.filter(~F.col("is_test")), feat.filter(F.col("is_test")))
     feat.unpersist()
     rows.unpersist()
     return out
 
 
-def train_from_csv(spark, path: str, rounds: int = 10, **kw) -> RangeModelBundle:
+def train_from_csv(spark, path: str, rounds: int = 10, quarantine: str | None = None, **kw) -> RangeModelBundle:
     """Retrain the three range models from a CSV with the documented training columns (header row,
     declared schema). The file carries no row id, so the row key for the hash split / subsampling is
-    the full row: identical rows always fall on the same side. Rows without a price raise."""
+    the full row: identical rows always fall on the same side.
+
+    With ``quarantine``, malformed rows and rows without a price go to that Parquet folder (file, reason, record), their
+    number is ``meta["rejected"]``, and the others train; without it either kind raises."""
     from baleprice.operators.features import v2_features
     from baleprice.sources.io import TRAINING_SCHEMA, read_csv
-    df = read_csv(spark, path, TRAINING_SCHEMA)
-    unlabelled = df.filter(F.col("price_per_kg").isNull()).count()
-    if unlabelled:
-        raise ValueError(f"{unlabelled} rows of {path} have no price_per_kg")
+    rejected = 0
+    if quarantine:
+        df, rejected = _without_rejects(spark, path, TRAINING_SCHEMA, quarantine)
+    else:
+        df = read_csv(spark, path, TRAINING_SCHEMA)
+        unlabelled = df.filter(F.col("price_per_kg").isNull()).count()
+        if unlabelled:
+            raise ValueError(f"{unlabelled} rows of {path} have no price_per_kg")
     key = [f.name for f in TRAINING_SCHEMA.fields]
     feats = v2_features(df.select(*key, *[F.col(c).alias(f"_k_{c}") for c in key]), drop_inputs=False)
     kcols = [f"_k_{c}" for c in key]
-    return train_range_bundle(feats, kcols, rounds=rounds, **kw)
+    bundle = train_range_bundle(feats, kcols, rounds=rounds, **kw)
+    bundle.meta["rejected"] = rejected
+    return bundle
+
+
+def _without_rejects(spark, path: str, schema, quarantine: str, required: tuple[str, ...] = ("price_per_kg",),
+                     optional: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    from baleprice.sources.io import read_csv_quarantined
+    good, bad = read_csv_quarantined(spark, path, schema, required, optional)
+    bad.write.mode("overwrite").parquet(quarantine)
+    return good, spark.read.parquet(quarantine).count()
+
+
+def v1_pipeline(max_iter: int = 30, max_depth: int = 5, step: float = 0.1, seed: int = 42):
+    """The single-price model of the v1 interface: its 48 features, scaled, and squared-error boosted trees."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=D.v1_feature_names(), outputCol="v1_raw"),
+        StandardScaler(inputCol="v1_raw", outputCol="v1_scaled", withMean=True),
+        GBTRegressor(featuresCol="v1_scaled", labelCol="price_per_kg", predictionCol="pred_mid", lossType="squared",
+                     maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed)])
+
+
+def train_v1_from_csv(spark, path: str, quarantine: str, test_pct: int = 20, seed: int = 42,
+                      **kw) -> tuple[PipelineModel, DataFrame]:
+    """A11, v1: retrain from a CSV with the v1 columns (``sub_type`` may be missing). Malformed rows and rows without a
+    value that has no default (all but sub-type and demand index) go to ``quarantine``, the hashed ``test_pct`` % of the good ones are held out. Returns the fitted pipeline and one row of figures: trained,
+    held_out and rejected rows, and MAE, RMSE, R2, MAPE on the rows held out. Equal rows fall on one side."""
+    from baleprice.operators.evaluate import regression_aggs
+    from baleprice.operators.features import v1_features
+    from baleprice.sources.io import V1_TABLE_SCHEMA
+    rows, rejected = _without_rejects(spark, path, V1_TABLE_SCHEMA, quarantine, tuple(
+        c for c in V1_TABLE_SCHEMA.names if c not in ("sub_type", "market_demand_index")), ("sub_type",))
+    split = split_train_test(rows, V1_TABLE_SCHEMA.names, test_pct, seed)
+    feats = v1_features(split, keep=["price_per_kg", "is_test"]).persist()
+    model = v1_pipeline(seed=seed, **kw).fit(feats.filter(~F.col("is_test")))
+    trained = feats.filter(~F.col("is_test")).count()
+    figures = cut_lineage(model.transform(feats.filter(F.col("is_test"))).agg(
+        F.lit(trained).cast("long").alias("trained"), F.count(F.lit(1)).alias("held_out"),
+        F.lit(rejected).cast("long").alias("rejected"), *regression_aggs()))
+    feats.unpersist()
+    return model, figures

@@ -1165,6 +1165,14 @@ def cv_metrics(spark, sf_dir):
                               "cv_r2": F.avg("r2").over(w)})
 
 
+@register("cv_comparison")
+def cv_comparison(spark, sf_dir):
+    """3-fold cross-validation of all four models on the same folds: CV MAE, its deviation, CV R2."""
+    from baleprice.operators import train as T
+    feats = FE.v2_features(training_table(spark, sf_dir), drop_inputs=False)
+    return T.cv_by_model(T.cross_validate_models(feats, KEY, folds=3))
+
+
 @register("model_comparison")
 def model_comparison(spark, sf_dir):
     """Ridge, random forest, gradient boosting and the quantile booster on the same split."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baleprice.functions import dims as D
+from baleprice.session import stored
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("waste_type", T.StringType()),
@@ -75,6 +76,40 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCH
     return rows.csv(path).select(*schema.names)
 
 
+def read_csv_quarantined(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCHEMA,
+                         required: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV that parse as ``schema`` and have a value in every ``required`` column, and the others
+    as (file, reason, record): the reason is ``malformed`` or ``no <column>``, the record the line as it stands in the
+    file, or the parsed values as CSV. Together they are all rows of the input, each in one of the two.
+
+    Columns are bound by name; ``optional`` ones may be missing and are NULL then. Spark parses only the columns that a
+    query needs, and a bad value elsewhere would go unseen; so the file is parsed whole, once, into the shared folder,
+    and both sides read that: a row's side doesn't depend on the query."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header and f.name not in optional]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    types = {f.name: f.dataType for f in schema.fields}
+    corrupt = "_malformed"
+    while corrupt in header:
+        corrupt += "_"
+    found = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header] + [T.StructField(corrupt, T.StringType())])
+    rows = spark.read.schema(found).options(
+        header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt).csv(path)
+    file = "_file"
+    while file in found.names:
+        file += "_"
+    rows = stored(rows.select(*found.names, F.col("_metadata.file_path").alias(file)), "csv")
+    values = [(F.col(f.name) if f.name in header else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    reason = F.when(F.col(corrupt).isNotNull(), F.lit("malformed"))
+    for c in required:
+        reason = reason.when(F.col(c).isNull(), F.lit(f"no {c}"))
+    good = rows.filter(reason.isNull()).select(*values)
+    bad = rows.filter(reason.isNotNull()).select(
+        F.col(file).alias("file"), reason.alias("reason"), F.coalesce(F.col(corrupt), F.to_csv(F.struct(*values))).alias("record"))
+    return good, bad
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A2: header row, no index column; one file per task (no single-writer funnel)."""
     df.write.mode(mode).option("header", True).csv(path)

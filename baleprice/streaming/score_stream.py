@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from baleprice.operators.publish import PublishedBundles
 from baleprice.plans.serve import price_listings
 from baleprice.sources.io import REQUEST_SCHEMA
 
@@ -32,6 +33,28 @@ def priced_stream(stream: DataFrame, bundle=None, keep: list[str] | None = None,
     return price_listings(stamped, bundle=bundle, as_of="received_at", keep=keep, rule_model=rule_model)
 
 
+def start_published_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, bundle_root: str,
+                           fmt: str = "json", keep: list[str] | None = None, trigger_once: bool = False,
+                           rule_model: bool = False) -> StreamingQuery:
+    """As ``start_pricing_stream``, with the newest bundle published below ``bundle_root`` at the start of each
+    micro-batch; ``model_version`` names it on every row. Publishing another one needs no restart. Before the first
+    publication ``rule_model`` asks for rule prices (version NULL); without it the stream fails. A batch that is run
+    again after a failure replaces its output, priced by the version that is newest then."""
+    published = PublishedBundles(bundle_root)
+    stamped = request_stream(spark, source_dir, fmt).withColumn("received_at", F.current_timestamp())
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        version, bundle = published.current(batch.sparkSession)
+        priced = price_listings(batch, bundle=bundle, as_of="received_at", keep=keep, rule_model=rule_model)
+        priced.withColumn("model_version", F.lit(version).cast("string")).write.mode("overwrite").parquet(
+            f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
+
+    writer = stamped.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+    if trigger_once:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def start_pricing_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                          bundle=None, fmt: str = "json", keep: list[str] | None = None,
                          trigger_once: bool = False, rule_model: bool = False) -> StreamingQuery:
