@@ -34,7 +34,8 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows are told apart by their place in the files, so that null and repeated ids keep theirs; they follow each other
     by id (nulls last), equal ids by a hash of the text. The next row comes from a range-sorted table without texts; its
-    first code points go to the row that they edit, so each text is shuffled once a join."""
+    first code points go to the row that they edit. Ids go with the order, so that both joins of the texts read one and
+    the same exchange."""
     at, after_at = ["file", "row"], [F.col("next.file").alias("file"), F.col("next.row").alias("row")]
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("_metadata.file_path").alias("file"),
@@ -48,11 +49,13 @@ def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = firsts.select("part", F.coalesce(
         F.lead("first").over(Window.orderBy("first")), F.min("first").over(Window.partitionBy())).alias("beyond"))
     order = written(ids.withColumn("next", F.lead(F.struct(*at)).over(Window.partitionBy("part").orderBy(*names))).join(
-        after, "part").select(*at, "n_chars", F.coalesce("next", F.struct("beyond.file", "beyond.row")).alias("next")), "order")
-    heads = docs.join(order.select(*after_at, F.struct(*at).alias("of"), F.floor(F.col("n_chars") / 2).cast("int").alias("half")),
-                      at).select("of.file", "of.row", F.left("text", F.col("half")).alias("head"))
+        after, "part").select(*at, "doc_id", "n_chars", F.coalesce("next", F.struct("beyond.file", "beyond.row")).alias("next")), "order")
+    texts = docs.select(*at, "text")
+    half = F.floor(F.col("n_chars") / 2).cast("int").alias("half")
+    heads = texts.join(order.select(*after_at, F.struct(*at).alias("of"), "doc_id", half), at).select(
+        "of.file", "of.row", "doc_id", F.left("text", F.col("half")).alias("head"))
     n_chars = F.char_length("text")
-    edited = docs.join(heads, at).select("doc_id", *at, "text", n_chars.cast("long").alias("n_chars"), F.concat(
+    edited = texts.join(heads, at).select("doc_id", *at, "text", n_chars.cast("long").alias("n_chars"), F.concat(
         F.left("text", n_chars - F.floor(n_chars / 2).cast("int")), "head").alias("edited"))
     prints = written(imatch.fingerprints(
         edited.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)), at,
