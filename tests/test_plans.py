@@ -25,3 +25,35 @@ def test_plan_guards(spark, key):
     assert not re.search(r"(BatchEvalPython|ArrowEvalPython|PythonUDF|FlatMapGroupsInPandas|MapInPandas)", plan)
     if key not in NESTED_LOOP_OK:
         assert "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.fixture
+def foreign(spark):
+    """A session of the caller's own, with Spark's default limit on generated methods."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "UTC")
+    other.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    return other
+
+
+def test_pricing_methods_compile_in_any_session(foreign):
+    from baleprice.plans.catalog import REGISTRY
+    REGISTRY["postprocess_range"].build(foreign, SF_SMALL)
+    assert foreign.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    foreign.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
+    REGISTRY["apply_multipliers"].build(foreign, SF_SMALL)
+    assert foreign.conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
+
+
+def _scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_listings_are_read_once(spark):
+    """Both old generations come from one reading; the live query fits its model first and then reads its requests."""
+    from baleprice.plans.catalog import REGISTRY
+    from baleprice.sources.listings import raw_listings
+    once = _scans(raw_listings(spark, SF_SMALL))
+    assert once > 0
+    for key in ("postprocess_range_old", "score_live", "score_live_metrics"):
+        assert _scans(REGISTRY[key].build(spark, SF_SMALL)) == once, key
