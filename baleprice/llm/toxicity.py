@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baleprice.llm import words as W
-from baleprice.llm.common import text_batches, written
+from baleprice.llm.common import small_arrow_batches, text_batches, written
 
 #: Features are hashed to so many weights; the weights sent to the executors take 4 MB at most, L1 leaves far fewer.
 BITS = 20
 #: Labelled rows that the classifier learns from at most, those with the least hash of their id: one task learns them.
 MAX_LABELLED = 20_000
 _SEEDS = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
-_BATCH = 8 << 20
+#: Text that a worker takes at a time, and the Arrow batch that it comes in: its three features a word take arrays
+#: of several times the text.
+_BATCH = 2 << 20
+_ARROW_BATCH = 4 << 20
 
 
 def features(text) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +68,22 @@ def _vectors(batches):
                 schema=pa.schema([("at", pa.int64()), ("label", pa.int64()), ("x", pa.binary())]))
 
 
+def _rows_of(x) -> list[np.ndarray]:
+    """The int32 lists in a binary column without nulls, as views of the column's own buffer."""
+    x = x.cast(pa.large_binary())
+    _, at, data = x.buffers()
+    bounds = np.frombuffer(at, np.int64)[x.offset:x.offset + len(x) + 1]
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return np.split(held[bounds[0]:bounds[-1]].view(np.int32), (bounds[1:-1] - bounds[0]) // 4)
+
+
 def _learn(options: dict):
     def run(batches):
         rows, labels = [], []
         for batch in batches:
-            rows += [np.frombuffer(x, np.int32) for x in batch["x"].to_pylist()]
-            labels += batch["label"].to_pylist()
+            if batch.num_rows:
+                rows += _rows_of(batch["x"])
+                labels += batch["label"].to_pylist()
         if rows:
             w, bias = ftrl(rows, labels, **options)
             at = np.flatnonzero(w).astype(np.int32)
@@ -86,6 +99,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     ``labelled`` has one row per document. It learns from the at most ``max_rows`` rows with the least hash of their
     id, in that order, so reruns agree; null labels are left out, null texts are empty. Their features are made by
     many tasks, the weights by one."""
+    small_arrow_batches(labelled.sparkSession, _ARROW_BATCH)
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col)).alias("at"),
         F.col(label_col).cast("long").alias("label"), F.col(text_col).alias("text"))
@@ -117,6 +131,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts score what the bias gives; without a model all scores are 0; rows with equal ids are scored each
     on its own; rows with a null id get no score; other columns are ignored; an empty table gives no rows."""
+    small_arrow_batches(docs.sparkSession, _ARROW_BATCH)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
         "doc_id IS NOT NULL").mapInArrow(_scores(model), "doc_id long, score double")
 
@@ -124,6 +139,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 def without_toxic(docs: DataFrame, model, threshold: float = 0.3, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay, nothing is shuffled."""
+    small_arrow_batches(docs.sparkSession, _ARROW_BATCH)
     names = docs.columns
 
     def run(batches):

@@ -14,7 +14,7 @@ PUNCTUATED = np.ones(256, bool)
 PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +48,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = False,
                 separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, in order, and the len(offsets) bounds of the texts in that list.
 
-    A word's hash is a polynomial in its bytes, taken as a difference of prefix sums over pieces of about 2 MB that
+    A word's hash is a polynomial in its bytes, taken as a difference of prefix sums over pieces of about 0.5 MB that
     are cut at separators, so that memory stays bounded for a very long text."""
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True

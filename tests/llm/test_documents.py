@@ -403,6 +403,41 @@ def test_toxicity(spark, none):
     assert {(r.score, r.predicted) for r in unlearned} == {(0.0, 0)}
 
 
+def test_toxicity_bounds_a_workers_memory(spark):
+    """Features and scores of a large batch are made from little text at a time, and batches come small."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(4)
+    texts = [" ".join(_words(rng, 2000, 500)) for _ in range(40)] * 20
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "at": list(range(len(texts))),
+                                        "label": [0] * len(texts), "text": texts})
+    size = sum(map(len, texts))
+    assert size > 6 << 20
+    model = np.arange(0, 1 << 20, 3, dtype=np.int32), np.ones(349526, np.float32), -1.0
+    for run in (toxicity._scores(model), toxicity._vectors):
+        tracemalloc.start()
+        assert sum(out.num_rows for out in run([batch])) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 110 << 20, peak >> 20
+    other = spark.newSession()
+    other.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    toxicity.score(other.createDataFrame([(1, "a")], "doc_id long, text string"), None)
+    assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
+def test_learned_rows_are_views_of_their_batch():
+    import numpy as np
+    import pyarrow as pa
+    lists = [[1, 2], [], [3], [], [7, 8, 9]]
+    column = pa.array([np.array(x, np.int32).tobytes() for x in lists], pa.binary())
+    assert [x.tolist() for x in toxicity._rows_of(column)] == lists
+    assert [x.tolist() for x in toxicity._rows_of(column.slice(1, 3))] == lists[1:4]
+    assert [x.tolist() for x in toxicity._rows_of(column.slice(1, 1))] == [[]]
+
+
 def test_ftrl_by_hand():
     import numpy as np
     w, bias = toxicity.ftrl([np.array([3]), np.array([4])] * 30, [1, 0] * 30, epochs=1, alpha=0.5, l1=0.1, l2=0.0)
