@@ -57,3 +57,11 @@ def test_listings_are_read_once(spark):
     assert once > 0
     for key in ("postprocess_range_old", "score_live", "score_live_metrics"):
         assert _scans(REGISTRY[key].build(spark, SF_SMALL)) == once, key
+
+
+def test_sketches_and_ranks_read_one_store(spark):
+    """The sketches and the frequencies that hold them to account read stored prices, not the joined tables twice."""
+    from baleprice.plans.catalog import REGISTRY
+    df = REGISTRY["sketch_quantiles"].build(spark, SF_SMALL)
+    assert df.inputFiles() and not [f for f in df.inputFiles() if SF_SMALL in f]
+    assert df.count() > 0
