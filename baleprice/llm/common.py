@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import uuid
@@ -164,9 +165,9 @@ def components(edges: DataFrame, max_rounds: int = 60, one_task: int = _FOREST)
         return tangled.isEmpty()
 
     e = written(edges.filter("u != v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(
-        _forest(False), "u long, v long"), "forest")
+        released(_forest(False)), "u long, v long"), "forest")
     if e.count() <= one_task:
-        whole = written(e.coalesce(1).mapInArrow(_forest(True), "u long, v long"), "components")
+        whole = written(e.coalesce(1).mapInArrow(released(_forest(True)), "u long, v long"), "components")
         return whole.select(F.col("u").alias("node"), F.col("v").alias("component"))
     e = written(e.distinct(), "links")
     for _ in range(max_rounds):
@@ -184,6 +185,22 @@ def components(edges: DataFrame, max_rounds: int = 60, one_task: int = _FOREST)
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def released(run):
+    """``run`` over the batches of a partition, after which the worker hands freed memory back to the system. Workers wait
+    for further tasks, and without this hold the most that they took while the stages after theirs run."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others have none
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def small_arrow_batches(spark: SparkSession, max_bytes: int = 8 << 20) -> None:
     """Has the session hand Python workers batches of at most so many bytes, where it allows larger ones: a worker holds
     several copies of a batch."""

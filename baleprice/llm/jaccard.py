@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baleprice.llm import words as W
-from baleprice.llm.common import (bucket_count, by_bucket, components, fresh, planes, small_arrow_batches, text_batches,
-                                  unplanes, written)
+from baleprice.llm.common import (bucket_count, by_bucket, components, fresh, planes, released, small_arrow_batches,
+                                  text_batches, unplanes, written)
 
 SHINGLE = 5
 _SEED = 0xE7037ED1A0B428DB
@@ -213,8 +213,8 @@ def _total(batches):
 def _may_link(shipped: DataFrame, sizes: DataFrame, least: Column, n_groups: int) -> DataFrame:
     """The rows of ``sizes`` (doc_id, n) with at least ``least`` tokens that another owner has too."""
     packed = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _count(n_groups), "bucket long, docs binary, hits binary")
-    hits = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total, "doc_id long, hits long")
+        released(_count(n_groups)), "bucket long, docs binary, hits binary")
+    hits = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_total), "doc_id long, hits long")
     return sizes.join(hits, "doc_id").filter(F.col("hits") >= least).drop("hits")
 
 
@@ -272,7 +272,7 @@ def _grouped_links(sets: DataFrame, percent: int, lows: range) -> DataFrame:
     dealt = rows.join(sizes, ["j", "low"], "left").withColumn("salt", F.pmod(
         F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).select("doc_id", "owner", "j", "low", "salt", "tokens")
     return written(dealt.repartition("j", "low", "salt").sortWithinPartitions("j", "low", "salt", "doc_id").mapInArrow(
-        _lead(percent), "u long, v long"), "leaders")
+        released(_lead(percent)), "u long, v long"), "leaders")
 
 
 def _open_groups(percent: int):
@@ -317,7 +317,7 @@ def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
     large = written(sets.groupBy(alike).agg(F.ceil(F.count("*") / GROUP).alias("salts")).filter("salts > 1"), "large")
     sets = sets.join(large, alike, "left").withColumn("grp", F.xxhash64(*alike, F.pmod(
         F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))))).drop("low1", "low2", "salts")
-    tokens = sets.select("doc_id", "tokens").mapInArrow(_longs, "doc_id long, tokens array<long>")
+    tokens = sets.select("doc_id", "tokens").mapInArrow(released(_longs), "doc_id long, tokens array<long>")
     cells = written(tokens.join(sets.select("doc_id", "owner", "grp", "n"), "doc_id").select(
         "doc_id", "owner", "grp", "n", F.explode("tokens").alias("token")), "cells")
     held = cells.groupBy("token").agg(F.count("*").alias("holders"), F.min("owner").alias("a"), F.max("owner").alias("b"))
@@ -338,7 +338,7 @@ def _matrix_links(sets: DataFrame, percent: int) -> DataFrame:
     asking = near.join(sets.select("doc_id", "owner", "tokens"), "doc_id").withColumn("asks", F.lit(True))
     members = sets.select("doc_id", "grp", "owner", "tokens", F.lit(False).alias("asks"))
     return asking.unionByName(members).repartition("grp").sortWithinPartitions("grp", "asks", "doc_id").mapInArrow(
-        _open_groups(percent), "u long, v long")
+        released(_open_groups(percent)), "u long, v long")
 
 
 def _longs(batches):
@@ -351,7 +351,7 @@ def _longs(batches):
 def _with_other_owners(sets: DataFrame, owners: DataFrame, needed: Column, n_buckets: int) -> DataFrame:
     """The sets, each ``owner`` replaced by its component among ``owners``, that share enough tokens with others."""
     owned = _component_of(sets, "owner", owners)
-    passed = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(_ship_sets(n_buckets), _SHIPPED_DDL),
+    passed = _may_link(owned.select("doc_id", "owner", "tokens").mapInArrow(released(_ship_sets(n_buckets)), _SHIPPED_DDL),
                        owned.select("doc_id", "n"), needed, n_buckets)
     return written(owned.join(written(passed.select("doc_id"), "passed"), "doc_id"), "owned")
 
@@ -376,17 +376,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = every.filter("doc_id IS NOT NULL")
     nameless = every.filter("doc_id IS NULL").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(
-        _sizes, "doc_id long, n long, key binary").select(
+        released(_sizes), "doc_id long, n long, key binary").select(
         F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     n_buckets = bucket_count(texts, "text", BUCKET_BYTES)
-    sizes = written(texts.mapInArrow(_sizes, "doc_id long, n long, key binary").groupBy("doc_id").agg(
+    sizes = written(texts.mapInArrow(released(_sizes), "doc_id long, n long, key binary").groupBy("doc_id").agg(
         F.max(F.struct("n", "key")).alias("s")).select("doc_id", "s.n", "s.key"), "sizes")
     classes = sizes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.max("n").alias("n"))
     needed = F.ceil(F.col("n") * percent / 100)
-    passed = _may_link(texts.mapInArrow(_ship_texts(percent, n_buckets), _SHIPPED_DDL),
+    passed = _may_link(texts.mapInArrow(released(_ship_texts(percent, n_buckets)), _SHIPPED_DDL),
                        classes.select(F.col("class").alias("doc_id"), "n"), F.ceil(needed / 10), n_buckets)
     sets = written(texts.join(passed.select("doc_id"), "doc_id").mapInArrow(
-        _sets, "doc_id long, n long, tokens binary, low array<long>").join(
+        released(_sets), "doc_id long, n long, tokens binary, low array<long>").join(
         passed, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]), "sets")
     # links are links of owners, the components so far: each step's graph has only the links that are new
     owned = sets.withColumn("owner", F.col("doc_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from baleprice.llm import words as W
-from baleprice.llm.common import bucket_count, by_bucket, planes, small_arrow_batches, text_batches, unplanes
+from baleprice.llm.common import bucket_count, by_bucket, planes, released, small_arrow_batches, text_batches, unplanes
 
 #: A seed's identity: the low 7 bytes of one hash, and its block, dealt by a second, independent hash.
 _SEED, _BLOCK, _KEY_BYTES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 7
@@ -203,14 +203,16 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, k: int, rest: Column, wh
     named = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     n_blocks = bucket_count(texts, "text", BLOCK_BYTES)
     shipped = named.mapInArrow(
-        _index_rows(k, n_blocks), "bucket long, docs binary, counts binary, keys binary, finding boolean")
+        released(_index_rows(k, n_blocks)), "bucket long, docs binary, counts binary, keys binary, finding boolean")
     n_groups = 4 * n_blocks
     found = shipped.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _look_up(n_groups), "part long, docs binary, counts binary, keys binary")
-    dealt = texts.mapInArrow(_with_group(n_groups), StructType([StructField("part", LongType()), *texts.schema.fields]))
+        released(_look_up(n_groups)), "part long, docs binary, counts binary, keys binary")
+    dealt = texts.mapInArrow(released(_with_group(n_groups)),
+                             StructType([StructField("part", LongType()), *texts.schema.fields]))
     both = found.unionByName(dealt, allowMissingColumns=True)
     out = StructType([*StructType.fromDDL(_PARSED_DDL).fields, StructField("rest", texts.schema["rest"].dataType)])
-    return both.repartition("part").sortWithinPartitions("part", F.col("docs").isNull()).mapInArrow(_parsed(k, whole), out)
+    return both.repartition("part").sortWithinPartitions("part", F.col("docs").isNull()).mapInArrow(
+        released(_parsed(k, whole)), out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from baleprice.llm import words as W
-from baleprice.llm.common import small_arrow_batches, text_batches, written
+from baleprice.llm.common import released, small_arrow_batches, text_batches, written
 
 #: Features are hashed to so many weights; the weights sent to the executors take 4 MB at most, L1 leaves far fewer.
 BITS = 20
@@ -103,9 +103,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col)).alias("at"),
         F.col(label_col).cast("long").alias("label"), F.col(text_col).alias("text"))
-    vectors = rows.mapInArrow(_vectors, "at long, label long, x binary")
+    vectors = rows.mapInArrow(released(_vectors), "at long, label long, x binary")
     model = vectors.repartition(1).sortWithinPartitions("at", "label", "x").limit(max_rows).mapInArrow(
-        _learn(options), "at binary, w binary, bias double").first()
+        released(_learn(options)), "at binary, w binary, bias double").first()
     return model and (np.frombuffer(model["at"], np.int32), np.frombuffer(model["w"], np.float32), model["bias"])
 
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     on its own; rows with a null id get no score; other columns are ignored; an empty table gives no rows."""
     small_arrow_batches(docs.sparkSession, _ARROW_BATCH)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
-        "doc_id IS NOT NULL").mapInArrow(_scores(model), "doc_id long, score double")
+        "doc_id IS NOT NULL").mapInArrow(released(_scores(model)), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model, threshold: float = 0.3, id_col: str = "doc_id",
@@ -155,7 +155,7 @@ def without_toxic(docs: DataFrame, model, threshold: float = 0.3, id_col: str =
                 keep = np.sort(np.concatenate(at)[np.concatenate(scores) < threshold])
                 yield from rows.take(pa.array(keep)).select(names).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,12 +1,15 @@
 """Word hashes, planes, connected components against plain Python."""
 
+import os
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from baleprice.llm import words as W
-from baleprice.llm.common import components, planes, unplanes
+from baleprice.llm.common import components, planes, released, unplanes
 
 _TEXT = st.text(st.sampled_from("ab Aé\t\n\v \x00."), max_size=40)
 
@@ -58,3 +61,20 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 1 for i in [*range(1, 41), 300]}, 100: -3, 101: -3, -3: -3}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_workers_hand_freed_memory_back():
+    def held():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            pieces = [np.ones(1 << 12) for _ in range(4000)]  # 32 KB each, of the heap
+            pins.append(np.ones(1 << 12))  # lies above them, so that the heap can't shrink from its end
+            yield batch + len(pieces)
+
+    before = held()
+    assert list(released(run)([1, 2])) == [4001, 4002]
+    assert held() - before < 40 << 20
