@@ -394,7 +394,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = _with_other_owners(owned, first, needed, n_buckets)
     second = components(_grouped_links(some, percent, range(1, LOWS)))
     few = _with_other_owners(some, second, needed, n_buckets)
-    third = components(_matrix_links(few, percent))
+    # written first, so that no task has a Python worker for the links and another for their components
+    third = components(written(_matrix_links(few, percent), "matrix"))
     label = sizes.join(classes.drop("n"), "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
     for owners in (first, second, third):

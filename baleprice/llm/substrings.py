@@ -96,12 +96,17 @@ def _look_up(n_groups: int):
                 continue
             doc = np.concatenate(docs)
             key = np.concatenate([unplanes(x, np.uint64, _KEY_BYTES) for x in keys])
+            # what has been taken apart or put in order goes at once: a block's arrays are large
+            del docs, keys
+            held.clear()
             order = np.argsort(key)
-            key_o, doc_o = key[order], doc[order]
-            starts = np.flatnonzero(np.r_[True, key_o[1:] != key_o[:-1]])
-            least = np.minimum.reduceat(doc_o, starts)
-            late = doc_o > np.repeat(least, np.diff(np.r_[starts, len(key_o)]))
-            yield from _findings(doc_o[late], key_o[late], n_groups)
+            key, doc = key[order], doc[order]
+            del order
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            least = np.minimum.reduceat(doc, starts)
+            late = doc > np.repeat(least, np.diff(np.r_[starts, len(key)]))
+            del starts, least
+            yield from _findings(doc[late], key[late], n_groups)
 
     return run
 

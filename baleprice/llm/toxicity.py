@@ -17,7 +17,7 @@ MAX_LABELLED = 20_000
 _SEEDS = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
 #: Text that a worker takes at a time, and the Arrow batch that it comes in: its three features a word take arrays
 #: of several times the text.
-_BATCH = 2 << 20
+_BATCH = 1 << 19
 _ARROW_BATCH = 4 << 20
 
 
