@@ -276,3 +276,47 @@ def test_row_bucket_is_the_md5_of_the_key(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string").withColumn("k", row_bucket(["a", "b"], 5, 100))
     want = {a: int(hashlib.md5(f"{a}|{b or ''}|5".encode()).hexdigest()[:8], 16) % 100 for a, b in [(1, "x"), (2, None)]}
     assert {r.a: r.k for r in df.collect()} == want
+
+
+def _own_features(spark, n: int, partitions: int):
+    from baleprice.operators import train as T
+    cats = [F.concat(F.lit("v"), (F.col("id") % (i + 2)).cast("string")).alias(c) for i, c in enumerate(T.CAT)]
+    nums = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 10.0).alias(c) for i, c in enumerate(T.NUM)]
+    rows = spark.range(n).select("id", (F.col("id") % 37 + 1.5).alias("price_per_kg"), *cats, *nums)
+    return rows.repartition(partitions, "id")
+
+
+def test_trees_grow_on_few_partitions(spark, monkeypatch):
+    from baleprice.functions import dims as D
+    from baleprice.operators import train as T
+    seen = []
+
+    def fit(data, quantiles, key, **kw):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return {name: T.QuantileBoostModel(q, 1.0, 0.3) for name, q in quantiles.items()}
+
+    monkeypatch.setattr(T, "fit_boosts", fit)
+    cores = spark.sparkContext.defaultParallelism
+    rows = _own_features(spark, 600, 40).persist()
+    assert set(T.train_range_bundle(rows, ["id"]).models) == set(D.QUANTILES)
+    assert seen == [(min(40, 2 * cores), 600)] and rows.storageLevel.useMemory
+    rows.unpersist()
+    monkeypatch.setattr(T, "TREE_ROWS", 20)
+    T.train_range_bundle(_own_features(spark, 600, 40), ["id"])
+    assert seen[1] == (max(30, min(40, 2 * cores)), 600)
+
+
+def test_leaf_sketches_are_hashed(spark):
+    from baleprice.functions import dims as D
+    from baleprice.operators import train as T
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    try:
+        models = {}
+        for limit in ("2", "1000"):
+            spark.conf.set(name, limit)
+            models[limit] = T.train_range_bundle(_own_features(spark, 400, 4), ["id"], rounds=1).models
+            assert int(spark.conf.get(name)) == (2 * len(D.QUANTILES) * 2 ** 6 if limit == "2" else 1000)
+        assert {n: m.trees for n, m in models["2"].items()} == {n: m.trees for n, m in models["1000"].items()}
+    finally:
+        spark.conf.set(name, before)
