@@ -320,3 +320,23 @@ def test_leaf_sketches_are_hashed(spark):
         assert {n: m.trees for n, m in models["2"].items()} == {n: m.trees for n, m in models["1000"].items()}
     finally:
         spark.conf.set(name, before)
+
+
+def test_report_takes_one_bundle(spark, monkeypatch):
+    from types import SimpleNamespace
+    from baleprice.operators import train as T
+    from baleprice.plans import catalog
+    scored = spark.range(50).select((F.col("id") + 2.0).alias("price_per_kg"), (F.col("id") + 1.0).alias("pred_lower"),
+                                    (F.col("id") + 2.5).alias("pred_mid"), (F.col("id") + 3.0).alias("pred_upper"),
+                                    F.lit(True).alias("is_test"))
+    mid = SimpleNamespace(feature_importances=lambda: [(i + 1.0) / 120 for i in range(len(T.FEATURES))])
+    taken = []
+    monkeypatch.setattr(catalog, "_bundle", lambda *a: taken.append(a) or SimpleNamespace(models={"mid": mid}, score=lambda df: df))
+    monkeypatch.setattr(catalog, "_split_features", lambda *a: scored)
+    monkeypatch.setattr(catalog, "report_stats", lambda *a: spark.createDataFrame(
+        [("data", "n", 1.0)], "section string, metric string, value double"))
+    rows = catalog.model_report(spark, "own").collect()
+    assert len(taken) == 1
+    by = {s: [r for r in rows if r.section == s] for s in ("data", "model performance", "top features", "feature families")}
+    assert len(by["top features"]) == 5 and by["top features"] and by["model performance"] and by["data"]
+    assert abs(sum(r.value for r in by["feature families"]) - 100) < 1e-3
