@@ -297,31 +297,13 @@ def test_trees_grow_on_few_partitions(spark, monkeypatch):
 
     monkeypatch.setattr(T, "fit_boosts", fit)
     cores = spark.sparkContext.defaultParallelism
-    rows = _own_features(spark, 600, 40).persist()
-    assert set(T.train_range_bundle(rows, ["id"]).models) == set(D.QUANTILES)
-    assert seen == [(min(40, 2 * cores), 600)] and rows.storageLevel.useMemory
-    rows.unpersist()
+    assert set(T.train_range_bundle(_own_features(spark, 600, 40), ["id"]).models) == set(D.QUANTILES)
+    assert seen == [(min(40, 2 * cores), 600)]
     monkeypatch.setattr(T, "TREE_ROWS", 20)
     T.train_range_bundle(_own_features(spark, 600, 40), ["id"])
     assert seen[1] == (max(30, min(40, 2 * cores)), 600)
 
 
-def test_leaf_sketches_are_hashed(spark):
-    from baleprice.functions import dims as D
-    from baleprice.operators import train as T
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name)
-    try:
-        models = {}
-        for limit in ("2", "1000"):
-            spark.conf.set(name, limit)
-            models[limit] = T.train_range_bundle(_own_features(spark, 400, 4), ["id"], rounds=1).models
-            assert int(spark.conf.get(name)) == (2 * len(D.QUANTILES) * 2 ** 6 if limit == "2" else 1000)
-        assert {n: m.trees for n, m in models["2"].items()} == {n: m.trees for n, m in models["1000"].items()}
-    finally:
-        spark.conf.set(name, before)
-
-
 def test_report_takes_one_bundle(spark, monkeypatch):
     from types import SimpleNamespace
     from baleprice.operators import train as T
@@ -340,3 +322,18 @@ def test_report_takes_one_bundle(spark, monkeypatch):
     by = {s: [r for r in rows if r.section == s] for s in ("data", "model performance", "top features", "feature families")}
     assert len(by["top features"]) == 5 and by["top features"] and by["model performance"] and by["data"]
     assert abs(sum(r.value for r in by["feature families"]) - 100) < 1e-3
+
+
+def test_few_partitions_keep_their_order(spark):
+    from baleprice.operators import train as T
+    n = 2 * spark.sparkContext.defaultParallelism
+    rows = _own_features(spark, 300, n).select("id").persist()
+
+    def places(df):
+        return {(r.id, r.p) for r in df.withColumn("p", F.spark_partition_id()).collect()}
+
+    rows.count()
+    before = places(rows)
+    assert places(T.in_tree_partitions(rows, 300)) == before
+    assert len({p for _, p in places(T.in_tree_partitions(rows.repartition(3 * n), 300))}) <= n
+    rows.unpersist()
