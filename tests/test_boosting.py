@@ -143,3 +143,28 @@ def test_scorer_follows_the_trees():
     assert got.tolist() == [2.0, -1.5, 7.5, 7.5, 2.0]
     with pytest.raises(ValueError):
         B.Scorer([nominal], 2, {0: 4})(np.array([[4.0, 0.0]]))
+
+
+def test_cross_validation_leaves_no_rows_on_disk(spark):
+    """Neither checkpoints of working rows nor cached vectors: what stays below the checkpoint folder are the folds' figures."""
+    import os
+
+    from baleprice.functions import dims as D
+    from baleprice.operators import train as T
+    from baleprice.session import ensure_checkpoint_dir
+    rows = spark.range(4000).select("id", (F.col("id") % 37 + 1.5).alias("price_per_kg"),
+                                    *[F.concat(F.lit("v"), F.col("id") % 3).alias(c) for c in D.CATEGORICAL_FEATURES],
+                                    *[F.rand(i).alias(c) for i, c in enumerate(D.NUMERIC_FEATURES)])
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
+
+    before, cached = held(), len(spark.sparkContext._jsc.getPersistentRDDs())
+    folds = T.cross_validate_mid(rows, ["id"], folds=2, rounds=4)
+    left = held() - before
+    print("bytes left", left)
+    assert left < 20 * 4000
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
+    found = folds.collect()
+    assert [r.fold for r in found] == [0, 1] and sum(r.n_rows for r in found) == 4000
